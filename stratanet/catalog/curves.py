@@ -16,10 +16,12 @@ from stratanet.operators import curvefit as C
 from stratanet.operators import evolution as E
 from stratanet.operators.panel import dense_rows
 from stratanet.operators.windows import Schedule
+from stratanet.session import cut_lineage
 from stratanet.sources import adapters as A
 
 BY = ("source", "date")
 DT = 1.0 / 12.0
+_DT = f"{DT!r}e0"
 
 
 def fit_sql(rows: str, by: str, y: str = "y", tag: str = "") -> str:
@@ -50,7 +52,8 @@ FACTOR_COLUMNS = ", ".join(f"{q6(c)} AS {c}" for c in ("level", "slope", "curvat
 
 
 def curve(spark, d):
-    return A.curve_long(spark, d)
+    """The curve panel, written once: every fit reads it several times."""
+    return cut_lineage(A.curve_long(spark, d))
 
 
 @query(
@@ -224,12 +227,12 @@ def var_sql(dt: float = DT, pooled: bool = False) -> str:
     if pooled:
         pick = ", ".join(
             f"sum(CASE WHEN n + 1 >= 12 THEN e{i} END) OVER () / greatest(sum(CASE WHEN n + 1 >= 12"
-            f" THEN n ELSE 0 END) OVER () - 4, 1) / {dt!r} AS s{i + 1}{i + 1}"
+            f" THEN n ELSE 0 END) OVER () - 4, 1) / {dt!r}e0 AS s{i + 1}{i + 1}"
             for i in z
         )
     else:
         pick = ", ".join(
-            f"CASE WHEN n + 1 >= 12 THEN greatest(e{i} / greatest(n - 4, 1) / {dt!r}, 0)"
+            f"CASE WHEN n + 1 >= 12 THEN greatest(e{i} / greatest(n - 4, 1) / {dt!r}e0, 0)"
             f" ELSE 0.0 END AS s{i + 1}{i + 1}"
             for i in z
         )
@@ -273,8 +276,8 @@ def f9(spark, d):
 
 
 def period_sql(dt: float = DT) -> dict[str, str]:
-    lam = f"(1 - exp(-{dt!r}))"
-    rho = f"exp(-{dt!r})"
+    lam = f"(1 - exp(-{dt!r}e0))"
+    rho = f"exp(-{dt!r}e0)"
     return {
         "b2": f"((1 - pow({rho}, n)) / {lam})",
         "b3": f"((1 - pow({rho}, n - 1)) / {lam} - (n - 1) * pow({rho}, n - 1))",
@@ -283,7 +286,7 @@ def period_sql(dt: float = DT) -> dict[str, str]:
 
 @query(
     "f10_dtafns_loadings",
-    with_(CURVE, f"tm AS (SELECT DISTINCT term, {years('term')} / {DT!r} AS n FROM curve)")
+    with_(CURVE, f"tm AS (SELECT DISTINCT term, {years('term')} / {_DT} AS n FROM curve)")
     + f"""SELECT term, {q6(period_sql()['b2'] + ' / n')} AS slope,
             {q6(period_sql()['b3'] + ' / n')} AS curvature FROM tm""",
 )
@@ -299,7 +302,7 @@ _P = period_sql()
 DT_NS = (
     CURVE, DENSE,
     f"""ld AS (SELECT *, {_P['b2']} / n AS f1, ({_P['b2']} - {_P['b3']}) / n AS g
-      FROM (SELECT *, {years('term')} AS years, {years('term')} / {DT!r} AS n, rate AS y FROM dense))""",
+      FROM (SELECT *, {years('term')} AS years, {years('term')} / {_DT} AS n, rate AS y FROM dense))""",
     fit_sql("ld", "source,date"), FACTORS, var_sql(),
 )
 
@@ -308,14 +311,14 @@ DT_NS = (
     "f11_dtafns_adjustment",
     with_(
         *DT_NS,
-        f"""tm AS (SELECT term, years, round(years / {DT!r}) AS h FROM
+        f"""tm AS (SELECT term, years, round(years / {_DT}) AS h FROM
               (SELECT DISTINCT term, years FROM ld)),
         ps AS (SELECT term, years, unnest(range(1, CAST(h AS BIGINT))) AS n FROM tm),
         qs AS (SELECT term, years, sum(n * n) AS q1, sum({_P['b2']} * {_P['b2']}) AS q2,
                sum({_P['b3']} * {_P['b3']}) AS q3 FROM ps GROUP BY 1, 2)""",
     )
     + f"""SELECT source AS issuer, term,
-            {q6(f'-(0.5 * {DT!r} * {DT!r} * {DT!r} * (s11 * q1 + s22 * q2 + s33 * q3)) / years')}
+            {q6(f'-(0.5 * {_DT} * {_DT} * {_DT} * (s11 * q1 + s22 * q2 + s33 * q3)) / years')}
             AS adjustment FROM qs, sg""",
 )
 def f11(spark, d):
@@ -624,7 +627,7 @@ def w11(spark, d):
     from stratanet.operators.pairs import Roles
     from stratanet.operators.windows import date_index
 
-    residuals = C.residual_table(curve(spark, d)).persist()
+    residuals = cut_lineage(C.residual_table(curve(spark, d)))
     five = residuals.where("term = '5Y'").withColumn("k", F.lit("all"))
     stress = E.rolling_stress(
         five, STRESS, Roles(("k",), "issuer", "date", "residual"), date_index(residuals, "date")
@@ -639,7 +642,7 @@ def w11(spark, d):
     + f"SELECT {_STRESS_COLUMNS} FROM sx",
 )
 def w12(spark, d):
-    residuals = C.residual_table(curve(spark, d)).persist()
+    residuals = cut_lineage(C.residual_table(curve(spark, d)))
     return rounded(E.market_stress(residuals, STRESS), *_STRESS)
 
 
@@ -649,5 +652,5 @@ def w12(spark, d):
     + f"SELECT layer AS issuer, {_STRESS_COLUMNS} FROM sx",
 )
 def w13(spark, d):
-    residuals = C.residual_table(curve(spark, d)).persist()
+    residuals = cut_lineage(C.residual_table(curve(spark, d)))
     return rounded(E.issuer_stress(residuals, STRESS), *_STRESS)

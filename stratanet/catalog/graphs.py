@@ -11,6 +11,7 @@ from stratanet.catalog.sql import r6 as q6
 from stratanet.operators import graph as G
 from stratanet.operators import metrics as H
 from stratanet.operators.pairs import measure_pairs
+from stratanet.session import cut_lineage
 
 #: Keeps the graphs of the test panel neither empty nor complete.
 T = 0.15
@@ -18,13 +19,9 @@ KEYS = ("layer",)
 
 
 def net_graph(spark, d, threshold=T):
-    ret = returns(spark, d).persist()
-    pairs = measure_pairs(ret, "pearson_correlation").persist()
-    return (
-        G.graph_nodes(ret, ROLES),
-        G.threshold_edges(pairs, threshold).persist(),
-        pairs,
-    )
+    ret = cut_lineage(returns(spark, d))
+    pairs = cut_lineage(measure_pairs(ret, "pearson_correlation"))
+    return G.graph_nodes(ret, ROLES), G.threshold_edges(pairs, threshold), pairs
 
 
 PM = f"pm AS (SELECT layer, node_i, node_j, {CORR} AS m FROM pr GROUP BY 1, 2, 3)"

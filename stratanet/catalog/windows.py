@@ -103,7 +103,7 @@ ed AS (SELECT layer, node_i AS src, node_j AS dst, 1 - coalesce(m, 0) AS weight,
 )
 def w2(spark, d):
     nodes, edges = E.evolution_graphs(returns(spark, d), ROLLING, threshold=T, roles=ROLES)
-    rows = H.network_summary(nodes.persist(), edges.persist(), ("window_idx", "layer"))
+    rows = H.network_summary(nodes, edges, ("window_idx", "layer"))
     rows = rounded(
         rows, "density", "avg_degree", "avg_clustering", "transitivity", "avg_shortest_path_length"
     )
@@ -130,7 +130,7 @@ def w2_nodes(spark, d):
 
 def _node_metrics(spark, d):
     nodes, edges = E.evolution_graphs(returns(spark, d), ROLLING, threshold=T, roles=ROLES)
-    return H.node_metric_rows(nodes, edges.persist(), ("window_idx", "layer"), "degree")
+    return H.node_metric_rows(nodes, edges, ("window_idx", "layer"), "degree")
 
 
 _INSIDE = """wr0 AS (SELECT window_idx, layer, node, dt, value,

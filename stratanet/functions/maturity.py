@@ -17,17 +17,24 @@ UNIT_FORMS = (
 )
 
 
+_PER_YEAR = {"Y": 1.0, "M": 12.0, "W": 52.0, "D": 365.0}
+_UNITS = r"^(\d+(?:\.\d+)?)\s*(?:(Y)(?:R|RS|EAR|EARS)?|(M)(?:O|OS|ONTH|ONTHS)?|(W)(?:K|KS|EEK|EEKS)?|(D)(?:AY|AYS)?)$"
+
+
 def term_years(label: Column) -> Column:
-    """Maturity in years, null when the label is not a maturity."""
+    """Maturity in years, null when the label is not a maturity.
+
+    Both spellings are first rewritten to "<amount> <unit>", so the label is
+    matched twice whatever the number of units.
+    """
     text = F.upper(F.trim(label.cast("string")))
-    point = F.concat_ws(
-        ".", F.regexp_extract(text, POINT_FORM, 1), F.regexp_extract(text, POINT_FORM, 2)
+    plain = F.regexp_replace(F.regexp_replace(text, POINT_FORM, "$1.$2Y"), _UNITS, "$1 $2$3$4$5")
+    parts = F.split(plain, " ")
+    per_year = F.create_map(*[F.lit(v) for pair in _PER_YEAR.items() for v in pair])
+    return F.when(
+        plain.rlike(r"^\d+(\.\d+)? [YMWD]$"),
+        parts[0].try_cast("double") / per_year[parts[1]],
     )
-    years = F.when(text.rlike(POINT_FORM), point.try_cast("double"))
-    for pattern, per_year in UNIT_FORMS:
-        amount = F.regexp_extract(text, pattern, 1).try_cast("double")
-        years = years.when(text.rlike(pattern), amount / F.lit(per_year))
-    return years
 
 
 def years_of_name(name: str) -> float | None:

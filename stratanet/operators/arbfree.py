@@ -28,6 +28,7 @@ from stratanet.functions.loadings import (
 from stratanet.functions.maturity import canonical_term, term_years
 from stratanet.operators import curvefit as C
 from stratanet.operators.panel import detect_scale
+from stratanet.session import cut_lineage
 
 MIN_DATES_FOR_VAR = 12
 FACTORS = ("level", "slope", "curvature")
@@ -275,7 +276,10 @@ def fit_model(
     kept = kept.withColumn("yield_scale", scale).withColumn(
         "_y", F.col("rate") * F.col("yield_scale")
     )
-    fitted = C.fit_rows(C.with_loadings(kept, F.col("decay"), loadings), [issuer, date], "_y")
+    # Read by the factors, the terms and the final residuals: written once.
+    fitted = cut_lineage(
+        C.fit_rows(C.with_loadings(kept, F.col("decay"), loadings), [issuer, date], "_y")
+    )
     seed = fitted.groupBy(issuer, date).agg(
         *[F.first(c).alias(c) for c in (*FACTORS, "rmse", "decay", "yield_scale")]
     )
@@ -290,7 +294,7 @@ def fit_model(
             *[F.lit(0.0).alias(f"_{f}") for f in FACTORS], "yield_scale",
         )
     else:
-        sigma = estimate_sigma(seed, spec, issuer, date)
+        sigma = cut_lineage(estimate_sigma(seed, spec, issuer, date))
         shaped = shape_table(terms, spec, F.col("decay")).join(
             sigma.select(issuer, *GRAM), issuer
         )

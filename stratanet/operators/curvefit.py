@@ -21,50 +21,65 @@ MIN_TERMS = 4
 Loadings = Callable[[Column, Column | float], tuple[Column, Column]]
 
 
+def with_years(curve: DataFrame) -> DataFrame:
+    return curve.withColumn("years", term_years(F.col("term")))
+
+
 def with_loadings(
     curve: DataFrame, decay: Column | float = 1.0, loadings: Loadings = ns_loadings
 ) -> DataFrame:
     """Add years, f1 and g to rows that carry a ``term``."""
     f1, g = loadings(F.col("years"), decay)
     if "years" not in curve.columns:
-        curve = curve.withColumn("years", term_years(F.col("term")))
+        curve = with_years(curve)
     return curve.withColumn("f1", f1).withColumn("g", g)
 
 
-def _solution(over=lambda c: c, y: str = "y") -> dict[str, Column]:
-    """level, slope, curvature from centred second moments."""
+def _moments(y: str) -> dict[str, Column]:
     f, g, v = F.col("f1"), F.col("g"), F.col(y)
-    ff, gg, fg = over(F.var_pop(f)), over(F.var_pop(g)), over(F.covar_pop(f, g))
-    fy, gy = over(F.covar_pop(f, v)), over(F.covar_pop(g, v))
-    det = ff * gg - fg * fg
-    safe = F.when(det > 0, det)
-    cf, cg = (fy * gg - gy * fg) / safe, (gy * ff - fy * fg) / safe
     return {
-        "level": over(F.avg(v)) - cf * over(F.avg(f)) - cg * over(F.avg(g)),
-        "slope": cf + cg,
-        "curvature": -cg,
+        "_af": F.avg(f), "_ag": F.avg(g), "_ay": F.avg(v),
+        "_ff": F.var_pop(f), "_gg": F.var_pop(g), "_fg": F.covar_pop(f, g),
+        "_fy": F.covar_pop(f, v), "_gy": F.covar_pop(g, v),
     }
 
 
+_MOMENTS = ("_af", "_ag", "_ay", "_ff", "_gg", "_fg", "_fy", "_gy")
+
+
+def _solve(df: DataFrame) -> DataFrame:
+    """level, slope, curvature from centred second moments; null when collinear."""
+    det = F.expr("_ff * _gg - _fg * _fg")
+    return (
+        df.withColumn("_det", F.when(det > 0, det))
+        .withColumns(
+            {
+                "_cf": F.expr("(_fy * _gg - _gy * _fg) / _det"),
+                "_cg": F.expr("(_gy * _ff - _fy * _fg) / _det"),
+            }
+        )
+        .withColumns(
+            {
+                "level": F.expr("_ay - _cf * _af - _cg * _ag"),
+                "slope": F.expr("_cf + _cg"),
+                "curvature": F.expr("-_cg"),
+            }
+        )
+        .drop(*_MOMENTS, "_det", "_cf", "_cg")
+    )
+
+
 def fit_rows(rows: DataFrame, by: list[str], y: str = "rate") -> DataFrame:
     """Add level, slope, curvature, residual and rmse to every row of a curve.
 
     All aggregates share one window, so the panel is shuffled once.
     """
     w = Window.partitionBy(*by)
-    fitted = rows.withColumn("y", F.col(y).cast("double")).withColumns(
-        _solution(lambda c: c.over(w))
-    )
-    model = (
-        F.col("level")
-        + F.col("slope") * F.col("f1")
-        + F.col("curvature") * (F.col("f1") - F.col("g"))
-    )
-    return (
-        fitted.withColumn("residual", F.col("y") - model)
-        .withColumn("rmse", F.sqrt(F.avg(F.col("residual") * F.col("residual")).over(w)))
-        .drop("y")
+    moments = {k: c.over(w) for k, c in _moments(y).items()}
+    fitted = _solve(rows.withColumns(moments)).withColumn(
+        "residual", F.expr(f"`{y}` - level - slope * f1 - curvature * (f1 - g)")
     )
+    return fitted.withColumn("rmse", F.sqrt(F.avg(F.expr("residual * residual")).over(w)))
 
 
 def factor_table(fitted: DataFrame, by: list[str], decay: Column | float = 1.0) -> DataFrame:
@@ -103,7 +118,7 @@ def decay_errors(
     inside the partition where they are aggregated.
     """
     grid = F.explode(F.array(*[F.lit(d) for d in DECAY_GRID]))
-    placed = curve.withColumn("years", term_years(F.col("term"))).repartition(*by)
+    placed = with_years(curve).repartition(*by)
     rows = with_loadings(placed.withColumn("decay", grid), F.col("decay"), loadings)
     fitted = fit_rows(rows, [*by, "decay"])
     square = F.col("residual") * F.col("residual")

@@ -15,6 +15,7 @@ from stratanet.operators import windows as W
 from stratanet.operators.pairs import Roles, complete_dates, measure_pairs
 from stratanet.operators.panel import apply_transforms, daily_returns
 from stratanet.operators.windows import Schedule
+from stratanet.session import cut_lineage
 
 # Regime cut on the slope, stress band, significant correlation.
 REGIME_SLOPE = 0.5
@@ -36,18 +37,18 @@ def evolution_graphs(
 
     A node needs three values in a window, a window ``min_nodes`` nodes.
     """
-    bounded = W.bounded_rows(panel, roles.date, s).persist()
+    bounded = cut_lineage(W.bounded_rows(panel, roles.date, s))
     keys = ["window_idx", *roles.keys]
     nodes = W.window_node_counts(bounded, roles).where(F.col("n") >= 3)
     big = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_nodes)
-    nodes = nodes.join(big, keys, "left_semi").select(*keys, "node")
+    nodes = cut_lineage(nodes.join(big, keys, "left_semi").select(*keys, "node"))
     pairs = W.windowed_measure(bounded, measure, roles, **settings)
     # A pair with three common dates has two nodes with three values each; a
     # non-positive threshold could admit others, hence the joins on nodes.
     edges = G.threshold_edges(pairs, threshold, tuple(keys))
     for end in ("src", "dst"):
         edges = edges.join(nodes.withColumnRenamed("node", end), [*keys, end], "left_semi")
-    return nodes, edges
+    return nodes, cut_lineage(edges)
 
 
 def in_window_rows(
@@ -86,7 +87,8 @@ def multiplex_evolution(
     roles: Roles = Roles(), **settings,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edge mix per window, nodes, edges); windows with one layer are left out."""
-    rows = in_window_rows(panel, s, list(transforms), roles).persist()
+    panel = cut_lineage(panel)
+    rows = cut_lineage(in_window_rows(panel, s, list(transforms), roles))
     keys = ("window_idx", "layer")
     inside = Roles(keys, roles.node, roles.date, roles.value)
     raw = W.bounded_rows(panel, roles.date, s).select(*roles.keys, "k_min", "k_max").distinct()
@@ -97,7 +99,7 @@ def multiplex_evolution(
     nodes = G.graph_nodes(rows, inside).join(layered, "window_idx", "left_semi")
     pairs = measure_pairs(rows, measure, inside, **settings)
     edges = G.threshold_edges(pairs, threshold, keys)
-    edges = edges.join(nodes.select(*keys).distinct(), list(keys), "left_semi").persist()
+    edges = cut_lineage(edges.join(nodes.select(*keys).distinct(), list(keys), "left_semi"))
     mix = edge_mix(nodes, edges, layered)
     index = W.date_index(panel, roles.date)
     windows = W.window_table(index, roles.date, s)
@@ -186,8 +188,9 @@ def factor_trajectory(
     factors: DataFrame, s: Schedule = Schedule(20, 5), subject: str = "subject", date: str = "date"
 ) -> DataFrame:
     """Mean and population deviation of each factor per subject and window."""
-    rows = W.bounded_rows(factors, date, s, (subject,))
+    factors = cut_lineage(factors)
     index = W.date_index(factors, date, (subject,))
+    rows = W.bounded_rows(factors, date, s, (subject,), index)
     names = ("level", "slope", "curvature")
     stats = (
         W.spread(rows)
@@ -302,7 +305,7 @@ def rolling_stress(
     """
     index = W.date_index(panel, roles.date) if index is None else index
     keys = list(roles.keys)
-    full = complete_dates(panel, roles)
+    full = cut_lineage(complete_dates(panel, roles))
     bounded = W.bounded_rows(full, roles.date, s, index=index)
     pairs = W.windowed_pearson(bounded, roles, min_obs=2)
     size = F.abs("measure")

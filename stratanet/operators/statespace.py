@@ -19,6 +19,7 @@ from stratanet.functions.loadings import GRAM
 from stratanet.operators import arbfree as AF
 from stratanet.operators import curvefit as C
 from stratanet.operators.arbfree import ModelSpec, PanelFit
+from stratanet.session import cut_lineage
 
 # Admissible ranges, starting reversion, volatility without a VAR.
 KAPPA_RANGE = (1e-4, 20.0)
@@ -142,7 +143,7 @@ def filter_cells(seeded: DataFrame) -> DataFrame:
 
 def choose_parameters(curve: DataFrame, spec: ModelSpec, issuer="source", date="date") -> DataFrame:
     """(issuer, estimator, cell, loglik, seed_loglik); too short a history keeps two-step."""
-    seeded = seed_parameters(curve, spec, issuer, date)
+    seeded = cut_lineage(seed_parameters(curve, spec, issuer, date))
     return choice(seeded)
 
 
@@ -164,8 +165,10 @@ def choice(seeded: DataFrame) -> DataFrame:
 def fit_state_space(curve: DataFrame, spec: ModelSpec, issuer="source", date="date") -> PanelFit:
     """Filtered factors and residuals at the chosen cell; fallback issuers keep two-step."""
     two = AF.fit_model(curve, spec, issuer, date)
-    seeded = seed_parameters(curve, spec, issuer, date).persist()
-    picked = choice(seeded).where(F.col("cell").isNotNull()).select("issuer", "cell").persist()
+    seeded = cut_lineage(seed_parameters(curve, spec, issuer, date))
+    picked = cut_lineage(
+        choice(seeded).where(F.col("cell").isNotNull()).select("issuer", "cell")
+    )
     schema = T.StructType(
         [
             seeded.schema["issuer"], seeded.schema["date"], T.StructField("term", T.StringType()),

@@ -14,6 +14,7 @@ from stratanet.functions.tails import chi2_tail
 from stratanet.operators.arbfree import ModelSpec, PanelFit, fit_panel, mean_reversion
 from stratanet.operators.panel import NetworkKind
 from stratanet.operators.residuals import DEFAULT_THRESHOLD, residual_networks
+from stratanet.session import cut_lineage
 
 LONG_END, SHORT_END = 15.0, 2.0
 SAME_EDGES = 0.999
@@ -49,9 +50,9 @@ def _stack(frames: dict[str, DataFrame]) -> DataFrame:
 def fit_all(
     curve: DataFrame, specs: list[ModelSpec], issuer: str = "source", date: str = "date"
 ) -> dict[str, PanelFit]:
-    """Each model once; the curve is kept because every fit reads it."""
+    """Each model once; the curve is written once because every fit reads it."""
     check_specs(specs)
-    kept = curve.persist()
+    kept = cut_lineage(curve)
     return {s.name: fit_panel(kept, s, issuer, date) for s in specs}
 
 
@@ -257,9 +258,9 @@ def compare_models(
 ) -> dict[str, DataFrame]:
     """Every comparison frame, each model fitted once."""
     fits = fit_all(curve, specs, issuer, date)
-    residuals = stacked_residuals(fits).persist()
+    residuals = cut_lineage(stacked_residuals(fits))
     nodes, edges = residual_networks(residuals, kind, threshold, ("model",))
-    edges = edges.persist()
+    edges = cut_lineage(edges)
     names = list(fits)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     size = residual_size(residuals)
