@@ -6,7 +6,7 @@ from importlib import import_module
 
 from stratanet.catalog.base import REGISTRY
 
-for _module in ("tables", "panels", "measures", "graphs", "windows", "curves"):
+for _module in ("tables", "panels", "measures", "graphs", "windows", "curves", "communities", "residuals"):
     import_module(f"stratanet.catalog.{_module}")
 
 

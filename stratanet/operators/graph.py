@@ -184,15 +184,19 @@ def edge_table(intra: DataFrame, inter: DataFrame) -> DataFrame:
     )
 
 
-def multiplex_edges(intra: DataFrame, inter: DataFrame) -> DataFrame:
+def multiplex_edges(
+    intra: DataFrame, inter: DataFrame, keys: tuple[str, ...] = ()
+) -> DataFrame:
     """One edge list over (node, layer) vertices."""
     a = intra.select(
+        *keys,
         F.struct(F.col("source_issuer").alias("node"), F.col("term").alias("layer")).alias("u"),
         F.struct(F.col("target_issuer").alias("node"), F.col("term").alias("layer")).alias("v"),
         "weight",
         F.lit("intra").alias("edge_type"),
     )
     b = inter.select(
+        *keys,
         F.struct(F.col("source_issuer").alias("node"), F.col("term_from").alias("layer")).alias("u"),
         F.struct(F.col("target_issuer").alias("node"), F.col("term_to").alias("layer")).alias("v"),
         "weight",
