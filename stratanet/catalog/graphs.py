@@ -251,6 +251,32 @@ def g14_landmarks(spark, d):
     return rounded(G.degree_landmarks(G.degrees(nodes, edges, KEYS)), "mean_degree")
 
 
+@query(
+    "s17_stored_multiplex",
+    graph_sql(T, INTER)
+    + """SELECT 'nodes' AS part, count(*) AS n_rows FROM nd
+         UNION ALL SELECT 'intra', count(*) FROM ed UNION ALL SELECT 'inter', count(*) FROM it""",
+)
+def s17(spark, d):
+    """Multiplex tables written to a store and read back without rebuilding."""
+    from stratanet.session import scratch_path
+    from stratanet.sources import store
+
+    nodes, edges, _ = net_graph(spark, d)
+    names = ("mln_nodes", "mln_intra", "mln_inter")
+    path = scratch_path(spark, "multiplex")
+    store.save_results(spark, path, dict(zip(names, G.multiplex_tables(nodes, edges), strict=True)))
+    tables = store.load_multiplex(spark, path)
+    return G.union_all(
+        [
+            t.groupBy(F.lit(n.removeprefix("mln_")).alias("part")).agg(
+                F.count(F.lit(1)).alias("n_rows")
+            )
+            for n, t in zip(names, tables, strict=True)
+        ]
+    )
+
+
 SIZES = """sz AS (SELECT l.layer, l.n AS n_nodes,
     (SELECT count(*) FROM ed WHERE ed.layer = l.layer) AS n_edges
   FROM (SELECT layer, count(*) AS n FROM nd GROUP BY 1) l)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratanet.catalog.base import query, r6
-from stratanet.catalog.sql import CORR, EVENT, NET, RETURNS, pair_rows, with_
+from stratanet.catalog.sql import CORR, EVENT, NET, RETURNS, SUPPLIER, pair_rows, with_
 from stratanet.catalog.sql import r6 as q6
 from stratanet.operators import panel as P
 from stratanet.operators.pairs import MEASURES, Roles, measure_pairs
@@ -189,6 +189,17 @@ def m7(spark, d):
     return measured(returns(spark, d), "shrinkage_correlation")
 
 
+@query("m1_pearson_suppliers", _pairs_sql(with_(SUPPLIER, pair_rows("net")), CORR))
+def m1_suppliers(spark, d):
+    """One node per supplier: the wide panel."""
+    return measured(A.supplier_long(spark, d), "pearson_correlation")
+
+
+@query("m2_spearman_suppliers", _pairs_sql(with_(SUPPLIER, pair_rows("net"), _RANKED), CORR, "rk"))
+def m2_suppliers(spark, d):
+    return measured(A.supplier_long(spark, d), "spearman_correlation")
+
+
 @query("m8_mutual_information_pairs")
 def m8(spark, d):
     return measured(returns(spark, d), "mutual_information")

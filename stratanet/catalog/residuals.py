@@ -208,7 +208,7 @@ _DIAG = """dg9 AS (SELECT 'ns' AS model, 0.0 AS s11, 0.0 AS s22, 0.0 AS s33, 0.0
 @query(
     "r9_fit_diagnostics",
     with_(*BOTH_MODELS, _DIAG)
-    + f"""SELECT model, CAST(5 AS BIGINT) AS n_issuers, {q6('s11')} AS sigma_11, {q6('s22')} AS sigma_22,
+    + f"""SELECT model, (SELECT count(*) FROM sg) AS n_issuers, {q6('s11')} AS sigma_11, {q6('s22')} AS sigma_22,
             {q6('s33')} AS sigma_33, {q6('mean_rmse')} AS mean_rmse,
             {q6('adj')} AS max_abs_adjustment, CAST(1 AS DOUBLE) AS yield_scale FROM dg9""",
 )

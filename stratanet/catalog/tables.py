@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from stratanet.catalog.base import query
 from stratanet.catalog.sql import CURVE, with_
 from stratanet.sources import adapters as A
 from stratanet.sources import tables as S
+from stratanet.session import scratch_path
 
 
 @query(
@@ -134,6 +137,62 @@ for _keep, _dir in (("first", "ASC"), ("last", "DESC")):
         return S.remove_duplicates(df, ["l_partkey", "l_suppkey"], order, keep)
 
 
+@query(
+    "s8_save_table",
+    "SELECT n_nationkey, n_name, false AS replaced FROM nation",
+)
+def s8(spark, d):
+    """Write, try again without overwriting (nothing happens), read back."""
+    nation = A.table(spark, d, "nation").select("n_nationkey", "n_name")
+    path = scratch_path(spark, "nation")
+    S.save_table(nation, path)
+    replaced = S.save_table(nation.limit(1), path)
+    return spark.read.parquet(path).withColumn("replaced", F.lit(replaced))
+
+
+@query(
+    "s9_append_checked",
+    """SELECT s_suppkey, s_name, s_acctbal FROM supplier
+       UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier""",
+)
+def s9(spark, d):
+    """Batch columns are matched by name whatever their case; a bad batch raises."""
+    target = A.table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    batch = target.withColumnsRenamed({"s_name": "S_NAME"})
+    try:
+        S.check_append(target, target.withColumn("s_acctbal", F.col("s_name")))
+    except S.QueryError:
+        return S.append(target, batch)
+    raise AssertionError("a text batch column was accepted for a number")
+
+
+@query(
+    "s13_store_round_trip",
+    with_(CURVE)
+    + """SELECT 'stage1' AS stage, 'stage1_curve' AS frame, count(*) AS n_rows FROM curve
+         UNION ALL SELECT 'stage2', 'stage2_cells', count(*) FROM
+           (SELECT DISTINCT source, term FROM curve)""",
+)
+def s13(spark, d):
+    """Save two frames with a manifest, load them, describe rows per stage (S14)."""
+    from stratanet.sources import store
+
+    curve = A.curve_long(spark, d)
+    path = scratch_path(spark, "store")
+    frames = {"stage1_curve": curve, "stage2_cells": curve.select("source", "term").distinct()}
+    store.save_results(spark, path, frames, settings={"threshold": 0.33})
+    return store.describe(store.load_results(spark, path))
+
+
+@query("s16_export", "SELECT r_regionkey, r_name FROM region")
+def s16(spark, d):
+    from stratanet.sources import store
+
+    path = scratch_path(spark, "region") + ".csv"
+    store.export(A.table(spark, d, "region").select("r_regionkey", "r_name"), path)
+    return S.read(spark, path)
+
+
 _PER_REGION = " UNION ALL ".join(
     f"SELECT date, term, rate, '{s}' AS source FROM curve WHERE source = '{s}'"
     for s in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratanet.functions.loadings import ns_loadings
+from stratanet.functions.moments import safe_corr
 from stratanet.functions.maturity import canonical_term, term_years
 from stratanet.operators.panel import dense_rows
 from stratanet.sources.tables import QueryError
@@ -236,7 +237,7 @@ def curve_pca(curve: DataFrame, date: str, terms: list[str], k: int = 3):
         *[F.avg(f"`{t}`").alias(f"m{i}") for i, t in enumerate(terms)],
         *[F.stddev_pop(f"`{t}`").alias(f"s{i}") for i, t in enumerate(terms)],
         *[
-            F.corr(f"`{a}`", f"`{b}`").alias(f"c{i}_{j}")
+            safe_corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"c{i}_{j}")
             for i, a in enumerate(terms)
             for j, b in enumerate(terms)
             if i < j

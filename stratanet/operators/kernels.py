@@ -1,8 +1,9 @@
-"""NumPy helpers for one tile of a panel: x against several y at once.
+"""NumPy helpers for one tile of a panel; NaN where a series has no value.
 
-Every function takes ``x`` (n_dates,) and ``Y`` (n_dates, m), NaN where a series
-has no value, and returns ``(value, n_obs)`` arrays of length m. Spark decides
-which series meet in which task; nothing here sees more than two node blocks.
+Block functions take (dates x a) and (dates x b) and return ``(value, n_obs)``
+of shape (a x b).  The others take one series and several, and return arrays of
+length m.  Spark decides which series meet in which task; nothing here sees more
+than two node blocks.
 """
 
 from __future__ import annotations
@@ -34,108 +35,134 @@ def average_ranks(Z):
     return np.where(np.isnan(Z), np.nan, ranks)
 
 
-def _column_corr(A, B, mask, n):
-    safe = np.maximum(n, 1)
-    A = np.where(mask, A, 0.0)
-    B = np.where(mask, B, 0.0)
-    A = np.where(mask, A - A.sum(axis=0) / safe, 0.0)
-    B = np.where(mask, B - B.sum(axis=0) / safe, 0.0)
-    va, vb = (A * A).sum(axis=0), (B * B).sum(axis=0)
-    with np.errstate(all="ignore"):
-        r = (A * B).sum(axis=0) / np.sqrt(va * vb)
-    return np.where((n >= MIN_OBS) & (va > 0) & (vb > 0), r, np.nan)
+# -- whole blocks: (dates x a) against (dates x b) -> (a x b) --------------------------
 
+#: Cells of one working array; bands of dates keep every array below it.
+WORK_CELLS = 8_000_000
 
-def spearman(x, Y):
-    mask, n = _complete(x, Y)
-    rx = average_ranks(np.where(mask, x[:, None], np.nan))
-    ry = average_ranks(np.where(mask, Y, np.nan))
-    return _column_corr(rx, ry, mask, n), n
 
+def _bands(n_dates: int, n_nodes: int):
+    rows = max(1, WORK_CELLS // max(1, n_dates * n_nodes))
+    for lo in range(0, n_dates, rows):
+        yield slice(lo, min(n_dates, lo + rows))
 
-def kendall(x, Y):
-    """Absolute tau-b from sign products, a band of date pairs at a time."""
-    mask, n = _complete(x, Y)
-    total = len(x)
-    score = np.zeros(Y.shape[1])
-    free_x = np.zeros(Y.shape[1])
-    free_y = np.zeros(Y.shape[1])
-    for i in range(total - 1):
-        if np.isnan(x[i]):
-            continue
-        both = mask[i] & mask[i + 1 :]
-        sx = np.sign(x[i + 1 :] - x[i])[:, None]
-        sy = np.sign(Y[i + 1 :] - Y[i])
-        sx = np.where(both, sx, 0.0)
-        sy = np.where(both, sy, 0.0)
-        score += (sx * sy).sum(axis=0)
-        free_x += np.abs(sx).sum(axis=0)
-        free_y += np.abs(sy).sum(axis=0)
-    with np.errstate(all="ignore"):
-        tau = np.abs(score) / np.sqrt(free_x * free_y)
-    return np.where((n >= MIN_OBS) & (free_x > 0) & (free_y > 0), tau, np.nan), n
 
+def _masked(X, dtype=np.float64):
+    present = ~np.isnan(X)
+    return np.where(present, X, 0.0).T, present.T.astype(dtype)
 
-def chatterjee_xi(x, Y):
-    """x is the earlier node of the pair; tied x keep date order."""
-    mask, n = _complete(x, Y)
-    out = np.full(Y.shape[1], np.nan)
-    for q in np.flatnonzero(n >= MIN_OBS):
-        rows = mask[:, q]
-        ranks = average_ranks(Y[rows, q : q + 1])[:, 0]
-        order = np.argsort(x[rows], kind="stable")
-        steps = np.abs(np.diff(ranks[order])).sum()
-        out[q] = abs(1.0 - 3.0 * steps / (float(n[q]) ** 2 - 1.0))
-    return out, n
 
+def _against(table, mask):
+    """Sum of table[x, s, t] over the dates t of each y: (x, s, y)."""
+    n, s, t = table.shape
+    return (table.reshape(n * s, t) @ mask.T).reshape(n, s, -1)
 
-def _distance_rows(v):
-    """Row sums of |v_i - v_j| in n log n."""
-    order = np.argsort(v, kind="stable")
-    s = v[order]
-    n = len(v)
-    prefix = np.cumsum(s)
-    at = np.arange(n)
-    sums = s * (2 * at + 2 - n) + prefix[-1] - 2 * prefix
-    out = np.empty(n)
-    out[order] = sums
-    return out
 
+def _below(V, M, band):
+    """How many dates t are below date s, ties counting half: (x, s, t)."""
+    here = V[:, band, None]
+    less = (V[:, None, :] < here).astype(np.float32)
+    less += 0.5 * (V[:, None, :] == here)
+    return less * M[:, None, :]
 
-def _product_sum(a, b, band=1024):
-    """Sum over i, j of |a_i - a_j| |b_i - b_j| in bands of rows."""
-    total = 0.0
-    for lo in range(0, len(a), band):
-        da = np.abs(a[lo : lo + band, None] - a[None, :])
-        db = np.abs(b[lo : lo + band, None] - b[None, :])
-        total += float((da * db).sum())
-    return total
 
+def spearman(X, Y):
+    """Average ranks within each pair's own dates, as counts of smaller values."""
+    (A, MA), (B, MB) = _masked(X, np.float32), _masked(Y, np.float32)
+    n = (MA @ MB.T).astype(np.float64)
+    shape = n.shape
+    xy, xx, yy = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+    middle = n / 2.0
+    for band in _bands(len(X), max(shape)):
+        rx = _against(_below(A, MA, band), MB) - middle[:, None, :]
+        ry = _against(_below(B, MB, band), MA).transpose(2, 1, 0) - middle[:, None, :]
+        both = MA[:, band, None] * MB[:, band].T[None]
+        rx *= both
+        ry *= both
+        xy += (rx * ry).sum(axis=1)
+        xx += (rx * rx).sum(axis=1)
+        yy += (ry * ry).sum(axis=1)
+    with np.errstate(all="ignore"):
+        r = np.clip(xy / np.sqrt(xx * yy), -1.0, 1.0)
+    return np.where((n >= MIN_OBS) & (xx > 0) & (yy > 0), r, np.nan), n
+
+
+def kendall(X, Y):
+    """Absolute tau-b: sign products over date pairs, a band of dates at a time."""
+    (A, MA), (B, MB) = _masked(X, np.float32), _masked(Y, np.float32)
+    n = (MA @ MB.T).astype(np.float64)
+    score, free_x, free_y = np.zeros(n.shape), np.zeros(n.shape), np.zeros(n.shape)
+
+    def signs(V, M, band):
+        later = np.arange(V.shape[1])[None, :] > np.arange(V.shape[1])[band, None]
+        pair = (M[:, band, None] * M[:, None, :]) * later
+        s = np.sign(V[:, None, :] - V[:, band, None]).astype(np.float32) * pair
+        return s.reshape(len(V), -1), pair.reshape(len(V), -1)
+
+    for band in _bands(len(X), max(n.shape)):
+        sx, px = signs(A, MA, band)
+        sy, py = signs(B, MB, band)
+        score += sx @ sy.T
+        free_x += np.abs(sx) @ py.T
+        free_y += px @ np.abs(sy).T
+    with np.errstate(all="ignore"):
+        tau = np.abs(score) / np.sqrt(free_x * free_y)
+    return np.where((n >= MIN_OBS) & (free_x > 0) & (free_y > 0), tau, np.nan), n
+
+
+def distance_correlation(X, Y):
+    """Every term of the distance covariances is a sum over dates of a pair."""
+
+    def scaled(Z):
+        with np.errstate(all="ignore"):
+            Z = Z - np.nanmean(Z, axis=0)
+            top = np.nanmax(np.abs(Z), axis=0)
+        return Z / np.where(top > 0, top, 1.0)
+
+    (A, MA), (B, MB) = _masked(scaled(X)), _masked(scaled(Y))
+    n = MA @ MB.T
+    sums = np.zeros((8, *n.shape))
+    for band in _bands(len(X), max(n.shape)):
+        da = np.abs(A[:, band, None] - A[:, None, :]) * MA[:, band, None] * MA[:, None, :]
+        db = np.abs(B[:, band, None] - B[:, None, :]) * MB[:, band, None] * MB[:, None, :]
+        flat_a, flat_b = da.reshape(len(da), -1), db.reshape(len(db), -1)
+        pa = (MA[:, band, None] * MA[:, None, :]).reshape(len(da), -1)
+        pb = (MB[:, band, None] * MB[:, None, :]).reshape(len(db), -1)
+        both = MA[:, band, None] * MB[:, band].T[None]
+        ra = _against(da, MB) * both
+        rb = _against(db, MA).transpose(2, 1, 0) * both
+        sums += (
+            flat_a @ flat_b.T, (flat_a * flat_a) @ pb.T, pa @ (flat_b * flat_b).T,
+            (ra * rb).sum(axis=1), (ra * ra).sum(axis=1), (rb * rb).sum(axis=1),
+            ra.sum(axis=1), rb.sum(axis=1),
+        )
+    ab, aa, bb, rab, raa, rbb, ta, tb = sums
+    with np.errstate(all="ignore"):
+        def dcov(cross, rows, u, v):
+            return np.maximum(cross / n**2 - 2.0 * rows / n**3 + u * v / n**4, 0.0)
+
+        scale = np.sqrt(dcov(aa, raa, ta, ta) * dcov(bb, rbb, tb, tb))
+        r = np.where(scale > 0, np.sqrt(dcov(ab, rab, ta, tb) / scale), 0.0)
+    return np.where(n >= MIN_OBS, np.minimum(r, 1.0), np.nan), n
 
-def _dcov2(a, b):
-    n = len(a)
-    ra, rb = _distance_rows(a), _distance_rows(b)
-    return (
-        _product_sum(a, b) / n**2
-        - 2.0 * float(ra @ rb) / n**3
-        + ra.sum() * rb.sum() / n**4
-    )
 
+# -- one series against several -----------------------------------------------------
 
-def distance_correlation(x, Y):
+
+def chatterjee_xi(x, Y):
+    """x is the earlier node of the pair; tied x keep date order."""
     mask, n = _complete(x, Y)
-    out = np.full(Y.shape[1], np.nan)
-    for q in np.flatnonzero(n >= MIN_OBS):
-        rows = mask[:, q]
-        a, b = x[rows] - x[rows].mean(), Y[rows, q] - Y[rows, q].mean()
-        sa, sb = np.abs(a).max(), np.abs(b).max()
-        if sa == 0 or sb == 0:
-            out[q] = 0.0
-            continue
-        a, b = a / sa, b / sb
-        scale = np.sqrt(max(_dcov2(a, a), 0.0) * max(_dcov2(b, b), 0.0))
-        out[q] = np.sqrt(max(_dcov2(a, b), 0.0) / scale) if scale > 0 else 0.0
-    return out, n
+    ranks = average_ranks(np.where(mask, Y, np.nan))
+    order = np.argsort(x, kind="stable")
+    ranks, live = ranks[order], mask[order]
+    at = np.where(live, np.arange(len(x))[:, None], -1)
+    before = np.vstack([np.full((1, Y.shape[1]), -1), np.maximum.accumulate(at, axis=0)[:-1]])
+    step = np.abs(ranks - np.take_along_axis(ranks, np.maximum(before, 0), axis=0))
+    total = np.where(live & (before >= 0), step, 0.0).sum(axis=0)
+    size = n.astype(float)
+    with np.errstate(all="ignore"):
+        xi = np.abs(1.0 - 3.0 * total / (size * size - 1.0))
+    return np.where(n >= MIN_OBS, xi, np.nan), n
 
 
 def _kth_gap(a, b, k, band=512):

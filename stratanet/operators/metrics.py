@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratanet.functions.moments import safe_corr
 from stratanet.operators.graph import both_ways, degrees
 from stratanet.session import cut_lineage, is_empty
 
@@ -563,7 +564,7 @@ def degree_mixing(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     )
     u, v = F.col("_du").cast("double"), F.col("_dv").cast("double")
     mix = ends.groupBy(*on).agg(
-        F.when(F.stddev_pop(u) > 0, F.corr(u, v)).alias("degree_assortativity")
+        safe_corr(u, v).alias("degree_assortativity")
     )
     around = ends.groupBy(*on, "node").agg(F.avg(v).alias("_avg"))
     near = (

@@ -202,37 +202,49 @@ def pair_sums(
     )
 
 
-def pair_kernel(panel: DataFrame, roles: Roles, fn: Callable) -> DataFrame:
-    """Run ``fn(x, Y) -> (value, n)`` for every pair; whole series per tile."""
+def pair_kernel(
+    panel: DataFrame, roles: Roles, fn: Callable, block: bool = False
+) -> DataFrame:
+    """(keys, node_i, node_j, n_obs, raw) of every pair; whole series per tile.
+
+    ``fn(x, Y) -> (value, n)`` gets the earlier node and several later ones;
+    with ``block``, ``fn(X, Y)`` gets two blocks and must be symmetric.
+    """
     fields, types, node_type = _key_types(panel, roles)
     schema = _pair_schema(
         panel, roles, {"n_obs": T.LongType(), "raw": T.DoubleType()}
     )
     n_keys = len(roles.keys)
 
-    def run(key, tile):
-        names, blk, X = _tile_matrix(tile, roles)
-        a, b = key[n_keys].as_py(), key[n_keys + 1].as_py()
+    def by_series(blk, X, a, b):
         parts = []
         for p in range(X.shape[1]):
-            later = blk[p + 1 :]
-            js = p + 1 + np.flatnonzero(later == (a + b - blk[p]))
+            js = p + 1 + np.flatnonzero(blk[p + 1 :] == (a + b - blk[p]))
             if len(js):
                 value, n = fn(X[:, p], X[:, js])
-                keep = n > 0
-                parts.append(
-                    (np.full(keep.sum(), p), js[keep], n[keep], value[keep])
-                )
-        if parts:
-            i, j, n, value = (np.concatenate(c) for c in zip(*parts, strict=True))
-        else:
-            i = j = n = np.empty(0, dtype=np.int64)
-            value = np.empty(0)
+                parts.append((np.full(len(js), p), js, n, value))
+        if not parts:
+            return [np.empty(0, dtype=np.int64)] * 3 + [np.empty(0)]
+        return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+    def by_block(blk, X, a, b):
+        left, right = np.flatnonzero(blk == a), np.flatnonzero(blk == b)
+        value, n = fn(X[:, left], X[:, right])
+        wanted = np.triu(np.ones(n.shape, dtype=bool), 1) if a == b else np.ones(n.shape, bool)
+        p, q = np.nonzero(wanted)
+        i, j = left[p], right[q]
+        return np.minimum(i, j), np.maximum(i, j), n[p, q], value[p, q]
+
+    def run(key, tile):
+        names, blk, X = _tile_matrix(tile, roles)
+        a, b = key[n_keys].as_py(), key[n_keys + 1].as_py()
+        i, j, n, value = (by_block if block else by_series)(blk, X, a, b)
+        keep = n > 0
         columns = {
-            "n_obs": pa.array(n.astype(np.int64)),
-            "raw": pa.array(value.astype(float), from_pandas=True),
+            "n_obs": pa.array(n[keep].astype(np.int64)),
+            "raw": pa.array(value[keep].astype(float), from_pandas=True),
         }
-        return _emit(key, names, (fields, types), node_type, i, j, columns)
+        return _emit(key, names, (fields, types), node_type, i[keep], j[keep], columns)
 
     return (
         tiles(panel, roles, sliced=False)
@@ -367,9 +379,9 @@ def shrinkage(panel: DataFrame, roles: Roles) -> DataFrame:
     )
 
 
-def _plain_kernel(fn: Callable):
+def _plain_kernel(fn: Callable, block: bool = False):
     def build(panel: DataFrame, roles: Roles) -> DataFrame:
-        return pair_kernel(panel, roles, fn).withColumnRenamed("raw", "measure")
+        return pair_kernel(panel, roles, fn, block).withColumnRenamed("raw", "measure")
 
     return build
 
@@ -458,11 +470,11 @@ class Measure:
 MEASURES: dict[str, Measure] = {
     "pearson_correlation": Measure("Pearson correlation", pearson, low=-1.0),
     "spearman_correlation": Measure(
-        "Spearman correlation", _plain_kernel(kernels.spearman), low=-1.0
+        "Spearman correlation", _plain_kernel(kernels.spearman, block=True), low=-1.0
     ),
-    "kendall_tau": Measure("Kendall tau-b", _plain_kernel(kernels.kendall)),
+    "kendall_tau": Measure("Kendall tau-b", _plain_kernel(kernels.kendall, block=True)),
     "distance_correlation": Measure(
-        "Distance correlation", _plain_kernel(kernels.distance_correlation)
+        "Distance correlation", _plain_kernel(kernels.distance_correlation, block=True)
     ),
     "chatterjee_xi": Measure("Chatterjee xi", _plain_kernel(kernels.chatterjee_xi)),
     "conditional_correlation": Measure(

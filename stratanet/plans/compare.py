@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratanet.functions.maturity import term_years
+from stratanet.functions.moments import safe_corr
 from stratanet.functions.tails import chi2_tail
 from stratanet.operators.arbfree import ModelSpec, PanelFit, fit_panel, mean_reversion
 from stratanet.operators.panel import NetworkKind
@@ -167,9 +168,8 @@ def cell_agreement(residuals: DataFrame, pairs: list[tuple[str, str]]) -> DataFr
     a = residuals.select(*cell, F.col("model").alias("model_a"), F.col("residual").alias("a"))
     b = residuals.select(*cell, F.col("model").alias("model_b"), F.col("residual").alias("b"))
     both = a.join(wanted, "model_a").join(b, [*cell, "model_b"])
-    defined = (F.stddev_pop("a") > 0) & (F.stddev_pop("b") > 0)
     return both.groupBy("model_a", "model_b").agg(
-        F.when(defined, F.corr("a", "b")).alias("residual_corr"),
+        safe_corr(F.col("a"), F.col("b")).alias("residual_corr"),
         F.avg(F.abs(F.col("a") - F.col("b"))).alias("mean_abs_diff"),
     )
 
