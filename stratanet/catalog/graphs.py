@@ -20,7 +20,7 @@ KEYS = ("layer",)
 
 def net_graph(spark, d, threshold=T):
     ret = cut_lineage(returns(spark, d))
-    pairs = cut_lineage(measure_pairs(ret, "pearson_correlation"))
+    pairs = cut_lineage(measure_pairs(ret, "pearson_correlation", stored=True))
     return G.graph_nodes(ret, ROLES), G.threshold_edges(pairs, threshold), pairs
 
 

@@ -97,7 +97,7 @@ def multiplex_evolution(
         .where(F.col("_l") >= 2).select("window_idx")
     )
     nodes = G.graph_nodes(rows, inside).join(layered, "window_idx", "left_semi")
-    pairs = measure_pairs(rows, measure, inside, **settings)
+    pairs = measure_pairs(rows, measure, inside, stored=True, **settings)
     edges = G.threshold_edges(pairs, threshold, keys)
     edges = cut_lineage(edges.join(nodes.select(*keys).distinct(), list(keys), "left_semi"))
     mix = edge_mix(nodes, edges, layered)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratanet.operators import kernels
+from stratanet.session import cut_lineage
 
 #: Nodes per block, dates per slice and cells per tile side.
 BLOCK_NODES = 128
@@ -330,7 +331,7 @@ def shrinkage(panel: DataFrame, roles: Roles) -> DataFrame:
     """
     keys = list(roles.keys)
     group = [*keys, "node_i", "node_j"]
-    full = centre(complete_dates(panel, roles), roles)
+    full = cut_lineage(centre(complete_dates(panel, roles), roles))
     sums = add_up(pair_sums(full, roles, self_pairs=True, fourth=True), group, True)
     n = F.col("n").cast("double")
     both = F.when(F.col("node_i") == F.col("node_j"), 1.0).otherwise(2.0)
@@ -515,15 +516,20 @@ def register_pair_kernel(name: str, fn: Callable, **meta) -> None:
 
 
 def measure_pairs(
-    panel: DataFrame, measure: str, roles: Roles = Roles(), **settings
+    panel: DataFrame, measure: str, roles: Roles = Roles(), *, stored: bool = False, **settings
 ) -> DataFrame:
     """(keys, node_i, node_j, n_obs, measure), node_i < node_j.
 
-    Pairs without a common date are absent; pairs with too few are null.
+    Pairs without a common date are absent; pairs with too few are null.  A
+    measure reads its panel several times (sizes, means, tiles), so the panel is
+    written once first unless it is a stored table already.
     """
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}")
     unknown = set(settings) - set(MEASURES[measure].settings)
     if unknown and MEASURES[measure].settings:
         raise ValueError(f"{measure} has no setting {sorted(unknown)}")
-    return MEASURES[measure].build(clean_values(panel, roles), roles, **settings)
+    panel = clean_values(panel, roles)
+    if not stored:
+        panel = cut_lineage(panel)
+    return MEASURES[measure].build(panel, roles, **settings)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratanet.operators import metrics as H
 from stratanet.operators.pairs import Roles, complete_dates, pearson
 from stratanet.operators.panel import NetworkKind
+from stratanet.session import cut_lineage
 from stratanet.sources.tables import type_family
 
 DEFAULT_THRESHOLD = 0.3
@@ -35,7 +36,7 @@ def residual_networks(
     on = (*keys, "label")
     roles = Roles(on, "node", "date", "residual")
     nodes = panel.select(*on, "node").distinct()
-    pairs = pearson(complete_dates(panel, roles), roles)
+    pairs = pearson(cut_lineage(complete_dates(panel, roles)), roles)
     strong = F.round(F.abs(F.coalesce("measure", F.lit(0.0))), 9) > threshold
     edges = pairs.where(strong).select(
         *on, F.col("node_i").alias("src"), F.col("node_j").alias("dst"),
