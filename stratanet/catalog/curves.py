@@ -226,8 +226,8 @@ def var_sql(dt: float = DT, pooled: bool = False) -> str:
     resid = ", ".join(f"n * (v{i} - ({explained[i]})) AS e{i}" for i in z)
     if pooled:
         pick = ", ".join(
-            f"sum(CASE WHEN n + 1 >= 12 THEN e{i} END) OVER () / greatest(sum(CASE WHEN n + 1 >= 12"
-            f" THEN n ELSE 0 END) OVER () - 4, 1) / {dt!r}e0 AS s{i + 1}{i + 1}"
+            f"coalesce(sum(CASE WHEN n + 1 >= 12 THEN e{i} END) OVER () / greatest(sum(CASE WHEN"
+            f" n + 1 >= 12 THEN n ELSE 0 END) OVER () - 4, 1) / {dt!r}e0, 0) AS s{i + 1}{i + 1}"
             for i in z
         )
     else:
@@ -491,10 +491,11 @@ def f23(spark, d):
 
 @query(
     "w7_market_curve",
-    with_(CURVE) + f"SELECT date, term, {q6('avg(rate)')} AS rate FROM curve GROUP BY 1, 2",
+    with_(CURVE) + f"SELECT date, term, {q6('avg(rate) * 10000')} AS rate_bp FROM curve GROUP BY 1, 2",
 )
 def w7(spark, d):
-    return rounded(C.market_curve(curve(spark, d)), "rate")
+    market = C.market_curve(curve(spark, d))
+    return market.select("date", "term", r6(F.col("rate") * 1e4).alias("rate_bp"))
 
 
 TRAJECTORY = Schedule(20, 5)
@@ -548,7 +549,8 @@ def w9(spark, d):
 @query(
     "w9_skipped_issuers",
     with_(*RAGGED_FIT)
-    + "SELECT DISTINCT source FROM ragged WHERE source NOT IN (SELECT source FROM fr)",
+    + """SELECT DISTINCT source FROM ragged WHERE source NOT IN (
+           SELECT source FROM fr GROUP BY 1 HAVING count(DISTINCT date) >= 20)""",
 )
 def w9_skipped(spark, d):
     panel = ragged(spark, d)

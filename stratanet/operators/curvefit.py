@@ -247,14 +247,17 @@ def curve_pca(curve: DataFrame, date: str, terms: list[str], k: int = 3):
     C = np.eye(p)
     for i in range(p):
         for j in range(i + 1, p):
-            C[i, j] = C[j, i] = means[f"c{i}_{j}"]
+            C[i, j] = C[j, i] = means[f"c{i}_{j}"] or 0.0
     values, vectors = np.linalg.eigh(C)
     order = np.argsort(values)[::-1][:k]
     V = vectors[:, order]
     V = V * np.sign(V[np.abs(V).argmax(axis=0), range(k)])
     share = values[order] / values.sum()
     spark = curve.sparkSession
-    z = [(F.col(f"`{t}`") - means[f"m{i}"]) / means[f"s{i}"] for i, t in enumerate(terms)]
+    z = [
+        F.try_divide(F.col(f"`{t}`") - F.lit(means[f"m{i}"]), F.lit(means[f"s{i}"]))
+        for i, t in enumerate(terms)
+    ]
     score = [
         sum((z[i] * float(V[i, c]) for i in range(1, p)), z[0] * float(V[0, c])) for c in range(k)
     ]

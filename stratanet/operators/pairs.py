@@ -217,6 +217,8 @@ def pair_kernel(
     )
     n_keys = len(roles.keys)
 
+    nothing = [np.empty(0, dtype=np.int64)] * 3 + [np.empty(0)]
+
     def by_series(blk, X, a, b):
         parts = []
         for p in range(X.shape[1]):
@@ -225,11 +227,13 @@ def pair_kernel(
                 value, n = fn(X[:, p], X[:, js])
                 parts.append((np.full(len(js), p), js, n, value))
         if not parts:
-            return [np.empty(0, dtype=np.int64)] * 3 + [np.empty(0)]
+            return nothing
         return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
     def by_block(blk, X, a, b):
         left, right = np.flatnonzero(blk == a), np.flatnonzero(blk == b)
+        if not len(left) or not len(right):
+            return nothing
         value, n = fn(X[:, left], X[:, right])
         wanted = np.triu(np.ones(n.shape, dtype=bool), 1) if a == b else np.ones(n.shape, bool)
         p, q = np.nonzero(wanted)
