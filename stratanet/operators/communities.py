@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from stratanet.functions.maturity import term_order
 from stratanet.operators import metrics as H
 from stratanet.operators.graph import multiplex_edges
-from stratanet.session import cut_lineage, is_empty
+from stratanet.session import cut_lineage
 from stratanet.sources.tables import QueryError
 
 # Methods of choosing k, and defaults of the search.
@@ -123,8 +123,8 @@ def clusterings(
     )
     nodes = nodes.join(big, on, "left_semi")
     edges = edges.join(big, on, "left_semi")
-    (nodes, edges), (large, _) = H.split_by_size(nodes, edges, keys)
-    if not is_empty(large):
+    (nodes, edges), large = H.split_by_size(nodes, edges, keys)
+    if large:
         raise QueryError(
             f"spectral communities are limited to graphs of {H.TASK_NODES} nodes for now"
         )

@@ -28,15 +28,21 @@ Keys = tuple[str, ...]
 
 
 def split_by_size(nodes: DataFrame, edges: DataFrame, keys: Keys):
-    """((nodes, edges) of graphs that fit a task, (nodes, edges) of the others)."""
+    """((nodes, edges) of graphs that fit a task, (nodes, edges) of the others).
+
+    The second is None when every graph fits, which one count settles.
+    """
     on = list(keys)
     n = nodes.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    m = edges.groupBy(*on).agg(F.count(F.lit(1)).alias("_m"))
+    m = edges.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     large = (
-        n.join(m, on, "left")
-        .where((F.col("_n") > TASK_NODES) | (F.col("_m") > TASK_EDGES))
+        n.where(F.col("_n") > TASK_NODES)
         .select(*on)
+        .unionByName(m.where(F.col("_n") > TASK_EDGES).select(*on))
+        .distinct()
     )
+    if is_empty(large):
+        return (nodes, edges), None
     return (
         (nodes.join(large, on, "left_anti"), edges.join(large, on, "left_anti")),
         (nodes.join(large, on, "left_semi"), edges.join(large, on, "left_semi")),
@@ -116,8 +122,48 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFra
 # -- components ----------------------------------------------------------------
 
 
+def _neighbours(n: int, i, j) -> list[list[int]]:
+    near: list[list[int]] = [[] for _ in range(n)]
+    for a, b in zip(i, j, strict=True):
+        near[a].append(b)
+        near[b].append(a)
+    return near
+
+
+def _hops_from(near: list[list[int]], start: int) -> dict[int, int]:
+    seen, wave, hops = {start: 0}, [start], 0
+    while wave:
+        hops += 1
+        wave = list({v for u in wave for v in near[u] if v not in seen})
+        seen.update(dict.fromkeys(wave, hops))
+    return seen
+
+
+def _components_small(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
+    def run(names, i, j, weight, strength):
+        del weight, strength
+        near = _neighbours(len(names), i, j)
+        label = np.full(len(names), -1)
+        for v in range(len(names)):
+            if label[v] < 0:
+                label[list(_hops_from(near, v))] = v
+        return pd.DataFrame({"node": names, "component": names[label]})
+
+    kind = nodes.schema["node"].dataType
+    return graph_kernel(nodes, edges, keys, run, {"node": kind, "component": kind})
+
+
 def components(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
-    """(keys, node, component): the least node of the component.
+    """(keys, node, component): the least node of the component."""
+    small, large = split_by_size(nodes, edges, keys)
+    result = _components_small(*small, keys)
+    if large:
+        result = result.unionByName(_components_large(*large, keys))
+    return cut_lineage(result)
+
+
+def _components_large(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
+    """The same labels as joins.
 
     Each round takes the least neighbouring label and then the label of that
     label, so long paths close in logarithmically many rounds.
@@ -274,13 +320,10 @@ def path_summary(
         labels = components(nodes, edges, keys)
     giant = cut_lineage(giant_component(labels, keys))
     inside = edges.join(giant.withColumnRenamed("node", "src"), [*on, "src"], "left_semi")
-    hops = hop_counts(giant, inside, keys).where(F.col("hops") > 0)
-    per_source = hops.groupBy(*on, "source").agg(
-        F.max("hops").alias("ecc"),
-        F.min("hops").alias("low"),
-        F.sum("hops").alias("total"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    small, large = split_by_size(giant, inside, keys)
+    per_source = _eccentricity_small(*small, keys)
+    if large:
+        per_source = per_source.unionByName(_eccentricity_large(*large, keys))
     return per_source.groupBy(*on).agg(
         (F.sum("total") / F.sum("n")).alias("avg_shortest_path_length"),
         F.max("ecc").cast("double").alias("diameter"),
@@ -290,6 +333,34 @@ def path_summary(
     )
 
 
+_ECCENTRICITY = {c: T.LongType() for c in ("ecc", "low", "total", "n")}
+
+
+def _eccentricity_small(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
+    def run(names, i, j, weight, strength):
+        del weight, strength
+        near = _neighbours(len(names), i, j)
+        rows = []
+        for v in range(len(names)):
+            hops = [h for h in _hops_from(near, v).values() if h]
+            if hops:
+                rows.append((names[v], max(hops), min(hops), sum(hops), len(hops)))
+        return pd.DataFrame(rows, columns=["source", *_ECCENTRICITY])
+
+    kind = nodes.schema["node"].dataType
+    return graph_kernel(nodes, edges, keys, run, {"source": kind, **_ECCENTRICITY})
+
+
+def _eccentricity_large(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
+    hops = hop_counts(nodes, edges, keys).where(F.col("hops") > 0)
+    return hops.groupBy(*keys, "source").agg(
+        F.max("hops").cast("bigint").alias("ecc"),
+        F.min("hops").cast("bigint").alias("low"),
+        F.sum("hops").alias("total"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     """Weighted shortest-path betweenness, normalised, as three propagation loops.
 
@@ -502,10 +573,10 @@ def power_iteration(
     nodes: DataFrame, edges: DataFrame, keys: Keys, weighted: bool = True, max_iter: int = 1000
 ) -> DataFrame:
     """(keys, node, value, radius, converged) of (A + I), small and large graphs."""
-    (n_small, e_small), (n_large, e_large) = split_by_size(nodes, edges, keys)
-    result = _power_small(n_small, e_small, keys, weighted, max_iter)
-    if not is_empty(n_large):
-        result = result.unionByName(_power_large(n_large, e_large, keys, weighted, max_iter))
+    small, large = split_by_size(nodes, edges, keys)
+    result = _power_small(*small, keys, weighted, max_iter)
+    if large:
+        result = result.unionByName(_power_large(*large, keys, weighted, max_iter))
     return result
 
 
@@ -741,10 +812,10 @@ def greedy_communities(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFr
 
     Best gain first; equal gains take the least pair of communities.
     """
-    (n_small, e_small), (n_large, e_large) = split_by_size(nodes, edges, keys)
-    result = _greedy_small(n_small, e_small, keys)
-    if not is_empty(n_large):
-        result = result.unionByName(_greedy_large(n_large, e_large, keys))
+    small, large = split_by_size(nodes, edges, keys)
+    result = _greedy_small(*small, keys)
+    if large:
+        result = result.unionByName(_greedy_large(*large, keys))
     return result
 
 

@@ -47,8 +47,8 @@ def clean_values(panel: DataFrame, roles: Roles) -> DataFrame:
     ).where(F.col(roles.value).isNotNull())
 
 
-def _tile_counts(panel: DataFrame, roles: Roles, width: Column) -> tuple[Column, Column]:
-    """Scalar subqueries: number of node blocks and number of date slices."""
+def _tile_counts(panel: DataFrame, roles: Roles, width: Column) -> Column:
+    """Scalar subquery: struct of the number of node blocks and of date slices."""
     widest = (
         panel.groupBy(*roles.keys, roles.node)
         .agg(F.count(F.lit(1)).alias("dates"))
@@ -61,29 +61,34 @@ def _tile_counts(panel: DataFrame, roles: Roles, width: Column) -> tuple[Column,
     )
     blocks = F.ceil(F.col("nodes") / width).cast("int")
     slices = F.ceil(F.col("dates") / F.lit(SLICE_DATES)).cast("int")
-    return widest.select(blocks).scalar(), widest.select(slices).scalar()
+    return widest.select(F.struct(blocks.alias("blocks"), slices.alias("slices"))).scalar()
 
 
-def tiles(panel: DataFrame, roles: Roles, sliced: bool) -> DataFrame:
-    """Add (tile_a, tile_b, blk[, slice]) and copy each row to its tiles."""
+def tiles(
+    panel: DataFrame, roles: Roles, sliced: bool, sizing: DataFrame | None = None
+) -> DataFrame:
+    """Add (tile_a, tile_b, blk[, slice]) and copy each row to its tiles.
+
+    ``sizing`` is a cheaper table with the same keys, nodes and dates to count.
+    """
     if sliced:
         width = F.lit(BLOCK_NODES)
     else:
         room = F.floor(F.lit(TILE_CELLS) / F.col("dates"))
         width = F.greatest(F.lit(1), F.least(F.lit(BLOCK_NODES), room))
-    blocks, slices = _tile_counts(panel, roles, width)
-    placed = panel.withColumn("_blocks", blocks).withColumn(
-        "blk", F.pmod(F.xxhash64(roles.node), F.col("_blocks")).cast("int")
+    counts = _tile_counts(panel if sizing is None else sizing, roles, width)
+    placed = panel.withColumn("_tiles", counts).withColumn(
+        "blk", F.pmod(F.xxhash64(roles.node), F.col("_tiles.blocks")).cast("int")
     )
     if sliced:
         placed = placed.withColumn(
-            "slice", F.pmod(F.xxhash64(roles.date), slices).cast("int")
+            "slice", F.pmod(F.xxhash64(roles.date), F.col("_tiles.slices")).cast("int")
         )
     return (
-        placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles.blocks") - 1)))
         .withColumn("tile_a", F.least("blk", "_other"))
         .withColumn("tile_b", F.greatest("blk", "_other"))
-        .drop("_blocks", "_other")
+        .drop("_tiles", "_other")
     )
 
 
@@ -143,6 +148,7 @@ def pair_sums(
     extra_keys: tuple[str, ...] = (),
     self_pairs: bool = False,
     fourth: bool = False,
+    sizing: DataFrame | None = None,
 ) -> DataFrame:
     """Sums over the common dates of every pair (the pairwise-complete Gram form).
 
@@ -197,7 +203,7 @@ def pair_sums(
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         return _emit(key, names, (fields, types), node_type, i, j, picked)
 
-    placed = tiles(panel, roles, sliced=True)
+    placed = tiles(panel, roles, sliced=True, sizing=sizing)
     return placed.groupBy(*all_roles.keys, "tile_a", "tile_b", "slice").applyInArrow(
         gram, schema
     )
@@ -297,7 +303,7 @@ def correlation_of_sums(min_obs: int = MIN_OBS) -> Column:
 
 def pearson(panel: DataFrame, roles: Roles) -> DataFrame:
     group = [*roles.keys, "node_i", "node_j"]
-    sums = add_up(pair_sums(centre(panel, roles), roles), group)
+    sums = add_up(pair_sums(centre(panel, roles), roles, sizing=panel), group)
     return sums.select(
         *group, F.col("n").alias("n_obs"), correlation_of_sums().alias("measure")
     )

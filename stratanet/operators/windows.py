@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stratanet.operators import pairs as X
 from stratanet.operators.pairs import Roles
+from stratanet.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -105,10 +106,11 @@ def window_node_counts(bounded: DataFrame, roles: Roles) -> DataFrame:
 
 def windowed_pearson(bounded: DataFrame, roles: Roles, min_obs: int = X.MIN_OBS) -> DataFrame:
     """Pearson of every pair in every window without copying panel rows."""
-    rows = X.centre(
-        bounded.select(*roles.keys, roles.node, roles.date, roles.value, "k_min", "k_max"), roles
+    columns = [*roles.keys, roles.node, roles.date, roles.value, "k_min", "k_max"]
+    bounded = cut_lineage(bounded.select(*columns))
+    sums = X.pair_sums(
+        X.centre(bounded, roles), roles, extra_keys=("k_min", "k_max"), sizing=bounded
     )
-    sums = X.pair_sums(rows, roles, extra_keys=("k_min", "k_max"))
     group = ["window_idx", *roles.keys, "node_i", "node_j"]
     return X.add_up(spread(sums), group).select(
         *group, F.col("n").alias("n_obs"), X.correlation_of_sums(min_obs).alias("measure")

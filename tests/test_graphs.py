@@ -41,6 +41,18 @@ def test_summary_of_known_graphs(known):
     assert clustering["p"] == (0.0, None)
 
 
+def test_components_and_paths_small_and_large_agree(known, monkeypatch):
+    def both():
+        labels = H.components(*known, KEYS)
+        rows = H.path_summary(*known, KEYS, labels)
+        names = [c for c in rows.columns if c != "layer"]
+        return sorted(map(tuple, labels.collect())), by_layer(rows, *names)
+
+    small = both()
+    monkeypatch.setattr(H, "TASK_NODES", 2)
+    assert both() == small
+
+
 def test_betweenness_of_a_path(known):
     got = by_node(H.betweenness(*known, KEYS), "p")
     want = [0, 4, 6, 6, 4, 0]
