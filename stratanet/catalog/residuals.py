@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratanet.catalog.base import query, r6, rounded
-from stratanet.catalog.curves import AFNS_FIT, DT, NS, RESIDUAL_BP, curve
+from stratanet.catalog.curves import AFNS_FIT, DT, NS, curve
 from stratanet.catalog.graphs import _DENS, BOTH, MIX, PATHS, REACH, SIZES, TRI, recursive
 from stratanet.catalog.sql import CORR, CURVE, with_, years
 from stratanet.catalog.sql import r6 as q6
