@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratanet.llm import mixing
+from stratanet.llm import bpe, mixing
 from stratanet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +28,16 @@ def op10_mixing(spark, sf_dir):
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"),
         F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))).alias("_row"),
     ).drop("_row")
+
+
+@query
+def op1_bpe(spark, sf_dir, ranks: str = "byte_bpe_multi_50k.tiktoken"):
+    """Digests of the ids of every document and of what they decode to."""
+    path = public_tokenizers.path(ranks)
+    coded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode(coded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
