@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -141,19 +141,42 @@ class PrefixTable:
 WIDE = re.compile(r"\s\s")
 
 
-class Encoder:
-    """Encodes texts piece by piece; a piece that is a token is that token.
+class CutEncoder:
+    """Encodes texts, cut at spaces where no piece can cross one, and remembers the cuts.
 
-    ``pattern`` may begin a piece with a space but never has one inside, unless
-    white space stands beside it. Texts without such places are cut at every
-    space, which is faster, and the cuts are remembered as well.
+    A piece may begin with a space but never has one inside, unless white space
+    stands beside it. Texts with such places are encoded whole.
     """
 
+    def __init__(self, whole: Callable[[list[str]], list[bytes]]):
+        self.whole = whole
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit integers."""
+        if WIDE.search(text):
+            return self.whole([text])[0]
+        first, *cuts = text.split(" ")
+        known = self.known
+        head = self.whole([first])[0]
+        try:
+            return head + b"".join(map(known.__getitem__, cuts))
+        except KeyError:
+            missing = [c for c in set(cuts) if c not in known]
+        new = dict(zip(missing, self.whole([" " + c for c in missing]), strict=True))
+        if len(known) + len(new) <= REMEMBERED_CUTS:
+            known.update(new)
+            return head + b"".join(map(known.__getitem__, cuts))
+        return head + b"".join([known[c] if c in known else new[c] for c in cuts])
+
+
+class PieceEncoder:
+    """Encodes each match of ``pattern`` by itself; a piece that is a token is that token."""
+
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.split = regex.compile(pattern).findall
-        self.pieces: dict[str, bytes] = {}
-        self.cuts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
         data = piece.encode()
@@ -161,8 +184,8 @@ class Encoder:
         ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
         return b"".join(map(self.vocabulary.packed.__getitem__, ids))
 
-    def _plain(self, text: str) -> bytes:
-        coded, known = [], self.pieces
+    def encode(self, text: str) -> bytes:
+        coded, known = [], self.known
         for p in self.split(text):
             ids = known.get(p)
             if ids is None:
@@ -172,30 +195,16 @@ class Encoder:
             coded.append(ids)
         return b"".join(coded)
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        if WIDE.search(text):
-            return self._plain(text)
-        first, *cuts = text.split(" ")
-        known = self.cuts
-        try:
-            return self._plain(first) + b"".join(map(known.__getitem__, cuts))
-        except KeyError:
-            new = {cut: self._plain(" " + cut) for cut in set(cuts) if cut not in known}
-        if len(known) + len(new) <= REMEMBERED_CUTS:
-            known.update(new)
-            return self._plain(first) + b"".join(map(known.__getitem__, cuts))
-        return self._plain(first) + b"".join(known[c] if c in known else new[c] for c in cuts)
-
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
 @lru_cache(maxsize=2)
-def _encoder(name: str, pattern: str) -> Encoder:
+def _encoder(name: str, pattern: str) -> CutEncoder:
     with open(SparkFiles.get(name), "rb") as ranks:
-        return Encoder(Vocabulary(load_ranks(ranks.read())), pattern)
+        pieces = PieceEncoder(Vocabulary(load_ranks(ranks.read())), pattern)
+    return CutEncoder(lambda texts: [pieces.encode(t) for t in texts])
 
 
 def shipped(spark, path: str) -> str:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratanet.llm import bpe, mixing
+from stratanet.llm import bpe, mixing, quality_rules, token_files
 from stratanet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,25 @@ def op1_bpe(spark, sf_dir, ranks: str = "byte_bpe_multi_50k.tiktoken"):
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op4_quality_rules(spark, sf_dir):
+    """Measures and verdict of every document."""
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.col("m.words.n").alias("n_words"),
+        F.col("m.word_chars").alias("word_chars"),
+        F.col("m.n_symbols").alias("n_symbols"),
+        F.col("m.lines.dup").alias("n_dup_lines"),
+        F.col("m.words.repeat").alias("n_repeat_words"),
+        "base_failed",
+        "kept",
+    )
+
+
+@query
+def op6_token_files(spark, sf_dir, tokenizer: str = "byte_bpe_50k.json"):
+    """Place, length and checksum of every document in the token files."""
+    path = public_tokenizers.path(tokenizer)
+    return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents"), path))
