@@ -22,10 +22,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratanet.llm.common import flat_lists, text_of
+from stratanet.llm.common import flat_lists, slices, text_of
 
 #: What a worker remembers at most; the rest is computed each time. No result depends on it.
-REMEMBERED_CUTS = 1_000_000
+REMEMBERED_CUTS = 600_000
 REMEMBERED_PIECES = 300_000
 REMEMBERED_PAIRS = 2_000_000
 
@@ -224,7 +224,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             coded = [encoder.encode(t) for t in batch.column(1).to_pylist()]
             ids = pa.array(np.frombuffer(b"".join(coded), "<u4").astype("int32"))
             lists = flat_lists(ids, [len(c) // 4 for c in coded])

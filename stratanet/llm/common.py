@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,16 +56,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(
-    df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return df.mapInArrow(task, schema)
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``size`` bytes of a text or binary column, one row at least."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths, dtype="int64") // size
+        starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        for begin, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            yield batch.slice(begin, end - begin)
 
 
 def flat_lists(values: pa.Array, lengths) -> pa.Array:
     """One list per length, cut from the values in their order."""
-    import numpy as np
-
     ends = np.zeros(len(lengths) + 1, dtype="int32")
     np.cumsum(lengths, out=ends[1:])
     return pa.ListArray.from_arrays(pa.array(ends), values)

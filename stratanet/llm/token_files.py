@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratanet.llm.bpe import CutEncoder, shipped
-from stratanet.llm.common import stored, text_of
+from stratanet.llm.common import slices, stored, text_of
 
 MAGIC = b"EFID"
 HEADER = struct.Struct("<4sBBxxQQQ")
@@ -166,7 +166,7 @@ def write_files(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "number", "n_ids", "file"]
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = library.encode(t) + last
                 names.append(d)
