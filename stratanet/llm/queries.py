@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratanet.llm import bpe, media, mixing, quality_rules, token_files
+from stratanet.llm import bpe, language_id, media, mixing, quality_rules, token_files
 from stratanet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,9 @@ def op6_token_files(spark, sf_dir, tokenizer: str = "byte_bpe_50k.json"):
 def op3_media(spark, sf_dir):
     """Digests of every document's image and of what is read back from it."""
     return media.described(media.stored_media(table(spark, sf_dir, "documents")))
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    """Predicted language of every document."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
