@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratanet.llm import bpe, language_id, media, mixing, quality_rules, token_files
+from stratanet.llm import bpe, jaccard_join, language_id, media, mixing, quality_rules, token_files
 from stratanet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op3_media(spark, sf_dir):
 def op5_language_id(spark, sf_dir):
     """Predicted language of every document."""
     return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_jaccard_join(spark, sf_dir):
+    """Set size and component of every document."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
