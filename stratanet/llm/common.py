@@ -15,6 +15,8 @@ from stratanet.session import scratch_path
 #: Fixed value of the contracts: what separates words.
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a table that is sent to every executor, at most.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, width: int) -> DataFrame:
+    """The table, sent to all executors if its counted rows of ``width`` bytes are few; else it is shuffled."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about ``size`` bytes of a text or binary column, one row at least."""
     for batch in batches:

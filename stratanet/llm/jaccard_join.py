@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratanet.llm.common import let, stored, text_of, words
+from stratanet.llm.common import let, small, stored, text_of, words
 from stratanet.llm.components import components
 
 #: Sets up to this size are tried as light ones; beyond, the number of subsets explodes.
@@ -38,8 +38,6 @@ MOST_LIGHT = 24
 SHORT_LIST = 6
 #: Rounds of comparing with one set of each list, before the rest is compared in full.
 ROUNDS = 8
-#: Bytes of a table that is sent to every executor at most; beyond that it is shuffled.
-BROADCAST_BYTES = 16 << 20
 
 
 class Threshold:
@@ -189,11 +187,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     )
 
 
-def _small(df: DataFrame, width: int) -> DataFrame:
-    """The table, to be sent to all executors if its counted rows are few enough."""
-    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
-
-
 def linked(members: DataFrame, sets: DataFrame, limit: Threshold, rounds: int = ROUNDS) -> DataFrame:
     """(node, component) of nodes that link, found from memberships (bucket, node, n)."""
     spark = members.sparkSession
@@ -297,13 +290,13 @@ def jaccard_components(
         heads.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node")), "join-classes"
     )
     nodes = heads.where("n > 0").join(
-        _small(classes, 40), (heads.k1 == classes.k1) & (heads.k2 == classes.k2) & (heads.doc_id == classes.node), "left_semi"
+        small(classes, 40), (heads.k1 == classes.k1) & (heads.k2 == classes.k2) & (heads.doc_id == classes.node), "left_semi"
     ).dropDuplicates(["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("node"), "n", "head")
     boundary = light_boundary(nodes, limit, light)
     members = stored(_memberships(nodes, limit, boundary), "join-members")
     named = members.select(F.col("node").alias("doc_id")).distinct()
     sets = stored(
-        rows.join(_small(stored(named, "join-nodes"), 16), "doc_id").select(
+        rows.join(small(stored(named, "join-nodes"), 16), "doc_id").select(
             F.col("doc_id").alias("node"), shingles(F.col("text"), shingle).alias("shingles")
         ),
         "join-sets",

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratanet.llm import bpe, jaccard_join, language_id, media, mixing, quality_rules, token_files
+from stratanet.llm import bpe, jaccard_join, language_id, media, mixing, quality_model, quality_rules, token_files
 from stratanet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,15 @@ def op5_language_id(spark, sf_dir):
 def op8_jaccard_join(spark, sf_dir):
     """Set size and component of every document."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def trusted_ids(spark, sf_dir):
+    """Documents that are labelled as good."""
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
+@query
+def op2_quality_model(spark, sf_dir):
+    """Perplexity and verdict of every document."""
+    found = quality_model.classify(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+    return found.select("doc_id", "lang", "symbols", F.exp("loss").alias("perplexity"), "excess", "limit", "kept")
