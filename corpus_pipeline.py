@@ -1,12 +1,69 @@
-"""From raw documents to token ids: stages over the documents table."""
+"""From raw documents to token ids: five stages over the documents table."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratanet.llm.common import stored, table
+from stratanet.llm import bpe, jaccard_join, mixing, personal_data, quality_model
+from stratanet.llm.common import small, stored, table, text_of
 
-STAGES = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents whose perplexity under the model of trusted text is too high."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_model.kept_rows(docs, quality_model.classify(docs, trusted))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row with the least id of each component of linked texts; of equal ids, one row.
+
+    Shingles have five words and link at 80 per cent. Rows without an id are
+    kept as they are.
+    """
+    found = jaccard_join.jaccard_components(docs, shingle=5, percent=80)
+    gone = stored(
+        found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-copies"
+    )
+    left = docs.join(small(gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
+    # Rows that share an id are one document: of those, the one with the least hash of its text stays.
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    again = stored(again.select(F.col("doc_id").alias("_again")), "pipeline-repeated")
+    if not again.take(1):
+        return left
+    marked = left.join(small(again, 16), F.col("doc_id") == F.col("_again"), "left")
+    one = marked.where("_again is not null").groupBy("doc_id").agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(text_of("text"))).alias("row")
+    )
+    return marked.where("_again is null").select(*docs.columns).unionByName(one.select("row.*"))
+
+
+def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind of personal data in its place; the length follows."""
+    clean = personal_data.redacted(docs, personal_data.train(docs))
+    return clean.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of its source takes it."""
+    return mixing.mixed_rows(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, and whether they decode to its text."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("text_sha256"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("personal data", personal),
+    ("mixing sources", mixed),
+    ("byte-level BPE", tokens),
+]
 #: The stages draw on hashes, learned models and a tokenizer, which SQL can't express.
 ORACLE_SQL = None
 

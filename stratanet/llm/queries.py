@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratanet.llm import bpe, jaccard_join, language_id, media, mixing, quality_model, quality_rules, token_files
+from stratanet.llm import bpe, jaccard_join, language_id, media, mixing, personal_data, quality_model, quality_rules, token_files
 from stratanet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,24 @@ def op2_quality_model(spark, sf_dir):
     """Perplexity and verdict of every document."""
     found = quality_model.classify(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
     return found.select("doc_id", "lang", "symbols", F.exp("loss").alias("perplexity"), "excess", "limit", "kept")
+
+
+@query
+def op7_personal_data(spark, sf_dir):
+    """Counts and places of personal data in every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = personal_data.find(docs, personal_data.train(docs))
+
+    def joined(spans):
+        places = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string")))
+        return F.array_join(places, ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(k) for k in personal_data.BASE_KINDS],
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
