@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratanet.llm import bpe, jaccard_join, language_id, media, mixing, personal_data, quality_model, quality_rules, token_files
+from stratanet.llm import bpe, jaccard_join, language_id, media, mixing, personal_data, quality_model, quality_rules, substring_dedup, token_files
 from stratanet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,16 @@ def op7_personal_data(spark, sf_dir):
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op9_substring_dedup(spark, sf_dir):
+    """Every document without its repeated passages."""
+    found = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "text",
+        "n_sentences",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.coalesce(F.aggregate("removed", F.lit(0), lambda a, s: a + s["end"] - s["begin"]), F.lit(0)).cast("long").alias("removed_chars"),
+    )
