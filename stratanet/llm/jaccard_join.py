@@ -12,10 +12,11 @@ in a partner, it takes the rarer half. A partner shares at least one of them
 among them, unless the document is little else. Sets are light up to the size
 where enumeration costs more than the lists.
 
-Sets that share a list are not all paired. One of them is compared with the
-others, again with another one, and so on, and lists whose sets have all come
-into one component are done. What is left at the end is compared in full, so
-that no link is lost.
+Sets that share a long list are not all paired. One of them is compared with the
+others; links among those near to it are found by what they differ in from it,
+and the others go on with another one, until lists are in one component or
+used up. What is left after some rounds is compared in full, so that no link is
+lost.
 """
 
 from __future__ import annotations
@@ -170,7 +171,8 @@ def _memberships(nodes: DataFrame, limit: Threshold, light: int) -> DataFrame:
     return rare.unionByName(_subset_rows(nodes.where(size.between(1, light)), limit))
 
 
-def _pairs(a: DataFrame, b: DataFrame, limit: Threshold) -> Column:
+def _fits(a: Column, b: Column, limit: Threshold) -> Column:
+    """Whether sets of these sizes can link."""
     return (a * 100 >= b * limit.percent) & (b * 100 >= a * limit.percent)
 
 
@@ -187,72 +189,142 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     )
 
 
+def _compared(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """(p, a, np, na, linked, far, diff) of pairs (p, a): how two sets lie to each other.
+
+    ``far`` is the Jaccard distance; ``diff`` has what only one of the two has,
+    for sets that are not farther than three times the distance of a link.
+    """
+    one = sets.select(F.col("node").alias("p"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("y"))
+    both = (
+        pairs.join(one, "p")
+        .join(two, "a")
+        .select("p", "a", "x", "y", F.size("x").alias("np"), F.size("y").alias("na"), F.size(F.array_intersect("x", "y")).alias("both"))
+    )
+    union = F.col("np") + F.col("na") - F.col("both")
+    # Distances are compared in whole numbers, as 100 times the union.
+    reach = 3 * (100 - limit.percent) * union
+    apart = 100 * (union - F.col("both"))
+    return both.select(
+        "p", "a", "np", "na",
+        (100 * F.col("both") >= limit.percent * union).alias("linked"),
+        (apart > 2 * (100 - limit.percent) * union).alias("stays"),
+        F.when(apart <= reach, F.concat(F.array_except("x", "y"), F.array_except("y", "x"))).alias("diff"),
+    )
+
+
+def _beside(compared: DataFrame, limit: Threshold) -> DataFrame:
+    """Pairs (a, b) that may link though ``a`` doesn't link with the set ``p`` both were compared with.
+
+    With D for the difference to ``p``, the difference of two sets has
+    |Da| + |Db| - 2 |Da and Db| elements, and a link allows it a share of their
+    sizes. As Da alone is larger than a link with ``p`` allows, over half of Db
+    must lie in Da, so that one of its rarest elements must, counted among the
+    differences to ``p``. Most differences are a document's own.
+    """
+    near = compared.where("diff is not null").select("p", "a", "np", "na", "linked", "diff")
+    alone = near.where("not linked").select("p").distinct()
+    near = near.join(alone, "p", "left_semi")
+    share = (100 - limit.percent) / (100 + limit.percent)
+    entries = near.select("p", "a", "np", "na", "linked", F.size("diff").alias("size"), F.explode("diff").alias("e"))
+    often = entries.groupBy("p", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = stored(entries.join(often, ["p", "e"]), "join-differences")
+    # A little is taken off before rounding down, so that an inexact product never shortens the list.
+    taken = F.col("size") - F.floor((F.col("size") + share * (F.col("np") - F.col("na"))) / 2 - 1e-9)
+    rare = (
+        shared.groupBy("p", "a", "np", "na", "size")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("held"))
+        .withColumn("left", (taken - (F.col("size") - F.size("held"))).cast("int"))
+        .where("left > 0")
+        .select("p", F.col("a").alias("b"), F.col("na").alias("nb"), F.explode(F.slice("held", F.lit(1), F.col("left"))).alias("h"))
+        .select("p", "b", "nb", F.col("h.e").alias("e"))
+    )
+    return (
+        shared.where("not linked")
+        .select("p", "e", "a", "na")
+        .join(rare, ["p", "e"])
+        .where((F.col("a") != F.col("b")) & _fits(F.col("na"), F.col("nb"), limit))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
+    )
+
+
+def _merged(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, component) after some more edges (a, b)."""
+    of = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    to = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    between = (
+        edges.join(of, "a", "left")
+        .join(to, "b", "left")
+        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    )
+    merged = components(between)
+    top = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = known.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return stored(
+        moved.unionByName(merged).groupBy("node").agg(F.min("component").alias("component")), "join-components"
+    )
+
+
+def _apart(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that are not in one component yet."""
+    of = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    to = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    apart = ~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))
+    return pairs.join(of, "a", "left").join(to, "b", "left").where(apart).select("a", "b")
+
+
+def _all_pairs(left: DataFrame, limit: Threshold) -> DataFrame:
+    """Distinct pairs of sets that share a list."""
+    other = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"))
+    return (
+        left.select("bucket", F.col("node").alias("a"), "n")
+        .join(other, "bucket")
+        .where((F.col("a") < F.col("b")) & _fits(F.col("n"), F.col("nb"), limit))
+        .select("a", "b")
+        .distinct()
+    )
+
+
 def linked(members: DataFrame, sets: DataFrame, limit: Threshold, rounds: int = ROUNDS) -> DataFrame:
-    """(node, component) of nodes that link, found from memberships (bucket, node, n)."""
-    spark = members.sparkSession
+    """(node, component) of nodes that link, found from memberships (bucket, node, n).
+
+    In each round one set of every long list, by a hash that changes with the
+    round, is compared with the others of it. Those that are near it are done
+    with: links among them are found by ``_beside``, and with those that are
+    far from it they can't have any, by the triangle inequality. The rest of
+    the list goes on to the next round.
+    """
     crowd = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     members = stored(members.join(crowd, "bucket"), "join-buckets")
-
-    def of_pairs(left: DataFrame, with_component: bool) -> DataFrame:
-        """Distinct pairs of one list; of different components only, where these are known."""
-        other = left.select("bucket", *[F.col(c).alias(f"{c}_") for c in left.columns if c != "bucket"])
-        apart = F.col("component") != F.col("component_") if with_component else F.lit(True)
-        return (
-            left.join(other, "bucket")
-            .where((F.col("node") < F.col("node_")) & apart & _pairs(F.col("n"), F.col("n_"), limit))
-            .select(F.col("node").alias("a"), F.col("node_").alias("b"))
-            .distinct()
-        )
-
-    none = spark.createDataFrame([], "node long, component long")
-    found = of_pairs(members.where(F.col("crowd") <= SHORT_LIST), False)
-    edges = _verified(found, sets, limit)
-    left = members.where(F.col("crowd") > SHORT_LIST).drop("crowd")
-    known = none
-    for turn in range(rounds + 1):
-        # One set of each list, by a hash that changes with the round, is compared with the others.
+    short = _all_pairs(members.where(F.col("crowd") <= SHORT_LIST), limit)
+    none = members.sparkSession.createDataFrame([], "node long, component long")
+    known = _merged(none, _verified(short, sets, limit))
+    left = members.where(F.col("crowd") > SHORT_LIST).select("bucket", "node", "n")
+    for turn in range(rounds):
         order = F.xxhash64("node", F.lit(turn))
         named = stored(
-            left.join(known, "node", "left").select(
-                "bucket", "node", "n", F.coalesce("component", "node").alias("component")
-            ),
+            left.join(known, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")),
             "join-left",
         )
-        several = named.groupBy("bucket").agg(
-            F.count_distinct("component").alias("parts"),
-            F.min_by(F.struct("node", "n", "component"), order).alias("lead"),
-        ).where("parts > 1")
-        open_ = stored(named.join(several, "bucket"), "join-open")
-        if not open_.take(1) and turn:
-            break
-        if turn < rounds:
-            star = (
-                open_.where((F.col("component") != F.col("lead.component")) & _pairs(F.col("n"), F.col("lead.n"), limit))
-                .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-                .distinct()
-            )
-        else:
-            star = of_pairs(open_.drop("parts", "lead"), True)
-        new = _verified(star, sets, limit)
-        edges = new if turn else edges.unionByName(new)
-        # Labels of the round before stand for their nodes in the new edges.
-        of = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        to = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        between = edges.join(of, "a", "left").join(to, "b", "left").select(
-            F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")
-        )
-        merged = components(between)
-        top = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        known = stored(
-            known.join(top, "component", "left")
-            .select("node", F.coalesce("top", "component").alias("component"))
-            .unionByName(merged)
-            .groupBy("node")
-            .agg(F.min("component").alias("component")),
-            "join-components",
+        several = (
+            named.groupBy("bucket")
+            .agg(F.count_distinct("component").alias("parts"), F.min_by("node", order).alias("p"))
+            .where("parts > 1")
+            .select("bucket", "p")
         )
-        left = open_.select("bucket", "node", "n")
-    return known
+        left = stored(named.join(several, "bucket").select("bucket", "node", "n", "p"), "join-open")
+        if not left.take(1):
+            return known
+        pairs = left.where("node != p").select("p", F.col("node").alias("a")).distinct()
+        compared = stored(_compared(pairs, sets, limit), "join-compared")
+        known = _merged(known, compared.where("linked").select(F.col("p").alias("a"), F.col("a").alias("b")))
+        known = _merged(known, _verified(_apart(known, _beside(compared, limit)), sets, limit))
+        left = left.join(
+            compared.where("stays").select("p", F.col("a").alias("node")), ["p", "node"], "left_semi"
+        ).select("bucket", "node", "n")
+    return _merged(known, _verified(_apart(known, _all_pairs(left, limit)), sets, limit))
 
 
 def jaccard_components(
