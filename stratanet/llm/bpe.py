@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from stratanet.llm.common import flat_lists, slices, text_of
 
 #: What a worker remembers at most; the rest is computed each time. No result depends on it.
-REMEMBERED_CUTS = 600_000
-REMEMBERED_PIECES = 300_000
-REMEMBERED_PAIRS = 2_000_000
+REMEMBERED_CUTS = 250_000
+REMEMBERED_PIECES = 150_000
+REMEMBERED_PAIRS = 500_000
 
 
 def by_rank(ranks: dict[bytes, int]) -> list[bytes]:
