@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 
 from stratanet.llm.common import slices, small, stored, text_of
 
-ORDER = 5
+ORDER = 4
 #: What a document is used for.
 OTHER, LEARN, CALIBRATE = 0, 1, 2
 CLASS_BITS = 8
 #: Text of a slice, and what a task gathers before its largest slice is closed.
 SLICE_BYTES = 8 << 20
-GATHERED_BYTES = 24 << 20
+GATHERED_BYTES = 12 << 20
 #: Characters whose n-grams are sorted at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: One in this many trusted documents, by the checksum of the id, sets thresholds and is not counted.
 FOLDS = 5
 #: Share of a language's trusted documents that its threshold lets through.
