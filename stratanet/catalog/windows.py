@@ -77,6 +77,32 @@ for _name, _s in (("w2_window_pairs", ROLLING), ("w2_expanding_pairs", EXPANDING
         return pairs.select(_graph_label(), "node_i", "node_j", "n_obs", r6("measure").alias("measure"))
 
 
+#: Levels that jump by 1e5 every eight months, with the ordinary scatter on top.
+STEPPED = """stp AS (SELECT layer, node, dt,
+  value + 100000.0 * floor((year(dt) * 12 + month(dt)) / 8.0) AS value FROM net)"""
+
+
+for _name, _s in (("w2_stepped_pairs", W.Schedule(6, 3)), ("w2_stepped_expanding", EXPANDING)):
+
+    @query(
+        _name,
+        with_(
+            NET, STEPPED, window_sql("stp", _s),
+            """wr AS (SELECT window_idx || ':' || layer AS layer, dt, node, value
+               FROM stp JOIN ww ON dt BETWEEN date_start AND date_end)""",
+            pair_rows("wr"),
+        )
+        + f"""SELECT layer AS graph, node_i, node_j, count(*) AS n_obs,
+              {q6(CORR)} AS measure FROM pr GROUP BY 1, 2, 3""",
+    )
+    def w2_stepped(spark, d, s=_s):
+        """Pairs of series whose level jumps far above their scatter."""
+        month = F.year("dt") * 12 + F.month("dt")
+        panel = A.net_long(spark, d).withColumn("value", F.col("value") + 100000.0 * F.floor(month / 8.0))
+        pairs = W.windowed_pearson(W.bounded_rows(panel, "dt", s), ROLES)
+        return pairs.select(_graph_label(), "node_i", "node_j", "n_obs", r6("measure").alias("measure"))
+
+
 _EVOLUTION = (
     NET, RETURNS, window_sql("ret", ROLLING),
     """wr AS (SELECT * FROM (SELECT window_idx || ':' || layer AS layer, dt, node, value,

@@ -104,16 +104,81 @@ def window_node_counts(bounded: DataFrame, roles: Roles) -> DataFrame:
     )
 
 
+def _merge_blocks(parts: Column) -> Column:
+    """Counts, means and co-moments of two series over several blocks of dates.
+
+    Blocks are added one by one by the pairwise update, which only uses the
+    distance of means, so that a level far above the scatter costs no digits.
+    """
+
+    def step(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
+        weight = a["n"] * b["n"] / n
+        return F.struct(
+            n.alias("n"),
+            (a["mx"] + dx * b["n"] / n).alias("mx"),
+            (a["my"] + dy * b["n"] / n).alias("my"),
+            (a["cxx"] + b["cxx"] + dx * dx * weight).alias("cxx"),
+            (a["cyy"] + b["cyy"] + dy * dy * weight).alias("cyy"),
+            (a["cxy"] + b["cxy"] + dx * dy * weight).alias("cxy"),
+        )
+
+    names = ("n", "mx", "my", "cxx", "cyy", "cxy")
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in names])
+    return F.aggregate(parts, zero, lambda a, b: step(a, b))
+
+
 def windowed_pearson(bounded: DataFrame, roles: Roles, min_obs: int = X.MIN_OBS) -> DataFrame:
-    """Pearson of every pair in every window without copying panel rows."""
-    columns = [*roles.keys, roles.node, roles.date, roles.value, "k_min", "k_max"]
+    """Pearson of every pair in every window without copying panel rows.
+
+    Moments are taken per block of dates, about the node's mean in the block,
+    and merged over the blocks of a window. A series counts as flat when its
+    deviation in the window is below what rounding leaves of its level.
+    """
+    block = ("k_min", "k_max")
+    columns = [*roles.keys, roles.node, roles.date, roles.value, *block]
     bounded = cut_lineage(bounded.select(*columns))
-    sums = X.pair_sums(
-        X.centre(bounded, roles), roles, extra_keys=("k_min", "k_max"), sizing=bounded
+    own = [*roles.keys, roles.node, *block]
+    means = bounded.groupBy(*own).agg(F.avg(roles.value).alias("_mean"))
+    local = (
+        bounded.join(means, own)
+        .withColumn(roles.value, F.col(roles.value) - F.col("_mean"))
+        .drop("_mean")
+    )
+    pair = [*roles.keys, *block, "node_i", "node_j"]
+    sums = X.add_up(X.pair_sums(local, roles, extra_keys=block, sizing=bounded), pair)
+    for side in ("i", "j"):
+        named = means.withColumnRenamed(roles.node, f"node_{side}").withColumnRenamed("_mean", f"_mean_{side}")
+        sums = sums.join(named, [*roles.keys, *block, f"node_{side}"])
+    n = F.col("n").cast("double")
+    moments = F.struct(
+        *block,
+        n.alias("n"),
+        (F.col("_mean_i") + F.col("sx") / n).alias("mx"),
+        (F.col("_mean_j") + F.col("sy") / n).alias("my"),
+        (F.col("sxx") - F.col("sx") * F.col("sx") / n).alias("cxx"),
+        (F.col("syy") - F.col("sy") * F.col("sy") / n).alias("cyy"),
+        (F.col("sxy") - F.col("sx") * F.col("sy") / n).alias("cxy"),
     )
     group = ["window_idx", *roles.keys, "node_i", "node_j"]
-    return X.add_up(spread(sums), group).select(
-        *group, F.col("n").alias("n_obs"), X.correlation_of_sums(min_obs).alias("measure")
+    merged = (
+        spread(sums.withColumn("_part", moments))
+        .groupBy(*group)
+        .agg(_merge_blocks(F.array_sort(F.collect_list("_part"))).alias("m"))
+    )
+    m = {k: F.col(f"m.{k}") for k in ("n", "mx", "my", "cxx", "cyy", "cxy")}
+    least = F.lit(1e-13)
+    moves = [
+        m[c] > m["n"] * (least * m[level]) * (least * m[level])
+        for c, level in (("cxx", "mx"), ("cyy", "my"))
+    ]
+    r = m["cxy"] / F.sqrt(m["cxx"]) / F.sqrt(m["cyy"])
+    defined = (m["n"] >= min_obs) & moves[0] & moves[1]
+    return merged.select(
+        *group,
+        m["n"].cast("bigint").alias("n_obs"),
+        F.when(defined, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("measure"),
     )
 
 
