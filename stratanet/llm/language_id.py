@@ -135,7 +135,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             for name, counts in held.items():
                 seen = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(seen)), pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())],
+                    [pa.array([name] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())],
                     ["lang", "gram", "n"],
                 )
             held.clear()
@@ -215,6 +215,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         .groupBy("lang_pred")
         .agg(F.percentile_approx("loss", 1 - REJECTED, 10_000).alias("limit"))
     )
-    return scored.join(limits, "lang_pred", "left").select(
+    # One row for each language of the model.
+    return scored.join(F.broadcast(limits), "lang_pred", "left").select(
         "doc_id", "held_out", "lang_pred", "score", F.coalesce(F.col("loss") > F.col("limit"), F.lit(True)).alias("rejected")
     )
