@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from stratanet.catalog.base import query, r6, rounded
 from stratanet.catalog.measures import ROLES, RET_PAIRS, returns
-from stratanet.catalog.sql import CORR
+from stratanet.catalog.sql import CORR, NET
 from stratanet.catalog.sql import r6 as q6
 from stratanet.operators import graph as G
 from stratanet.operators import metrics as H
-from stratanet.operators.pairs import measure_pairs
+from stratanet.operators import panel as P
+from stratanet.operators.pairs import Roles, measure_pairs
 from stratanet.session import cut_lineage
+from stratanet.sources import adapters as A
 
 #: Keeps the graphs of the test panel neither empty nor complete.
 T = 0.15
@@ -506,3 +508,66 @@ def h14(spark, d):
 def h15(spark, d):
     nodes, edges, _ = net_graph(spark, d)
     return rounded(H.node_metric_rows(nodes, edges, KEYS, "degree"), "value")
+
+
+# -- one network, without layers ------------------------------------------------
+
+ALONE = Roles(())
+
+#: The panel averaged over layers; the checks give it one constant layer.
+ONE_NET = NET.replace("net AS", "net0 AS", 1) + """,
+net AS (SELECT 'one' AS layer, dt, node, round(avg(value), 6) AS value FROM net0 GROUP BY dt, node)"""
+
+
+def single_sql(*more: str) -> str:
+    return graph_sql(T, *more).replace(NET, ONE_NET, 1)
+
+
+def single_panel(spark, d):
+    net = A.net_long(spark, d).groupBy("dt", "node").agg(F.round(F.avg("value"), 6).alias("value"))
+    return cut_lineage(P.daily_returns(net, ALONE))
+
+
+def single_graph(spark, d):
+    panel = single_panel(spark, d)
+    pairs = measure_pairs(panel, "pearson_correlation", ALONE, stored=True)
+    return G.graph_nodes(panel, ALONE), cut_lineage(G.threshold_edges(pairs, T, ()))
+
+
+@query(
+    "single_network_pairs",
+    RET_PAIRS.replace(NET, ONE_NET, 1)
+    + f"""SELECT node_i, node_j, count(*) AS n_obs, {q6(CORR)} AS measure FROM pr GROUP BY 1, 2""",
+)
+def single_pairs(spark, d):
+    pairs = measure_pairs(single_panel(spark, d), "pearson_correlation", ALONE, stored=True)
+    return rounded(pairs, "measure")
+
+
+@query(
+    "single_network_degree",
+    single_sql(BOTH) + f"SELECT node, degree, {q6('weighted_degree')} AS weighted_degree FROM dg",
+)
+def single_degree(spark, d):
+    return rounded(G.degrees(*single_graph(spark, d), ()), "weighted_degree")
+
+
+@query(
+    "single_network_summary",
+    recursive(single_sql(BOTH, SIZES, REACH, TRI, PATHS))
+    + f"""SELECT n_nodes, n_edges, {q6(_DENS + ' ELSE 0.0 END')} AS density,
+            {q6(_DENS + ' END')} AS edge_density, {q6('2.0 * n_edges / n_nodes')} AS avg_degree,
+            n_components, largest_component_size, is_connected, n_triangles,
+            {q6('avg_clustering')} AS avg_clustering, {q6('transitivity')} AS transitivity,
+            {_PATH_COLUMNS}
+          FROM sz JOIN (SELECT layer, count(*) AS n_components,
+              max(size) AS largest_component_size, count(*) = 1 AS is_connected
+            FROM cs GROUP BY 1) USING (layer)
+          JOIN cl USING (layer) LEFT JOIN pt USING (layer)""",
+)
+def single_summary(spark, d):
+    return rounded(
+        H.network_summary(*single_graph(spark, d), ()),
+        "density", "edge_density", "avg_degree", "avg_clustering", "transitivity",
+        "avg_shortest_path_length", "avg_eccentricity",
+    )

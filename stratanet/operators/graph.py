@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratanet.operators.keyless import keyless
 from stratanet.operators.pairs import Roles
 
 DEFAULT_THRESHOLD = 0.33
@@ -60,6 +61,7 @@ def with_strength(edges: DataFrame) -> DataFrame:
     return edges.where(weight.isNotNull()).withColumn("strength", 1.0 - weight)
 
 
+@keyless
 def graph_nodes(panel: DataFrame, roles: Roles, min_rows: int = 3) -> DataFrame:
     """Nodes of every key that has enough rows and at least two nodes.
 
@@ -90,6 +92,7 @@ def both_ways(edges: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+@keyless
 def degrees(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, node, degree, weighted_degree); isolated nodes have 0."""
     per_node = (
@@ -242,6 +245,7 @@ def layer_subgraph(nodes: DataFrame, intra: DataFrame, term: str):
     return nodes.where(F.col("term") == term), intra.where(F.col("term") == term)
 
 
+@keyless
 def degree_histogram(
     degree: DataFrame, keys: tuple[str, ...] = ("layer",), bins: int = 15
 ) -> DataFrame:
@@ -274,6 +278,7 @@ def degree_histogram(
     )
 
 
+@keyless
 def degree_landmarks(degree: DataFrame, keys: tuple[str, ...] = ("layer",)) -> DataFrame:
     """Mean degree, and the first node by name at the min, max and modal degree."""
     per_value = degree.groupBy(*keys, "degree").agg(

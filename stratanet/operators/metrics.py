@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from stratanet.functions.moments import safe_corr
 from stratanet.operators.graph import both_ways, degrees
+from stratanet.operators.keyless import keyless
 from stratanet.session import cut_lineage, is_empty
 
 #: A graph handed to one task has at most this many nodes and edges.
@@ -92,6 +93,7 @@ def graph_kernel(
 # -- counts --------------------------------------------------------------------
 
 
+@keyless
 def size_summary(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     """n_nodes, n_edges, density (0 below two nodes), edge_density (null), avg_degree."""
     on = list(keys)
@@ -107,6 +109,7 @@ def size_summary(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     )
 
 
+@keyless
 def degree_centrality(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     """degree / (N - 1); 1 for a lone node of a graph with edges, 0 without."""
     on = list(keys)
@@ -153,6 +156,7 @@ def _components_small(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFra
     return graph_kernel(nodes, edges, keys, run, {"node": kind, "component": kind})
 
 
+@keyless
 def components(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     """(keys, node, component): the least node of the component."""
     small, large = split_by_size(nodes, edges, keys)
@@ -197,6 +201,7 @@ def _components_large(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFra
             return labels.drop("_old")
 
 
+@keyless
 def component_summary(labels: DataFrame, keys: Keys) -> DataFrame:
     """Number of components, the largest, and the label of that one."""
     on = list(keys)
@@ -208,6 +213,7 @@ def component_summary(labels: DataFrame, keys: Keys) -> DataFrame:
     )
 
 
+@keyless
 def giant_component(labels: DataFrame, keys: Keys) -> DataFrame:
     """(keys, node) of the largest component; the least label wins a tie."""
     on = list(keys)
@@ -226,6 +232,7 @@ def giant_component(labels: DataFrame, keys: Keys) -> DataFrame:
 # -- triangles -----------------------------------------------------------------
 
 
+@keyless
 def triangles(edges: DataFrame, keys: Keys) -> DataFrame:
     """(keys, a, b, c), each triangle once.
 
@@ -253,6 +260,7 @@ def triangles(edges: DataFrame, keys: Keys) -> DataFrame:
     )
 
 
+@keyless
 def clustering(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     """n_triangles, mean local clustering (zeros counted), transitivity (0 -> null)."""
     on = list(keys)
@@ -282,6 +290,7 @@ def clustering(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
 # -- paths ---------------------------------------------------------------------
 
 
+@keyless
 def hop_counts(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     """(keys, source, node, hops) for every ordered pair that is connected.
 
@@ -311,6 +320,7 @@ def hop_counts(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
         seen = seen.unionByName(frontier)
 
 
+@keyless
 def path_summary(
     nodes: DataFrame, edges: DataFrame, keys: Keys, labels: DataFrame | None = None
 ) -> DataFrame:
@@ -361,6 +371,7 @@ def _eccentricity_large(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataF
     )
 
 
+@keyless
 def betweenness(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     """Weighted shortest-path betweenness, normalised, as three propagation loops.
 
@@ -569,6 +580,7 @@ def _power_large(nodes, edges, keys, weighted: bool, max_iter: int):
     return state
 
 
+@keyless
 def power_iteration(
     nodes: DataFrame, edges: DataFrame, keys: Keys, weighted: bool = True, max_iter: int = 1000
 ) -> DataFrame:
@@ -580,6 +592,7 @@ def power_iteration(
     return result
 
 
+@keyless
 def eigenvector_centrality(
     nodes: DataFrame, edges: DataFrame, keys: Keys, max_iter: int = 1000
 ) -> DataFrame:
@@ -599,12 +612,14 @@ def eigenvector_centrality(
     return x.where("converged").select(*on, "node", "value").unionByName(other)
 
 
+@keyless
 def spectral_radius(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     """Largest absolute eigenvalue of the 0/1 adjacency matrix."""
     x = power_iteration(nodes, edges, keys, weighted=False)
     return x.groupBy(*keys).agg(F.max("radius").alias("spectral_radius"))
 
 
+@keyless
 def node_centrality(
     nodes: DataFrame, edges: DataFrame, keys: Keys, centrality: str
 ) -> DataFrame:
@@ -621,6 +636,7 @@ def node_centrality(
 # -- mixing --------------------------------------------------------------------
 
 
+@keyless
 def degree_mixing(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     """degree_assortativity and avg_neighbor_degree (isolated nodes count 0)."""
     on = list(keys)
@@ -646,6 +662,7 @@ def degree_mixing(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     return near.join(mix, on, "left")
 
 
+@keyless
 def modularity(
     edges: DataFrame, membership: DataFrame, keys: Keys, weight: str | None = "weight"
 ) -> DataFrame:
@@ -685,6 +702,7 @@ def modularity(
 # -- cliques -------------------------------------------------------------------
 
 
+@keyless
 def maximal_cliques(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     """(keys, n_cliques).  Branches of the search tree are rows, one level per round.
 
@@ -807,6 +825,7 @@ def _greedy_large(nodes, edges, keys):
         label = cut_lineage(moved(label, "community").drop("_from", "_to"))
 
 
+@keyless
 def greedy_communities(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     """Greedy agglomerative modularity, unweighted: (keys, node, community).
 
@@ -822,6 +841,7 @@ def greedy_communities(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFr
 # -- summaries -----------------------------------------------------------------
 
 
+@keyless
 def network_summary(
     nodes: DataFrame, edges: DataFrame, keys: Keys, extended: bool = True
 ) -> DataFrame:
@@ -838,6 +858,7 @@ def network_summary(
     return rows
 
 
+@keyless
 def node_metric_rows(
     nodes: DataFrame, edges: DataFrame, keys: Keys, centrality: str = "degree"
 ) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratanet.operators import kernels
+from stratanet.operators.keyless import keyless
 from stratanet.session import cut_lineage
 
 #: Nodes per block, dates per slice and cells per tile side.
@@ -525,6 +526,7 @@ def register_pair_kernel(name: str, fn: Callable, **meta) -> None:
     register_measure(name, _plain_kernel(fn), **meta)
 
 
+@keyless
 def measure_pairs(
     panel: DataFrame, measure: str, roles: Roles = Roles(), *, stored: bool = False, **settings
 ) -> DataFrame:

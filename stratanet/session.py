@@ -26,11 +26,15 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where none is."""
+    """The folder named in spark.checkpoint.dir; one of this machine in local mode only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        if folder is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+            folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
