@@ -14,6 +14,7 @@ from stratanet.functions.maturity import term_years
 from stratanet.operators import arbfree as AF
 from stratanet.operators import curvefit as C
 from stratanet.operators import evolution as E
+from stratanet.operators.graph import union_all
 from stratanet.operators.panel import dense_rows
 from stratanet.operators.windows import Schedule
 from stratanet.session import cut_lineage
@@ -452,17 +453,25 @@ def f20_residuals(spark, d):
     return rounded(fit.residuals, "residual")
 
 
+def _by_source(spark, d, part: int):
+    """Components of every issuer's own curve; there are as many plans as issuers."""
+    panel = cut_lineage(curve(spark, d))
+    sources = sorted(r[0] for r in panel.select("source").distinct().collect())
+    tables = [
+        C.curve_pca(panel.where(F.col("source") == s), "date", TERMS)[part].withColumn("source", F.lit(s))
+        for s in sources
+    ]
+    return union_all(tables)
+
+
 @query("f21_curve_pca")
 def f21(spark, d):
-    panel = curve(spark, d).where("source = 'ASIA'")
-    scores, _ = C.curve_pca(panel, "date", TERMS)
-    return rounded(scores, "pc1", "pc2", "pc3", "reconstruction_rmse")
+    return rounded(_by_source(spark, d, 0), "pc1", "pc2", "pc3", "reconstruction_rmse")
 
 
 @query("f21_pca_loadings")
 def f21_loadings(spark, d):
-    panel = curve(spark, d).where("source = 'ASIA'")
-    return rounded(C.curve_pca(panel, "date", TERMS)[1], "loading", "explained_ratio")
+    return rounded(_by_source(spark, d, 1), "loading", "explained_ratio")
 
 
 @query(
@@ -620,21 +629,19 @@ _STRESS = ("avg_abs_corr", "corr_variance", "stress_pct")
 
 @query(
     "w11_stress",
-    with_(*NS, "src AS (SELECT *, 'all' AS k FROM fr WHERE term = '5Y')",
-          *stress_sql("src", "k", "source"))
-    + f"SELECT {_STRESS_COLUMNS} FROM sx",
+    with_(*NS, "src AS (SELECT *, term AS k FROM fr)", *stress_sql("src", "k", "source"))
+    + f"SELECT layer AS term, {_STRESS_COLUMNS} FROM sx",
 )
 def w11(spark, d):
-    """Stress across issuers at one given term."""
+    """Stress across issuers at every term."""
     from stratanet.operators.pairs import Roles
     from stratanet.operators.windows import date_index
 
     residuals = cut_lineage(C.residual_table(curve(spark, d)))
-    five = residuals.where("term = '5Y'").withColumn("k", F.lit("all"))
     stress = E.rolling_stress(
-        five, STRESS, Roles(("k",), "issuer", "date", "residual"), date_index(residuals, "date")
+        residuals, STRESS, Roles(("term",), "issuer", "date", "residual"), date_index(residuals, "date")
     )
-    return rounded(stress.drop("k"), *_STRESS)
+    return rounded(stress, *_STRESS)
 
 
 @query(

@@ -224,17 +224,16 @@ def p12(spark, d):
 @query(
     "p13_pivot_to_wide",
     with_(CURVE)
-    + "SELECT date, "
+    + "SELECT term, date, "
     + ", ".join(
         f"{q6(f'max(CASE WHEN source = {chr(39)}{s}{chr(39)} THEN rate END)')} AS \"{s}\""
         for s in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
     )
-    + " FROM curve WHERE term = '5Y' GROUP BY date",
+    + " FROM curve GROUP BY term, date",
 )
 def p13(spark, d):
-    five = A.curve_long(spark, d).where("term = '5Y'")
-    wide = P.pivot_to_wide(five, Roles((), "source", "date", "rate"))
-    return wide.select("date", *[r6(f"`{c}`").alias(c) for c in wide.columns[1:]])
+    wide = P.pivot_to_wide(A.curve_long(spark, d), Roles(("term",), "source", "date", "rate"))
+    return wide.select("term", "date", *[r6(f"`{c}`").alias(c) for c in wide.columns[2:]])
 
 
 _RET = with_(NET, RETURNS) + f"SELECT dt, layer, node, {q6('value')} AS value FROM ret"

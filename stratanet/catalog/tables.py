@@ -193,17 +193,11 @@ def s16(spark, d):
     return S.read(spark, path)
 
 
-_PER_REGION = " UNION ALL ".join(
-    f"SELECT date, term, rate, '{s}' AS source FROM curve WHERE source = '{s}'"
-    for s in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-)
-
-
-@query("s15_flatten", with_(CURVE) + _PER_REGION)
+@query("s15_flatten", with_(CURVE) + "SELECT date, term, rate, source FROM curve")
 def s15(spark, d):
     """Per-issuer frames stacked back into one; the inverse is a filter."""
     from stratanet.sources.store import flatten, unflatten
 
     curve = A.curve_long(spark, d)
-    names = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+    names = sorted(r[0] for r in A.table(spark, d, "region").select("r_name").distinct().collect())
     return flatten({n: unflatten(curve, "source", n) for n in names}, "source")

@@ -209,17 +209,14 @@ for _most, _dir in ((True, "DESC"), (False, "ASC")):
 @query(
     "w6_heatmap",
     with_(*_EVOLUTION, BOTH, CENT, _METRICS)
-    + "SELECT node, "
-    + ", ".join(
-        f"{q6(f'max(CASE WHEN layer = {chr(39)}{k}:R{chr(39)} THEN value END)')} AS \"{k}\""
-        for k in range(4)
-    )
-    + " FROM mt WHERE metric = 'weighted_degree' AND layer LIKE '%:R' GROUP BY node",
+    + f"""SELECT layer AS graph, node, {q6('value')} AS value FROM mt
+          WHERE metric = 'weighted_degree'""",
 )
 def w6(spark, d):
-    rows = _node_metrics(spark, d).where("metric = 'weighted_degree' AND layer = 'R'")
-    wide = E.heatmap(rows, "node", "window_idx", [0, 1, 2, 3])
-    return wide.select("node", *[r6(f"`{k}`").alias(str(k)) for k in range(4)])
+    """Cells of every window and layer."""
+    rows = _node_metrics(spark, d).where("metric = 'weighted_degree'")
+    cells = E.heatmap_cells(rows, ["layer", "node"], "window_idx")
+    return cells.select(_graph_label(), "node", r6("value").alias("value"))
 
 
 @query(

@@ -168,6 +168,11 @@ def heatmap(rows: DataFrame, index: str, column: str, columns: list, value: str
     return rows.groupBy(index).pivot(column, columns).agg(F.first(value))
 
 
+def heatmap_cells(rows: DataFrame, index: list[str], column: str, value: str = "value"):
+    """The same cells in long form, for any number of columns."""
+    return rows.groupBy(*index, column).agg(F.first(value).alias(value))
+
+
 # -- factors ---------------------------------------------------------------------
 
 

@@ -172,15 +172,19 @@ def sort_terms(df: DataFrame, term: str) -> DataFrame:
 def pivot_to_wide(
     panel: DataFrame, roles: Roles, nodes: list[str] | None = None
 ) -> DataFrame:
-    """Dates x nodes; duplicated (date, node) cells raise."""
+    """(keys, date) x nodes, one column each; duplicated (keys, date, node) cells raise.
+
+    Names of columns are part of the plan, so there must be few enough nodes to
+    name; where there aren't, keep the long form.
+    """
     cell = F.when(
         F.count(F.lit(1)) > 1,
         F.raise_error(F.lit("duplicate (date, node) cell")).cast("double"),
     ).otherwise(F.first(roles.value))
-    flat = panel.groupBy(roles.date, roles.node).agg(cell.alias(roles.value))
+    flat = panel.groupBy(*roles.keys, roles.date, roles.node).agg(cell.alias(roles.value))
     if nodes is None:
         nodes = sorted(r[0] for r in panel.select(roles.node).distinct().collect())
-    return flat.groupBy(roles.date).pivot(roles.node, nodes).agg(F.first(roles.value))
+    return flat.groupBy(*roles.keys, roles.date).pivot(roles.node, nodes).agg(F.first(roles.value))
 
 
 def daily_returns(panel: DataFrame, roles: Roles) -> DataFrame:
