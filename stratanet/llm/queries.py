@@ -127,3 +127,47 @@ def op9_substring_dedup(spark, sf_dir):
         F.size("removed").cast("long").alias("n_removed"),
         F.coalesce(F.aggregate("removed", F.lit(0), lambda a, s: a + s["end"] - s["begin"]), F.lit(0)).cast("long").alias("removed_chars"),
     )
+
+
+WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+#: The order of rules changes no verdict, so that SQL may have them in any.
+ORACLE_SQL["op4_quality_rules"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, {WORDS_SQL.format('t')} AS ws FROM d),
+ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+win AS (SELECT doc_id, i, list_slice(ws, i, i + 7) AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+  FROM twice, (SELECT unnest(range(8)) AS k) GROUP BY 1),
+m AS (SELECT doc_id, t, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
+    OR word_chars > 15 * n_words OR word_chars < 2 * n_words
+    OR 100 * len(regexp_extract_all(t, '\p{{Lu}}')) > 40 * word_chars
+    OR 5 * (length(t) - length(regexp_replace(t, '[!?]', '', 'g'))) > n_words) AS kept
+FROM b"""
+
+ORACLE_SQL["op8_jaccard_join"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS_SQL.format(
+    "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, list_slice(ws, i, i + 3) AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM d WHERE len(ws) > 0)),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+co AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ln AS (SELECT a, b FROM co JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b
+  WHERE 100 * c >= 85 * (x.n + y.n - c)),
+bi AS (SELECT a AS u, b AS v FROM ln UNION ALL SELECT b, a FROM ln),
+re AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT re.u, bi.v FROM re JOIN bi ON re.v = bi.u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM d LEFT JOIN sz USING (doc_id) JOIN (SELECT u AS doc_id, min(v) AS component_id FROM re GROUP BY 1) USING (doc_id)"""

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratanet.llm.common import slices, small, stored, text_of
+from stratanet.llm.common import slices, stored, text_of
 
 #: Words of a run, and of a sentence that is a run by itself.
 RUN_WORDS = 30
@@ -123,9 +123,11 @@ def deduplicate(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("again").alias("twice"),
         F.max(F.col("doc_id").isNull()).alias("unnamed"),
     )
-    repeated = places.where(
-        "least < most or twice or (unnamed and least is not null)"
-    ).select(F.col("h").alias("same"), "least")
+    # Stored, so that the join deals both sides out anew and can split a run that many documents have.
+    repeated = stored(
+        places.where("least < most or twice or (unnamed and least is not null)").select(F.col("h").alias("same"), "least"),
+        "dedup-repeated",
+    )
     gone = (
         found.join(repeated, F.col("h") == F.col("same"))
         .where("again or (least is not null and not (doc_id <=> least))")
@@ -134,7 +136,7 @@ def deduplicate(
         .select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "spans")
     )
     marked = rows.join(
-        small(stored(gone, "dedup-spans"), 400), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left"
+        gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left"
     ).select("raw", "doc_id", "spans")
     place = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
