@@ -64,11 +64,21 @@ class ModelSpec:
 
 def shape_table(terms: DataFrame, spec: ModelSpec, decay: Column) -> DataFrame:
     """(issuer, term, years, decay, u_<gram>): adjustment per unit of volatility."""
-    if spec.model == "afns":
-        shapes = afns_shapes(F.col("years"), decay)
-        return terms.withColumns({f"u_{k}": v for k, v in shapes.items()})
-    # Discrete time: sums of bond-loading products up to the horizon.  They do
-    # not depend on the volatility, so a term's periods are summed once.
+    if spec.model not in SHAPES:
+        raise ValueError(f"curve model {spec.model!r} has no adjustment")
+    return SHAPES[spec.model](terms, spec, decay)
+
+
+def continuous_shapes(terms: DataFrame, spec: ModelSpec, decay: Column) -> DataFrame:
+    shapes = afns_shapes(F.col("years"), decay)
+    return terms.withColumns({f"u_{k}": v for k, v in shapes.items()})
+
+
+def discrete_shapes(terms: DataFrame, spec: ModelSpec, decay: Column) -> DataFrame:
+    """Sums of bond-loading products up to the horizon.
+
+    They do not depend on the volatility, so a term's periods are summed once.
+    """
     dt = spec.dt
     horizon = F.greatest(F.lit(1), F.rint(F.col("years") / dt).cast("int"))
     steps = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), horizon - 1)))
@@ -85,6 +95,10 @@ def shape_table(terms: DataFrame, spec: ModelSpec, decay: Column) -> DataFrame:
     )
 
 
+#: Adjustment of each model, as ``shape_table`` returns it.
+SHAPES = {"afns": continuous_shapes, "dtafns": discrete_shapes}
+
+
 def adjustment_column() -> Column:
     """-(sum over products of unit shape x volatility product)."""
     total = F.col(f"u_{GRAM[0]}") * F.col(GRAM[0])
@@ -341,9 +355,17 @@ def fit_model(
 MODELS = {"ns": fit_model, "afns": fit_model, "dtafns": fit_model}
 
 
-def register_model(name: str, loadings, fit=fit_model) -> None:
-    """Add a model by its loadings (years, decay) -> (f1, g), or by a whole fit."""
+def register_model(name: str, loadings, shapes=None, fit=fit_model) -> None:
+    """Add a model by its loadings (years, decay) -> (f1, g) and its adjustment.
+
+    ``shapes(terms, spec, decay)`` adds the columns of ``shape_table``. A model
+    with a fit of its own may do without; the common fit can't.
+    """
+    if shapes is None and fit is fit_model:
+        raise ValueError(f"curve model {name!r} needs its adjustment")
     LOADINGS[name] = loadings
+    if shapes is not None:
+        SHAPES[name] = shapes
     MODELS[name] = fit
 
 

@@ -147,11 +147,6 @@ def variable_nodes(
     return G.rank_in(spread, list(by), order).where(F.col("rank") <= k)
 
 
-def extreme_limit(n_nodes: int, k: int) -> int:
-    """Top and bottom lists may not overlap and hold at most twenty."""
-    return max(0, min(k, n_nodes // 2, 20))
-
-
 def links_table(mix: DataFrame, k_per_method: DataFrame, methods: list[str]) -> DataFrame:
     """Edge mix with one k_<METHOD> column per community method."""
     wide = (

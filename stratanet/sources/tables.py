@@ -67,16 +67,16 @@ def describe_schema(df: DataFrame) -> DataFrame:
     )
 
 
-def distinct_values(df: DataFrame, column: str, limit: int = 500) -> DataFrame:
+def distinct_values(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """Values in order, all of them unless the caller sets a limit."""
     text = F.col(column).cast("string").alias("value")
-    return (
+    found = (
         df.where(F.col(column).isNotNull())
         .select(F.col(column).alias("_key"), text)
         .distinct()
         .orderBy("_key")
-        .limit(limit)
-        .select("value")
     )
+    return (found if limit is None else found.limit(limit)).select("value")
 
 
 def date_bounds(df: DataFrame, column: str) -> DataFrame:

@@ -198,3 +198,19 @@ def test_detect_panel_spellings(spark):
     assert roles.issuer == "who" and roles.terms == ("4W", "6M", "Y010p0") and roles.usable
     with pytest.raises(ValueError):
         P.apply_transforms(wide, ["nope"], roles.roles(P.NetworkKind.ISSUER_BY_TERM))
+
+
+def test_a_model_brings_its_own_adjustment():
+    from stratanet.functions.loadings import ns_loadings
+    from stratanet.operators import arbfree
+
+    with pytest.raises(ValueError):
+        arbfree.register_model("mine", ns_loadings)
+    try:
+        arbfree.register_model("mine", ns_loadings, arbfree.continuous_shapes)
+        assert arbfree.SHAPES["mine"] is arbfree.continuous_shapes and "mine" in arbfree.MODELS
+    finally:
+        for table in (arbfree.LOADINGS, arbfree.SHAPES, arbfree.MODELS):
+            table.pop("mine", None)
+    assert arbfree.ModelSpec("afns", decay=0.5, estimator="kalman").name == "afns/per_issuer/kalman/d0.5"
+    assert arbfree.ModelSpec("ns").name == "ns" and arbfree.ModelSpec("ns", decay=None).name == "ns"
