@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from stratanet.llm.common import flat_lists, slices, text_of
 
 #: What a worker remembers at most; the rest is computed each time. No result depends on it.
-REMEMBERED_CUTS = 250_000
-REMEMBERED_PIECES = 150_000
+REMEMBERED_CUTS = 500_000
+REMEMBERED_PIECES = 200_000
 REMEMBERED_PAIRS = 500_000
 
 
