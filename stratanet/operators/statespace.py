@@ -95,6 +95,7 @@ def seed_parameters(curve: DataFrame, spec: ModelSpec, issuer="source", date="da
         .join(wide, "issuer")
         .withColumn("y", F.col("rate") * F.col("yield_scale"))
         .withColumn("dt", F.lit(float(spec.dt)))
+        .withColumn("sigma_held", F.lit(spec.sigma_scope == "pooled"))
     )
 
 
@@ -126,19 +127,22 @@ def _problem(pdf: pd.DataFrame, cell: int):
 
 
 def filter_cells(seeded: DataFrame) -> DataFrame:
-    """(issuer, cell, loglik) for the whole grid, one group per issuer and cell."""
-    cells = F.explode(F.array(*[F.lit(i) for i in range(len(GRID))]))
-    rows = seeded.where(F.col("n_dates") >= 3 * F.col("n_terms")).withColumn("cell", cells)
+    """(issuer, cell, loglik) for the grid; an issuer's rows meet once, and all cells run on them.
+
+    A pooled volatility is held: only cells that leave it as it is are tried.
+    """
+    rows = seeded.where(F.col("n_dates") >= 3 * F.col("n_terms"))
 
     def run(key, pdf):
-        Y, B, adj, params, *_ = _problem(pdf, key[1])
-        loglik, _, _ = run_filter(Y, B, adj, *params)
-        return pd.DataFrame({"issuer": [key[0]], "cell": [key[1]], "loglik": [loglik]})
+        held = bool(pdf["sigma_held"].iloc[0])
+        cells = [c for c, (_, s, _) in enumerate(GRID) if s == 1.0 or not held]
+        found = [run_filter(*(problem := _problem(pdf, c))[:3], *problem[3])[0] for c in cells]
+        return pd.DataFrame({"issuer": key[0], "cell": cells, "loglik": found})
 
     schema = T.StructType(
         [seeded.schema["issuer"], T.StructField("cell", T.IntegerType()), T.StructField("loglik", T.DoubleType())]
     )
-    return rows.groupBy("issuer", "cell").applyInPandas(run, schema)
+    return rows.groupBy("issuer").applyInPandas(run, schema)
 
 
 def choose_parameters(curve: DataFrame, spec: ModelSpec, issuer="source", date="date") -> DataFrame:
