@@ -11,7 +11,8 @@ import pytest
 
 import __spark_entry__ as entry
 
-TABLES = "region nation supplier part orders lineitem events conversations".split()
+TABLES = """region nation customer supplier part orders lineitem events documents embeddings pages
+benchmark labels conversations""".split()
 #: One or more per family; STRATANET_ALL=1 runs every query that has SQL.
 SAMPLE = """s5_eligible_layer_columns s11_append_skip_duplicates s12_remove_duplicates_last
 s13_store_round_trip p1_parse_term p4_load_long_panel p10_selection_counts p14_daily_returns
@@ -20,7 +21,7 @@ m4_distance_correlation_pairs m5_chatterjee_xi_pairs m6_conditional_quantile m7_
 g11_layer_edge_metrics g13_degree g14_degree_histogram h2_components h3_clustering h8_degree_mixing
 w1_expanding_windows w2_window_pairs w3_multiplex_evolution f2_ns_fit f6_residual_cube
 f9_afns_adjustment f15_pooled_volatility c7_jaccard_overlap r1_residual_network
-w9_skipped_issuers""".split()
+w2_stepped_pairs single_network_degree w9_skipped_issuers""".split()
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("STRATANET_ALL") else SAMPLE
 
 
