@@ -53,7 +53,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, and whether they decode to its text."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    # The executors' heaps have grown by now; the workers make do with less.
+    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN, remembered=120_000), path)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("text_sha256"))
 
 

@@ -148,8 +148,8 @@ class CutEncoder:
     stands beside it. Texts with such places are encoded whole.
     """
 
-    def __init__(self, whole: Callable[[list[str]], list[bytes]]):
-        self.whole = whole
+    def __init__(self, whole: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED_CUTS):
+        self.whole, self.remembered = whole, remembered
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
@@ -164,7 +164,7 @@ class CutEncoder:
         except KeyError:
             missing = [c for c in set(cuts) if c not in known]
         new = dict(zip(missing, self.whole([" " + c for c in missing]), strict=True))
-        if len(known) + len(new) <= REMEMBERED_CUTS:
+        if len(known) + len(new) <= self.remembered:
             known.update(new)
             return head + b"".join(map(known.__getitem__, cuts))
         return head + b"".join([known[c] if c in known else new[c] for c in cuts])
@@ -201,10 +201,10 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _encoder(name: str, pattern: str) -> CutEncoder:
+def _encoder(name: str, pattern: str, remembered: int) -> CutEncoder:
     with open(SparkFiles.get(name), "rb") as ranks:
         pieces = PieceEncoder(Vocabulary(load_ranks(ranks.read())), pattern)
-    return CutEncoder(lambda texts: [pieces.encode(t) for t in texts])
+    return CutEncoder(lambda texts: [pieces.encode(t) for t in texts], remembered)
 
 
 def shipped(spark, path: str) -> str:
@@ -213,17 +213,24 @@ def shipped(spark, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    remembered: int = REMEMBERED_CUTS,
+) -> DataFrame:
     """(doc_id, ids array<int>) of every row, ids as of ``pattern``'s matches encoded one by one.
 
     A null text is the empty text and has no ids. Rows stay apart, repeated
     ones too; null ids stay null; an empty table gives no rows. Other columns
-    are not read.
+    are not read. A worker remembers ``remembered`` cuts, some 200 bytes each.
     """
     name = shipped(docs.sparkSession, ranks_path)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(name, pattern)
+        encoder = _encoder(name, pattern, remembered)
         for batch in slices(batches):
             coded = [encoder.encode(t) for t in batch.column(1).to_pylist()]
             ids = pa.array(np.frombuffer(b"".join(coded), "<u4").astype("int32"))
