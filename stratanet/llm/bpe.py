@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from stratanet.llm.common import flat_lists, slices, text_of
 
 #: What a worker remembers at most; the rest is computed each time. No result depends on it.
-REMEMBERED_CUTS = 500_000
+REMEMBERED_CUTS = 400_000
 REMEMBERED_PIECES = 200_000
 REMEMBERED_PAIRS = 500_000
+#: Rows that are decoded at once.
+DECODED_ROWS = 256
 
 
 def by_rank(ranks: dict[bytes, int]) -> list[bytes]:
@@ -248,9 +250,11 @@ def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(name)
         for batch in batches:
-            lists = batch.column(1)
-            data = [b"".join(map(tokens.__getitem__, ids.tolist())) for ids in _rows(lists)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(data, pa.binary())], ["doc_id", "ids", "bytes"])
+            for begin in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(begin, DECODED_ROWS)
+                lists = part.column(1)
+                data = [b"".join(map(tokens.__getitem__, ids.tolist())) for ids in _rows(lists)]
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(data, pa.binary())], ["doc_id", "ids", "bytes"])
 
     return coded.select("doc_id", F.coalesce("ids", F.expr("cast(array() as array<int>)")).alias("ids")).mapInArrow(
         task, "doc_id long, ids array<int>, bytes binary"
