@@ -24,15 +24,17 @@ from pyspark.sql import functions as F
 
 from stratanet.llm.common import slices, small, stored, text_of
 
-ORDER = 4
+ORDER = 5
 #: What a document is used for.
 OTHER, LEARN, CALIBRATE = 0, 1, 2
 CLASS_BITS = 8
 #: Text of a slice, and what a task gathers before its largest slice is closed.
 SLICE_BYTES = 8 << 20
-GATHERED_BYTES = 12 << 20
+GATHERED_BYTES = 10 << 20
 #: Characters whose n-grams are sorted at once.
 CHUNK = 1 << 18
+#: N-grams of a slice that one row lists.
+LISTED = 1 << 16
 #: One in this many trusted documents, by the checksum of the id, sets thresholds and is not counted.
 FOLDS = 5
 #: Share of a language's trusted documents that its threshold lets through.
@@ -103,37 +105,44 @@ def _packed(rows: list[tuple]) -> bytes:
 
 
 def _sliced(rows: DataFrame, order: int) -> DataFrame:
-    """(slice, lang, payload, grams, counts) of rows (text, doc_id, key, lang, role)."""
+    """(slice, lang, payload, grams, counts) of rows (text, doc_id, key, lang, role).
+
+    A slice's n-grams are listed in rows of at most ``LISTED``; the first has the payload, too.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple]] = {}
         sizes: dict[str, int] = {}
         number = TaskContext.get().partitionId() << 32
 
-        def closed(lang: str) -> pa.RecordBatch:
+        def closed(lang: str) -> Iterator[pa.RecordBatch]:
             nonlocal number
             own = held.pop(lang)
             sizes.pop(lang)
             grams, counts = _counted([r[3] for r in own], [r[2] == LEARN for r in own], order)
             number += 1
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number - 1]), pa.array([lang]), pa.array([_packed(own)], pa.binary()),
-                    pa.array([grams], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
-                ],
-                ["slice", "lang", "payload", "grams", "counts"],
-            )
+            payload = _packed(own)
+            del own
+            for at in range(0, len(grams), LISTED):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([number - 1]), pa.array([lang]), pa.array([None if at else payload], pa.binary()),
+                        pa.array([grams[at : at + LISTED]], pa.list_(pa.int64())),
+                        pa.array([counts[at : at + LISTED]], pa.list_(pa.int64())),
+                    ],
+                    ["slice", "lang", "payload", "grams", "counts"],
+                )
 
         for batch in slices(batches, 0):
             for text, doc_id, key, lang, role in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 held.setdefault(lang, []).append((doc_id, key, role, text))
                 sizes[lang] = sizes.get(lang, 0) + len(text)
                 if sizes[lang] >= SLICE_BYTES:
-                    yield closed(lang)
+                    yield from closed(lang)
                 elif sum(sizes.values()) >= GATHERED_BYTES:
-                    yield closed(max(sizes, key=sizes.get))
+                    yield from closed(max(sizes, key=sizes.get))
         for lang in list(held):
-            yield closed(lang)
+            yield from closed(lang)
 
     return rows.mapInArrow(
         task, "slice long, lang string, payload binary, grams array<long>, counts array<long>"
@@ -264,7 +273,7 @@ def classify(
     asked = stored(listed.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "model-counts")
     answers = listed.select("slice", "lang", "gram").join(probabilities(asked, order), ["lang", "gram"])
     scores = stored(
-        _scored(parts.select("slice", "lang", "payload"), answers.select("slice", "gram", "logp"), order), "model-scores"
+        _scored(parts.where("payload is not null").select("slice", "lang", "payload"), answers.select("slice", "gram", "logp"), order), "model-scores"
     )
     middle = scores.where(F.col("role") == CALIBRATE).groupBy("lang").agg(F.percentile_approx("loss", 0.5, 10_000).alias("middle"))
     judged = scores.join(F.broadcast(middle), "lang", "left").withColumn(

@@ -125,3 +125,15 @@ def test_nothing_trusted_and_nothing_at_all(spark, odd, none):
     rows = quality_model.classify(odd, nobody).collect()
     assert all(r.kept == (r.symbols > 1) for r in rows)
     assert quality_model.classify(none, nobody).count() == 0
+
+
+def test_order_tells_what_four_characters_cannot(spark, monkeypatch):
+    monkeypatch.setattr(quality_model, "LISTED", 5)
+    rows = [(i, "abcdx bcdy " * 20, "en") for i in range(60)] + [(100, "abcdy bcdx " * 20, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    by_id = {r.doc_id: r for r in quality_model.classify(docs, trusted).collect()}
+    # The character behind "bcd" depends on the one before it.
+    assert quality_model.ORDER >= 5 and len(by_id) == 61
+    assert all(by_id[i].kept for i in range(60)) and not by_id[100].kept
+    assert by_id[100].loss > by_id[0].loss + 0.1
