@@ -1,9 +1,11 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
+"""Quality classifier: interpolated modified Kneser-Ney models of trusted text.
 
-Texts are strings of 256 classes of characters; the model has all runs of
-``ORDER`` of them that trusted texts have, per language. Counts are kept in
-tables keyed by (language, n-gram) and sharded by it: every step, from counts
-to smoothed probabilities, is a join or an aggregate of such tables.
+One model has all runs of ``ORDER`` characters, in 256 classes, that trusted
+texts have, per language; it knows how words are spelled. The other has all
+pairs of words, by 64-bit hash of each, and grows with the trusted text; in
+scripts without spaces each character is a word. Counts are kept in tables
+keyed by (language, n-gram) and sharded by it: every step, from counts to
+smoothed probabilities, is a join or an aggregate of such tables.
 
 Documents are gathered into slices of one language of some megabytes. A slice
 lists its distinct n-grams, the probability of each is joined to it once, and
@@ -13,11 +15,13 @@ with the distinct n-grams of slices and not with characters.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +45,12 @@ FOLDS = 5
 QUANTILE = 0.999
 #: Share of those of all languages that no threshold lies below, for languages with few.
 POOLED_QUANTILE = 0.99
+#: Letters of scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, bopomofo and Han.
+UNSPACED = "\u0e00-\u0eff\u0f00-\u109f\u1780-\u17ff\u3040-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: A word is one of those letters, a run of others, or a mark.
+WORDS = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+|[^\w\s]")
+#: Probability of a word that trusted text doesn't have, before it is weighted.
+UNSEEN = 2.0**-24
 
 
 @lru_cache(maxsize=1)
@@ -61,6 +71,43 @@ def ngrams(text: str, order: int = ORDER) -> np.ndarray:
     return grams
 
 
+class _Hashes(dict):
+    """Hashes of words, as many as a worker remembers."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 16:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = h = h - (h >> 63 << 64)
+        return h
+
+
+HASHES = _Hashes()
+
+
+def pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The word before and the word, by hash: a pair for each word and one for the end; 0 stands for both ends."""
+    found = [HASHES[w] for w in WORDS.findall(text)]
+    return np.array([0, *found], "i8"), np.array([*found, 0], "i8")
+
+
+def _keys(vocabulary: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One number for each pair of words of a sorted vocabulary."""
+    return np.searchsorted(vocabulary, before) << 32 | np.searchsorted(vocabulary, word)
+
+
+def _counted_pairs(texts: list[str], trusted: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of words of the texts, and how often each stands in trusted ones."""
+    own = [pairs(t) for t in texts]
+    before, word = (np.concatenate([p[i] for p in own]) for i in (0, 1))
+    flags = np.repeat(np.array(trusted, bool), [len(p[0]) for p in own])
+    del own
+    vocabulary = np.unique(word)  # Has 0, and with it all that stand before.
+    keys, at = np.unique(_keys(vocabulary, before, word), return_inverse=True)
+    counts = np.bincount(at, flags, len(keys)).astype("i8")
+    return vocabulary[keys >> 32], vocabulary[keys & 0xFFFFFFFF], counts
+
+
 def _counted(texts: list[str], trusted: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of the texts, and how often each stands in trusted ones."""
     grams, counts = np.zeros(0, "i8"), np.zeros(0, "i8")
@@ -105,9 +152,10 @@ def _packed(rows: list[tuple]) -> bytes:
 
 
 def _sliced(rows: DataFrame, order: int) -> DataFrame:
-    """(slice, lang, payload, grams, counts) of rows (text, doc_id, key, lang, role).
+    """(slice, lang, payload, befores, grams, counts) of rows (text, doc_id, key, lang, role).
 
     A slice's n-grams are listed in rows of at most ``LISTED``; the first has the payload, too.
+    ``befores`` is null where these are of characters; else ``grams`` are the words behind them.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,19 +167,21 @@ def _sliced(rows: DataFrame, order: int) -> DataFrame:
             nonlocal number
             own = held.pop(lang)
             sizes.pop(lang)
-            grams, counts = _counted([r[3] for r in own], [r[2] == LEARN for r in own], order)
             number += 1
             payload = _packed(own)
+            texts, flags = [r[3] for r in own], [r[2] == LEARN for r in own]
             del own
-            for at in range(0, len(grams), LISTED):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number - 1]), pa.array([lang]), pa.array([None if at else payload], pa.binary()),
-                        pa.array([grams[at : at + LISTED]], pa.list_(pa.int64())),
-                        pa.array([counts[at : at + LISTED]], pa.list_(pa.int64())),
-                    ],
-                    ["slice", "lang", "payload", "grams", "counts"],
-                )
+            for kind in (0, 1):
+                befores, grams, counts = _counted_pairs(texts, flags) if kind else (None, *_counted(texts, flags, order))
+                for at in range(0, len(grams), LISTED):
+                    lists = [None if c is None else c[at : at + LISTED] for c in (befores, grams, counts)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([number - 1]), pa.array([lang]), pa.array([None if at or kind else payload], pa.binary()),
+                            *[pa.array([c], pa.list_(pa.int64())) for c in lists],
+                        ],
+                        ["slice", "lang", "payload", "befores", "grams", "counts"],
+                    )
 
         for batch in slices(batches, 0):
             for text, doc_id, key, lang, role in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -145,7 +195,7 @@ def _sliced(rows: DataFrame, order: int) -> DataFrame:
             yield from closed(lang)
 
     return rows.mapInArrow(
-        task, "slice long, lang string, payload binary, grams array<long>, counts array<long>"
+        task, "slice long, lang string, payload binary, befores array<long>, grams array<long>, counts array<long>"
     )
 
 
@@ -205,32 +255,103 @@ def probabilities(asked: DataFrame, order: int = ORDER) -> DataFrame:
     return lower.select("lang", "gram", F.ln("p").cast("float").alias("logp"))
 
 
+def word_probabilities(asked: DataFrame) -> DataFrame:
+    """(lang, before, gram, logp) of a table (lang, before, gram, c) of pairs of words, where ``c`` may be 0.
+
+    As ``probabilities`` for the order of two; a word alone counts the
+    different words before it, and below it all words have ``UNSEEN``.
+    """
+    off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+
+    def cut(types: DataFrame) -> DataFrame:
+        return types.join(F.broadcast(_discounts(types)), "lang").select(
+            "lang", *types.columns[1:], F.greatest(F.col("c") - off, F.lit(0.0)).alias("left"), off.alias("off")
+        )
+
+    def p(lower: Column) -> Column:
+        return F.coalesce(F.col("left") / F.col("total"), F.lit(0.0)) + F.coalesce("passed", F.lit(1.0)) * lower
+
+    share = F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("passed")
+    seen = asked.where("c > 0").select("lang", "before", "gram", "c")
+    types = stored(seen.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c")), "model-words")
+    single = cut(types)
+    # A language has one row of these, and all its words meet it.
+    whole = F.broadcast(single.groupBy("lang").agg(*share))
+    words = asked.select("lang", "gram").distinct().join(single.select("lang", "gram", "left"), ["lang", "gram"], "left")
+    lower = stored(words.join(whole, "lang", "left").select("lang", "gram", p(F.lit(UNSEEN)).alias("p_lower")), "model-word")
+    double = cut(seen)
+    contexts = double.groupBy("lang", "before").agg(*share)
+    rows = (
+        asked.select("lang", "before", "gram")
+        .join(double.select("lang", "before", "gram", "left"), ["lang", "before", "gram"], "left")
+        .join(contexts, ["lang", "before"], "left")
+        .join(lower, ["lang", "gram"])
+    )
+    return stored(rows.select("lang", "before", "gram", F.ln(p(F.col("p_lower"))).cast("float").alias("logp")), "model-pairs")
+
+
 def _scored(payloads: DataFrame, answers: DataFrame, order: int) -> DataFrame:
-    """(doc_id, key, lang, role, symbols, loss) of the documents of slices."""
+    """(doc_id, key, lang, role, symbols, loss, words, word_loss) of the documents of slices."""
+    kinds = {
+        "doc_id": pa.int64(), "key": pa.int64(), "lang": pa.string(), "role": pa.int32(),
+        "symbols": pa.int64(), "loss": pa.float64(), "words": pa.int64(), "word_loss": pa.float64(),
+    }
 
     def task(payload: pa.Table, known: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        grams = known["gram"].to_numpy()
-        by_gram = np.argsort(grams)
-        grams, logs = grams[by_gram], known["logp"].to_numpy()[by_gram].astype("f8")
+        single = known["before"].is_null().to_numpy()
+        before = known["before"].fill_null(0).to_numpy()[~single]
+        grams, logs = known["gram"].to_numpy(), known["logp"].to_numpy().astype("f8")
+        vocabulary = np.unique(grams[~single])
+        tables = []
+        for keys, values in ((grams[single], logs[single]), (_keys(vocabulary, before, grams[~single]), logs[~single])):
+            by_key = np.argsort(keys)
+            tables.append((keys[by_key], values[by_key]))
+
+        def looked_up(kind: int, own: np.ndarray) -> np.ndarray:
+            keys, values = tables[kind]
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            if not np.array_equal(keys[at], own):
+                raise ValueError("an n-gram of a slice has no probability")
+            return values[at]
+
         for lang, data in zip(payload["lang"].to_pylist(), payload["payload"], strict=True):
             for batch in pa.ipc.open_stream(data.as_buffer()):
                 for doc_id, key, role, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    at = np.searchsorted(grams, own := ngrams(text, order))
-                    if not np.array_equal(grams[at], own):
-                        raise ValueError("an n-gram of a slice has no probability")
-                    out.append((doc_id, key, lang, role, len(own), -float(logs[at].mean())))
-        kinds = {"doc_id": pa.int64(), "key": pa.int64(), "lang": pa.string(), "role": pa.int32(), "symbols": pa.int64(), "loss": pa.float64()}
+                    spelled = looked_up(0, ngrams(text, order))
+                    worded = looked_up(1, _keys(vocabulary, *pairs(text)))
+                    out.append((doc_id, key, lang, role, len(spelled), -float(spelled.mean()), len(worded), -float(worded.mean())))
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(kinds.items())})
 
     return (
         payloads.select(F.col("slice").alias("part"), "lang", "payload")
         .groupBy("part")
         .cogroup(answers.groupBy("slice"))
-        .applyInArrow(task, "doc_id long, key long, lang string, role int, symbols long, loss double")
+        .applyInArrow(
+            task,
+            "doc_id long, key long, lang string, role int, symbols long, loss double, words long, word_loss double",
+        )
     )
 
 
+def _limited(scores: DataFrame, size: str, loss: str, prefix: str, quantile: float) -> DataFrame:
+    """The scores with (``prefix``)excess and its (``prefix``)limit."""
+    excess, limit = f"{prefix}excess", f"{prefix}limit"
+    middle = scores.where(F.col("role") == CALIBRATE).groupBy("lang").agg(F.percentile_approx(loss, 0.5, 10_000).alias("middle"))
+    judged = scores.join(F.broadcast(middle), "lang", "left").withColumn(
+        excess, (F.col(loss) - F.col("middle")) * F.sqrt(size)
+    ).drop("middle")
+    unseen = judged.where(F.col("role") == CALIBRATE)
+    pooled = unseen.agg(F.percentile_approx(excess, POOLED_QUANTILE, 10_000).alias("pooled"))
+    limits = (
+        unseen.groupBy("lang")
+        .agg(F.percentile_approx(excess, quantile, 10_000).alias("own"))
+        .join(F.broadcast(pooled))
+        .select("lang", F.greatest("own", "pooled").alias(limit))
+    )
+    return judged.join(F.broadcast(limits), "lang", "left")
+
+
 def classify(
     docs: DataFrame,
     trusted: DataFrame,
@@ -240,14 +361,14 @@ def classify(
     text: str = "text",
     lang: str = "lang",
 ) -> DataFrame:
-    """(doc_id, key, lang, symbols, loss, excess, kept) of every row of ``docs``.
+    """(doc_id, key, lang, symbols, loss, excess, limit, words, word_loss, word_excess, word_limit, kept) of every row of ``docs``.
 
     ``trusted`` is a table of trusted ids (doc_id). ``loss`` is the mean
     negative log-probability of a character, the logarithm of the perplexity.
     The model counts four in five of the trusted texts and the fifth, which it
     hasn't seen, sets thresholds. ``excess`` is how far the loss lies above the
     language's median of these, times the root of the length, since short texts
-    scatter more; a document is kept if that is at most their quantile
+    scatter more. The same holds for words. A document is kept if both are at most their quantile
     or, where a language has few, that of all languages. Texts without a character are not kept. In a language without
     trusted text nothing can be judged and all other texts are kept. A null
     language is the empty one. ``key`` is the hash of the text: repeated rows
@@ -267,29 +388,25 @@ def classify(
         .select("text", "doc_id", "key", "lang", role.alias("role"))
     )
     parts = stored(_sliced(rows, order), "model-slices")
-    listed = parts.select("slice", "lang", F.explode(F.arrays_zip("grams", "counts")).alias("g")).select(
-        "slice", "lang", F.col("g.grams").alias("gram"), F.col("g.counts").alias("c")
-    )
-    asked = stored(listed.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "model-counts")
-    answers = listed.select("slice", "lang", "gram").join(probabilities(asked, order), ["lang", "gram"])
-    scores = stored(
-        _scored(parts.where("payload is not null").select("slice", "lang", "payload"), answers.select("slice", "gram", "logp"), order), "model-scores"
-    )
-    middle = scores.where(F.col("role") == CALIBRATE).groupBy("lang").agg(F.percentile_approx("loss", 0.5, 10_000).alias("middle"))
-    judged = scores.join(F.broadcast(middle), "lang", "left").withColumn(
-        "excess", (F.col("loss") - F.col("middle")) * F.sqrt("symbols")
-    )
-    unseen = judged.where(F.col("role") == CALIBRATE)
-    pooled = unseen.agg(F.percentile_approx("excess", POOLED_QUANTILE, 10_000).alias("pooled"))
-    limits = (
-        unseen.groupBy("lang")
-        .agg(F.percentile_approx("excess", quantile, 10_000).alias("own"))
-        .join(F.broadcast(pooled))
-        .select("lang", F.greatest("own", "pooled").alias("limit"))
+    single = parts.where("befores is null").select("slice", "lang", F.explode(F.arrays_zip("grams", "counts")).alias("g"))
+    single = single.select("slice", "lang", F.col("g.grams").alias("gram"), F.col("g.counts").alias("c"))
+    asked = stored(single.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "model-counts")
+    double = parts.where("befores is not null").select(
+        "slice", "lang", F.explode(F.arrays_zip("befores", "grams", "counts")).alias("g")
+    ).select("slice", "lang", F.col("g.befores").alias("before"), F.col("g.grams").alias("gram"), F.col("g.counts").alias("c"))
+    asked_pairs = stored(double.groupBy("lang", "before", "gram").agg(F.sum("c").alias("c")), "model-pair-counts")
+    spelled = single.drop("c").join(probabilities(asked, order), ["lang", "gram"])
+    worded = double.drop("c").join(word_probabilities(asked_pairs), ["lang", "before", "gram"])
+    answers = spelled.select("slice", F.lit(None).cast("long").alias("before"), "gram", "logp").unionByName(
+        worded.select("slice", "before", "gram", "logp")
     )
-    return judged.join(F.broadcast(limits), "lang", "left").select(
-        "doc_id", "key", "lang", "symbols", "loss", "excess", "limit",
-        ((F.col("symbols") > 1) & F.coalesce(F.col("excess") <= F.col("limit"), F.lit(True))).alias("kept"),
+    payloads = parts.where("payload is not null").select("slice", "lang", "payload")
+    scores = stored(_scored(payloads, answers, order), "model-scores")
+    judged = _limited(_limited(scores, "symbols", "loss", "", quantile), "words", "word_loss", "word_", quantile)
+    fine = [F.coalesce(F.col(f"{p}excess") <= F.col(f"{p}limit"), F.lit(True)) for p in ("", "word_")]
+    return judged.select(
+        "doc_id", "key", "lang", "symbols", "loss", "excess", "limit", "words", "word_loss", "word_excess", "word_limit",
+        ((F.col("symbols") > 1) & fine[0] & fine[1]).alias("kept"),
     )
 
 

@@ -137,3 +137,26 @@ def test_order_tells_what_four_characters_cannot(spark, monkeypatch):
     assert quality_model.ORDER >= 5 and len(by_id) == 61
     assert all(by_id[i].kept for i in range(60)) and not by_id[100].kept
     assert by_id[100].loss > by_id[0].loss + 0.1
+
+
+def test_words_and_letters_of_many_scripts_are_told_apart(spark):
+    rng = random.Random(5)
+    subjects, verbs, things = ("the river", "a stone", "my house"), ("carries", "has seen", "is near"), ("light", "the water", "some birds")
+    def sentence():
+        return f"{rng.choice(subjects)} {rng.choice(verbs)} {rng.choice(things)}"
+    good = [". ".join(sentence() for _ in range(20)) for _ in range(60)]
+    words = good[0].replace(".", "").split()
+    senseless = " ".join(rng.choices(words, k=100))
+    table = quality_model.classes()
+    right = "\u4f60\u597d\u4e16\u754c"
+    # Other letters of the same classes.
+    wrong = "".join(next(chr(c) for c in range(ord(r) + 1, 0x9FFF) if table[c] == table[ord(r)]) for r in right)
+    assert [table[ord(c)] for c in right] == [table[ord(c)] for c in wrong]
+    rows = [(i, t, "en") for i, t in enumerate(good)] + [(100, senseless, "en")]
+    rows += [(200 + i, right * 20, "zh") for i in range(60)] + [(300, wrong * 20, "zh")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    trusted = docs.where("doc_id not in (100, 300)").select("doc_id")
+    by_id = {r.doc_id: r for r in quality_model.classify(docs, trusted).collect()}
+    assert not by_id[100].kept and not by_id[300].kept
+    assert by_id[300].loss == pytest.approx(by_id[200].loss)
+    assert sum(by_id[i].kept for i in [*range(60), *range(200, 260)]) >= 116
