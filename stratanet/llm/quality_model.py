@@ -47,6 +47,8 @@ QUANTILE = 0.999
 POOLED_QUANTILE = 0.99
 #: Letters of scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, bopomofo and Han.
 UNSPACED = "\u0e00-\u0eff\u0f00-\u109f\u1780-\u17ff\u3040-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: Least standard deviation between the losses of whole texts, as a share of their language's median.
+BETWEEN = 0.01
 #: A word is one of those letters, a run of others, or a mark.
 WORDS = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+|[^\w\s]")
 #: Probability of a word that trusted text doesn't have, before it is weighted.
@@ -290,11 +292,21 @@ def word_probabilities(asked: DataFrame) -> DataFrame:
     return stored(rows.select("lang", "before", "gram", F.ln(p(F.col("p_lower"))).cast("float").alias("logp")), "model-pairs")
 
 
+def _spread(values: np.ndarray, block: int) -> float:
+    """Variance of the mean times the length, by means of blocks, as neighbours depend on each other."""
+    n = len(values) // block
+    return float(block * values[: n * block].reshape(n, block).mean(1).var() if n > 1 else values.var())
+
+
 def _scored(payloads: DataFrame, answers: DataFrame, order: int) -> DataFrame:
-    """(doc_id, key, lang, role, symbols, loss, words, word_loss) of the documents of slices."""
+    """(doc_id, key, lang, role, symbols, loss, spread, words, word_loss, word_spread) of the documents of slices.
+
+    A spread is what the variance of a text's loss is, times its length.
+    """
     kinds = {
         "doc_id": pa.int64(), "key": pa.int64(), "lang": pa.string(), "role": pa.int32(),
-        "symbols": pa.int64(), "loss": pa.float64(), "words": pa.int64(), "word_loss": pa.float64(),
+        "symbols": pa.int64(), "loss": pa.float64(), "spread": pa.float64(),
+        "words": pa.int64(), "word_loss": pa.float64(), "word_spread": pa.float64(),
     }
 
     def task(payload: pa.Table, known: pa.Table) -> pa.Table:
@@ -320,7 +332,8 @@ def _scored(payloads: DataFrame, answers: DataFrame, order: int) -> DataFrame:
                 for doc_id, key, role, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     spelled = looked_up(0, ngrams(text, order))
                     worded = looked_up(1, _keys(vocabulary, *pairs(text)))
-                    out.append((doc_id, key, lang, role, len(spelled), -float(spelled.mean()), len(worded), -float(worded.mean())))
+                    measures = [f for v, block in ((spelled, 64), (worded, 16)) for f in (len(v), -float(v.mean()), _spread(v, block))]
+                    out.append((doc_id, key, lang, role, *measures))
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(kinds.items())})
 
     return (
@@ -329,18 +342,35 @@ def _scored(payloads: DataFrame, answers: DataFrame, order: int) -> DataFrame:
         .cogroup(answers.groupBy("slice"))
         .applyInArrow(
             task,
-            "doc_id long, key long, lang string, role int, symbols long, loss double, words long, word_loss double",
+            "doc_id long, key long, lang string, role int, symbols long, loss double, spread double, "
+            "words long, word_loss double, word_spread double",
         )
     )
 
 
-def _limited(scores: DataFrame, size: str, loss: str, prefix: str, quantile: float) -> DataFrame:
-    """The scores with (``prefix``)excess and its (``prefix``)limit."""
-    excess, limit = f"{prefix}excess", f"{prefix}limit"
-    middle = scores.where(F.col("role") == CALIBRATE).groupBy("lang").agg(F.percentile_approx(loss, 0.5, 10_000).alias("middle"))
-    judged = scores.join(F.broadcast(middle), "lang", "left").withColumn(
-        excess, (F.col(loss) - F.col("middle")) * F.sqrt(size)
-    ).drop("middle")
+def _limited(scores: DataFrame, size: str, prefix: str, quantile: float) -> DataFrame:
+    """The scores with (``prefix``)excess and its (``prefix``)limit.
+
+    The variance of a text's loss is that between texts, which no length
+    lowers, and that within a text by its length. The first is the mean square
+    of the calibration texts' deviations, by their length; what these have of
+    the second is not taken off, so that long texts are not held too strictly.
+    """
+    excess, limit, loss = f"{prefix}excess", f"{prefix}limit", f"{prefix}loss"
+    learned = scores.where(F.col("role") == CALIBRATE)
+    middle = learned.groupBy("lang").agg(
+        F.percentile_approx(loss, 0.5, 10_000).alias("middle"),
+        (F.sum(F.col(f"{prefix}spread") * F.col(size)) / F.sum(size)).alias("within"),
+    )
+    apart = F.sum((F.col(loss) - F.col("middle")) ** 2 * F.col(size)) / F.sum(size)
+    between = F.greatest(apart, (BETWEEN * F.first("middle")) ** 2).alias("between")
+    shape = learned.join(F.broadcast(middle), "lang").groupBy("lang").agg(
+        F.first("middle").alias("middle"), F.first("within").alias("within"), between
+    )
+    judged = scores.join(F.broadcast(shape), "lang", "left").withColumn(
+        excess,
+        F.try_divide(F.col(loss) - F.col("middle"), F.sqrt(F.col("between") + F.col("within") / F.col(size))),
+    ).drop("middle", "within", "between")
     unseen = judged.where(F.col("role") == CALIBRATE)
     pooled = unseen.agg(F.percentile_approx(excess, POOLED_QUANTILE, 10_000).alias("pooled"))
     limits = (
@@ -367,8 +397,8 @@ def classify(
     negative log-probability of a character, the logarithm of the perplexity.
     The model counts four in five of the trusted texts and the fifth, which it
     hasn't seen, sets thresholds. ``excess`` is how far the loss lies above the
-    language's median of these, times the root of the length, since short texts
-    scatter more. The same holds for words. A document is kept if both are at most their quantile
+    language's median of these, over the deviation that texts of its length have: the
+    variance between texts plus that within a text by its length. The same holds for words. A document is kept if both are at most their quantile
     or, where a language has few, that of all languages. Texts without a character are not kept. In a language without
     trusted text nothing can be judged and all other texts are kept. A null
     language is the empty one. ``key`` is the hash of the text: repeated rows
@@ -402,7 +432,7 @@ def classify(
     )
     payloads = parts.where("payload is not null").select("slice", "lang", "payload")
     scores = stored(_scored(payloads, answers, order), "model-scores")
-    judged = _limited(_limited(scores, "symbols", "loss", "", quantile), "words", "word_loss", "word_", quantile)
+    judged = _limited(_limited(scores, "symbols", "", quantile), "words", "word_", quantile)
     fine = [F.coalesce(F.col(f"{p}excess") <= F.col(f"{p}limit"), F.lit(True)) for p in ("", "word_")]
     return judged.select(
         "doc_id", "key", "lang", "symbols", "loss", "excess", "limit", "words", "word_loss", "word_excess", "word_limit",

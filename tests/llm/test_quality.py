@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -160,3 +161,27 @@ def test_words_and_letters_of_many_scripts_are_told_apart(spark):
     assert not by_id[100].kept and not by_id[300].kept
     assert by_id[300].loss == pytest.approx(by_id[200].loss)
     assert sum(by_id[i].kept for i in [*range(60), *range(200, 260)]) >= 116
+
+
+def test_long_clean_texts_are_kept(spark):
+    rng = random.Random(6)
+    topics = [rng.sample("river stone light over the of house bird cloud road tree hill".split(), 8) for _ in range(6)]
+
+    def text(n, topic):
+        return " ".join(" ".join(rng.choices(topics[topic], k=8)) + "." for _ in range(n))
+
+    rows = [(i, text(rng.randint(5, 12), i % 6), "en") for i in range(400)]
+    rows += [(500 + i, text(6_000, i), "en") for i in range(6)]
+    rows += [(600 + i, "xq zvk " * 8, "en") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+    found = quality_model.classify(docs, docs.where("doc_id < 400").select("doc_id"))
+    by_id = {r.doc_id: r for r in found.collect()}
+    long = [by_id[500 + i] for i in range(6)]
+    assert all(r.kept for r in long), [(r.excess, r.limit, r.word_excess, r.word_limit) for r in long]
+    assert not any(by_id[600 + i].kept for i in range(3))
+    # Times the root of their length alone, some of these would lie beyond all that set the limit.
+    unseen = [by_id[i] for i in range(400) if zlib.crc32(str(i).encode()) % quality_model.FOLDS == 0]
+    middle = sorted(r.loss for r in unseen)[len(unseen) // 2]
+    limit = max((r.loss - middle) * math.sqrt(r.symbols) for r in unseen)
+    assert any((r.loss - middle) * math.sqrt(r.symbols) > limit for r in long)
