@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from math import exp, log
 
 import pyarrow as pa
@@ -33,7 +34,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Spelled keys, from which the field learns what secrets look like.
 SPELLED = re.compile(r"\bAKIA[0-9A-Z]{16}\b|\b(?:api_?key|secret|token|password|passwd)\s?[=:]\s?\"?[0-9A-Za-z_-]{8,}\"?", re.I)
 #: Where a window may begin: tokens without any of these are never part of a span.
-SEED = re.compile(r"[0-9@=]")
+SEED = re.compile(r"[0-9@=]|(?i:key|secret|token|password|passwd)\s?:")
 TOKEN = re.compile(r"\S+")
 #: Tokens of a span at most, and tokens that stand on either side of a seed in its window.
 LONGEST = 4
@@ -96,10 +97,15 @@ def windows(text: str) -> Iterator[list[tuple[int, int]]]:
     recent: list[tuple[int, int]] = []
     for i, m in enumerate(TOKEN.finditer(text)):
         recent = [*recent[-AROUND:], m.span()]
-        seed = SEED.search(m[0]) is not None
-        if tokens and (i - last > AROUND and not seed or len(tokens) >= WINDOW):
+        # A colon may stand by itself behind its key word.
+        seed = m[0][0] == ":" or SEED.search(m[0]) is not None
+        if tokens and i - last > AROUND and not seed:
             yield tokens
             tokens = []
+        elif len(tokens) >= WINDOW:
+            yield tokens
+            # Any span that goes on beyond the window is whole in the next.
+            tokens = tokens[1 - LONGEST :]
         if seed:
             if not tokens:
                 tokens = recent[:]
@@ -117,6 +123,11 @@ PARTS = re.compile(r"[0-9]+|[A-Z]+|[a-z]+|\s+|[^0-9A-Za-z\s]")
 
 def features(kind: str, text: str, before: str) -> list[str]:
     """Features of a whole candidate span and of what stands before it."""
+    return [f"{kind}|{f}" for f in shape(text, before)]
+
+
+def shape(text: str, before: str) -> list[str]:
+    """The features without a kind."""
     core = text.strip(".,;:!?\"'")
     digits = _digits(core)
     n, share = len(digits), round(4 * len(digits) / max(len(core), 1))
@@ -141,7 +152,7 @@ def features(kind: str, text: str, before: str) -> list[str]:
         found.append("assigned")
     if re.search(r"key|secret|token|passw|AKIA", core + before[-16:]):
         found.append("spelled")
-    return [f"{kind}|{f}" for f in found]
+    return found
 
 
 class Field:
@@ -160,11 +171,12 @@ class Field:
                     lead = text[tokens[i][0] : tokens[i][1]]
                     if not re.search(r"key|secret|token|passw", lead, re.I):
                         break
-                if end - begin > 400 or not SEED.search(text, begin, end):
+                if not SEED.search(text, begin, end):
                     continue
                 before = text[max(0, begin - 20) : begin]
+                own = shape(text[begin:end], before)
                 for kind in KINDS:
-                    found = features(kind, text[begin:end], before)
+                    found = [f"{kind}|{f}" for f in own]
                     out[i, j, kind] = sum(self.weights.get(f, 0.0) for f in found), found
         return out
 
@@ -235,9 +247,9 @@ def taught(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, str
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: int = SAMPLE_TEXTS) -> Field:
-    """A field trained on windows of at most ``texts`` texts that have seeds, chosen by the hash of the text.
+    """A field trained on windows of about ``texts`` texts at most, an equal share for each kind, chosen by the hash of the text.
 
-    At most ``SAMPLE_WINDOWS`` windows of each come to the driver, of at most
+    At most ``SAMPLE_WINDOWS`` windows of each, or one for each kind, come to the driver, of at most
     ``WINDOW`` tokens. Without any, the field has no weights and adds nothing.
     """
 
@@ -245,17 +257,27 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: in
         for batch in batches:
             rows = []
             for t in batch.column(0).to_pylist():
-                for n, tokens in enumerate(windows(t)):
-                    if n == SAMPLE_WINDOWS:
-                        break
+                # The first window of each kind, then the first ones.
+                first: dict[str, str] = {}
+                parts: list[str] = []
+                for tokens in windows(t):
                     part = t[tokens[0][0] : tokens[-1][1]]
                     if len(part) < 4000:
-                        rows.append(part)
+                        for kind in {k for k, *_ in base_spans(part)} | ({"secret"} if SPELLED.search(part) else set()):
+                            first.setdefault(kind, part)
+                        if len(parts) < SAMPLE_WINDOWS:
+                            parts.append(part)
+                rows += list(dict.fromkeys([*first.values(), *parts]))[: max(SAMPLE_WINDOWS, len(first))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["part"])
 
-    rows = docs.select(F.col(text).alias("text")).where(F.col("text").rlike(r"[0-9]{3}|@|="))
-    # Only hashes are sorted; the texts of the chosen ones are read again.
-    chosen = rows.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(texts)
+    marks = [r"[0-9]{3}|@|=", r"\w@\w", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", r"([0-9][ -]?){16}", r"\+[0-9][ ().0-9-]{6}", "(?i)" + SPELLED.pattern]
+    held = [F.when(F.col("text").rlike(mark), F.lit(i)) for i, mark in enumerate(marks)]
+    rows = docs.select(F.col(text).alias("text")).where(F.greatest(*held).isNotNull())
+    # Only hashes are sorted, those of each kind by themselves; the texts of the chosen ones are read again.
+    kinds = stored(rows.select(F.explode(F.array_compact(F.array(*held))).alias("kind"), F.xxhash64("text").alias("h")).distinct(), "pii-kinds")
+    share = -(-texts // len(marks))
+    several = [kinds.where(F.col("kind") == i).select("h").orderBy("h").limit(share) for i in range(len(marks))]
+    chosen = reduce(DataFrame.union, several).distinct()
     picked = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy("h")
     parts = [r[0] for r in stored(picked.select("text").mapInArrow(task, "part string"), "pii-windows").collect()]
     field = Field()
@@ -280,8 +302,26 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
             while end > begin and text[end - 1] in ".,;:!?":
                 end -= 1
             near = [s for s in base if s[1] < end and begin < s[2]]
-            if begin < end and not near and not overlaps(begin, end, added):
-                added.append((kind, begin, end))
+            # The window before may have cut a span off that is whole in this one.
+            cut = [s for s in added[-LONGEST:] if begin <= s[1] and s[2] <= end]
+            others = [s for s in added if s not in cut] if cut else added
+            if begin < end and not near and not overlaps(begin, end, others):
+                added = [*others, (kind, begin, end)] if cut else added
+                if not cut:
+                    added.append((kind, begin, end))
+    # Spelled keys are secrets to the end of their token whatever the field has learned.
+    for m in SPELLED.finditer(text):
+        begin, end = m.start(), m.end()
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        while text[end - 1] in ".,;:!?":
+            end -= 1
+        if overlaps(begin, end, base):
+            continue
+        # What the field has found of it goes into one span.
+        parts = [s for s in added if overlaps(begin, end, [s])]
+        added = [s for s in added if s not in parts] if parts else added
+        added.append(("secret", min([begin, *[s[1] for s in parts]]), max([end, *[s[2] for s in parts]])))
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 

@@ -220,3 +220,26 @@ def test_stages_take_odd_and_no_rows(spark, sf_dir, odd, none, number):
         out = stage(spark, docs, sf_dir)
         assert out.count() >= 0
         assert number == 4 or out.columns == docs.columns
+
+
+def test_long_keys_colons_and_edges_of_windows_are_whole():
+    field = pii.Field({"secret|spelled": 1.0})
+    long = "token=" + ("aB3" * 150 + ".") * 3 + "x"
+    for text in (long, "password: correcthorse", "password : correcthorse"):
+        assert ("secret", 0, len(text)) in pii.all_spans(text, pii.Field())[1]
+        assert pii.all_spans(text, field)[1] == [("secret", 0, len(text))]
+    # Four tokens of which the first three end a window.
+    tokens = [(m.start(), m.end()) for m in pii.TOKEN.finditer(" ".join(f"n{i}" for i in range(150)))]
+    found = list(pii.windows(" ".join(f"n{i}" for i in range(150))))
+    for i in range(len(tokens) - 3):
+        assert any(set(tokens[i : i + 4]) <= set(w) for w in found)
+
+
+def test_a_rare_kind_is_in_the_sample(spark, monkeypatch):
+    rows = [(i, f"order {1000 + i} of {2000 + i} pieces") for i in range(300)]
+    rows.append((999, " ".join(f"{i} a b c d e f" for i in range(9)) + " password: correcthorse"))
+    seen = []
+    monkeypatch.setattr(pii.Field, "learn", lambda self, cut: seen.extend(cut))
+    pii.train(spark.createDataFrame(rows, "doc_id long, text string"), texts=12)
+    assert len(seen) <= 12 * pii.SAMPLE_WINDOWS
+    assert any(kind == "secret" for _, gold in seen for *_, kind in gold)
