@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratanet.llm import bpe, jaccard_join, language_id, media, mixing, personal_data, quality_model, quality_rules, substring_dedup, token_files
+from stratanet.llm import bpe, checks, jaccard_join, language_id, media, mixing, personal_data, quality_model, quality_rules, spelling, substring_dedup, token_files
 from stratanet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,6 +129,14 @@ def op9_substring_dedup(spark, sf_dir):
     )
 
 
+@query
+def op13_spelling_variants(spark, sf_dir):
+    """Frequent words of all documents with the forms they are variants of."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_spelling_variants"] = checks.SPELLING_SQL
+
 WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 #: The order of rules changes no verdict, so that SQL may have them in any.
