@@ -27,3 +27,18 @@ walk AS (SELECT word, form AS tip FROM f WHERE form IS NOT NULL
 ends AS (SELECT walk.word, tip FROM walk JOIN f ON f.word = walk.tip WHERE f.form IS NULL)
 SELECT words.word, form, coalesce(tip, words.word) AS root, words.n, coalesce(n_near, 0) AS n_near, form_n
 FROM words LEFT JOIN f USING (word) LEFT JOIN ends USING (word)"""
+
+TERMS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH_SQL = rf"""
+WITH d AS (SELECT doc_id, {TERMS_SQL} AS ts FROM documents),
+s AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS terms FROM d WHERE len(ts) > 0),
+q AS (SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS term FROM benchmark),
+t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM t GROUP BY 1), s),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN w USING (term), s GROUP BY 1, 2),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratanet.llm import bpe, checks, jaccard_join, language_id, media, mixing, personal_data, quality_model, quality_rules, spelling, substring_dedup, token_files
+from stratanet.llm import bpe, checks, jaccard_join, language_id, media, mixing, personal_data, quality_model, quality_rules, ranked_search, spelling, substring_dedup, token_files
 from stratanet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +135,13 @@ def op13_spelling_variants(spark, sf_dir):
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_ranked_search(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op12_ranked_search"] = checks.SEARCH_SQL
 ORACLE_SQL["op13_spelling_variants"] = checks.SPELLING_SQL
 
 WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"

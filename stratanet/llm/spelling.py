@@ -67,9 +67,7 @@ def _counter(min_length: int, nth: int):
 
 
 def _counts(held: Counter) -> pa.RecordBatch:
-    return pa.record_batch(
-        [pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"]
-    )
+    return pa.record_batch([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
 
 
 def word_counts(docs: DataFrame, min_length: int = 5, min_count: int = 3, nth: int = 97) -> DataFrame:
@@ -133,7 +131,7 @@ def one_edit(left, right, lengths, a, b) -> tuple[np.ndarray, np.ndarray]:
     return near & ~((longest == lengths[b]) & (prefix == longest)), prefix
 
 
-def block_pairs(first, count, at, longer, lengths, cells: int):
+def block_pairs(first, count, at, i, j, longer, lengths, cells: int):
     """Pairs of rows to compare, tile by tile, in lots: a is as long as the tile asks, b as long or one shorter.
 
     ``first`` and ``count`` give each tile's rows. Rows of a tile with two
@@ -143,13 +141,12 @@ def block_pairs(first, count, at, longer, lengths, cells: int):
     for start, size in zip(first, count, strict=True):
         rows = np.arange(start, start + size)
         is_long = lengths[rows] == longer[start]
-        lower = at[rows] == at[rows].min()
-        if lower.all():
+        if i[start] == j[start]:
             long, short = rows[is_long], rows[~is_long]
-            i, j = np.triu_indices(len(long), 1)
-            found = [(long[i], long[j]), (np.repeat(long, len(short)), np.tile(short, len(long)))]
+            x, y = np.triu_indices(len(long), 1)
+            found = [(long[x], long[y]), (np.repeat(long, len(short)), np.tile(short, len(long)))]
         else:
-            found = []
+            lower, found = at[rows] == i[start], []
             for x, y in ((is_long & lower, ~lower), (is_long & ~lower, lower & ~is_long)):
                 x, y = rows[x], rows[y]
                 found.append((np.repeat(x, len(y)), np.tile(y, len(x))))
@@ -175,7 +172,7 @@ def compare_tiles(table: pa.Table) -> pa.RecordBatch:
     """What the tiles of the table, each whole and its rows together, say of their words."""
     words = table.column("word").combine_chunks()
     left, right, lengths = code_points(words)
-    longer, at, n = (table.column(c).to_numpy() for c in ("longer", "at", "n"))
+    longer, at, i, j, n = (table.column(c).to_numpy() for c in ("longer", "at", "i", "j", "n"))
     is_suffix = pc.equal(table.column("side"), "s").to_numpy()
     first = np.flatnonzero(new_tile(table))
     count = np.diff([*first, table.num_rows])
@@ -184,7 +181,7 @@ def compare_tiles(table: pa.Table) -> pa.RecordBatch:
     order[np.argsort(texts, kind="stable")] = np.arange(len(texts))
     source, other = [], []
     lot = max(1, CELLS // left.shape[1])
-    for a, b in block_pairs(first, count, at, longer, lengths, lot):
+    for a, b in block_pairs(first, count, at, i, j, longer, lengths, lot):
         for k in range(0, len(a), lot):
             x, y = a[k : k + lot], b[k : k + lot]
             near, prefix = one_edit(left, right, lengths, x, y)
