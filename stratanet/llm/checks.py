@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 #: One step of the reflected CRC-32 for each byte, with the table made by its polynomial.
 SPELLING_SQL = r"""
 WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
@@ -42,3 +44,34 @@ r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8
   FROM q JOIN t USING (term) JOIN w USING (term), s GROUP BY 1, 2),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10"""
+
+
+def trust_sql(rules: list[tuple[str, str]], rounds: int) -> str:
+    """Rules and propagation; each round is a table of its own."""
+    values = ", ".join(f"('{rule}', '{verdict}')" for rule, verdict in rules)
+    keep, pass_on = "1 - 0.85::DOUBLE", "0.85::DOUBLE * CAST(r.mass AS DOUBLE) * share"
+    steps = "".join(
+        f"""
+r{k + 1} AS MATERIALIZED (SELECT kind, host, CAST(sum(mass) AS BIGINT) AS mass FROM (
+  SELECT kind, host, CAST(floor(({keep}) * CAST(mass AS DOUBLE)) AS BIGINT) AS mass FROM r0
+  UNION ALL SELECT s.kind, target, CAST(floor({pass_on}) AS BIGINT) FROM r{k} r JOIN shares s ON r.kind = s.kind AND r.host = s.source) GROUP BY 1, 2),"""
+        for k in range(rounds)
+    )
+    return rf"""
+WITH rules AS (SELECT rule, verdict, split_part(rule, '/', 1) AS rule_host, substr(rule, instr(rule, '/')) AS rule_path FROM (VALUES {values}) AS v(rule, verdict)),
+p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(html, '') AS html FROM pages),
+b AS (SELECT p.page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS rule_verdict FROM p JOIN rules
+  ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY 1),
+ruled AS MATERIALIZED (SELECT p.page_id, host, path, rule, rule_verdict FROM p LEFT JOIN b USING (page_id)),
+link AS (SELECT host, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*([^"''\s>]+)', 1)) AS u FROM p WHERE host <> ''),
+edge AS MATERIALIZED (SELECT source, target, count(*) AS n FROM (SELECT host AS source,
+  CASE WHEN regexp_matches(u, '^([A-Za-z][A-Za-z0-9+.-]*:)?//') THEN nullif(translate(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '')
+    WHEN regexp_matches(u, '^(#|[A-Za-z][A-Za-z0-9+.-]*:)') THEN NULL ELSE host END AS target FROM link) WHERE target IS NOT NULL GROUP BY 1, 2),
+both_ways AS (SELECT 'trust' AS kind, source, target, n FROM edge UNION ALL SELECT 'distrust', target, source, n FROM edge),
+shares AS MATERIALIZED (SELECT kind, source, target, n::DOUBLE / (sum(n) OVER (PARTITION BY kind, source))::DOUBLE AS share FROM both_ways),
+seed AS (SELECT CASE rule_verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM ruled WHERE rule_verdict IS NOT NULL AND host <> '' GROUP BY 1, 2),
+r0 AS MATERIALIZED (SELECT kind, host, CAST(floor(1099511627776::DOUBLE * n::DOUBLE / (SELECT sum(n) FROM seed)::DOUBLE) AS BIGINT) AS mass FROM seed),{steps}
+m AS (SELECT host, CAST(coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS BIGINT) AS trust, CAST(coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS BIGINT) AS distrust FROM r{rounds} GROUP BY 1),
+j AS (SELECT page_id, host, path, rule, rule_verdict, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM ruled LEFT JOIN m USING (host))
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN 100 * distrust > 50 * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust FROM j"""

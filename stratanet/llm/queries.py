@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratanet.llm import bpe, checks, jaccard_join, language_id, media, mixing, personal_data, quality_model, quality_rules, ranked_search, spelling, substring_dedup, token_files
+from stratanet.llm import bpe, checks, jaccard_join, language_id, link_trust, media, mixing, personal_data, quality_model, quality_rules, ranked_search, spelling, substring_dedup, token_files
 from stratanet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +135,19 @@ def op13_spelling_variants(spark, sf_dir):
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+#: Fixed value of the contract: rules of hosts and paths.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+@query
+def op11_link_trust(spark, sf_dir):
+    """Host, path, rule and verdict of every page."""
+    return link_trust.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+
+
+ORACLE_SQL["op11_link_trust"] = checks.trust_sql(URL_RULES, link_trust.ROUNDS)
+
+
 @query
 def op12_ranked_search(spark, sf_dir):
     """The ten best documents of every benchmark item."""
