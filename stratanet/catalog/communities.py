@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratanet.catalog.base import query, rounded
@@ -13,6 +15,7 @@ from stratanet.catalog.windows import T as WINDOW_T
 from stratanet.operators import communities as K
 from stratanet.operators import evolution as E
 from stratanet.operators import graph as G
+from stratanet.operators import spectral as S
 from stratanet.session import cut_lineage
 from stratanet.sources import adapters as A
 
@@ -21,10 +24,94 @@ from stratanet.sources import adapters as A
 def c3(spark, d):
     """Every k tried on every layer, with its four scores."""
     nodes, edges, _ = net_graph(spark, d)
-    tried = K.clusterings(nodes, edges, KEYS).drop("nodes", "labels")
+    tried, _ = K.clusterings(nodes, edges, KEYS)
     return rounded(tried, "inertia", *K.SCORES)
 
 
+#: Customers of a region as points, their neighbours by key as edges, and two partitions that SQL can name.
+_POINTS = """pt AS (SELECT n_regionkey AS g, c_custkey AS id, c_acctbal / 1000 AS x, c_nationkey * 1.0 AS y
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+_LABELS = f"""{_POINTS},
+lb AS (SELECT g, id, x, y, 3 AS k, id % 3 AS c FROM pt UNION ALL
+  SELECT g, id, x, y, 5, CASE WHEN x < 2 THEN id % 2 WHEN x < 6 THEN 2 ELSE 4 END FROM pt)"""
+
+
+def customer_points(spark, d):
+    nation = A.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("int").alias("g"))
+    x, y = F.col("c_acctbal").cast("double") / 1000.0, F.col("c_nationkey") * F.lit(1.0)
+    return A.table(spark, d, "customer").join(nation, "c_nationkey").select(
+        "g", F.col("c_custkey").cast("long").alias("id"), F.xxhash64("c_custkey").alias("hash"), F.array(x, y).alias("vec")
+    )
+
+
+_SCORES_SQL = f"""WITH {_LABELS},
+sz AS (SELECT g, k, c, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM lb GROUP BY 1, 2, 3),
+al AS (SELECT g, k, count(*) AS n, count(DISTINCT c) AS kk, avg(x) AS ax, avg(y) AS ay FROM lb GROUP BY 1, 2),
+ds AS (SELECT a.g, a.k, a.id, a.c, b.c AS o, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS s
+  FROM lb a JOIN lb b ON a.g = b.g AND a.k = b.k GROUP BY 1, 2, 3, 4, 5),
+po AS (SELECT ds.g, ds.k, id, sum(s / greatest(n - 1, 1)) FILTER (ds.c = o) AS own, min(s / n) FILTER (ds.c <> o) AS other,
+  max(n) FILTER (ds.c = o) AS n FROM ds JOIN sz ON ds.g = sz.g AND ds.k = sz.k AND ds.o = sz.c GROUP BY 1, 2, 3),
+si AS (SELECT g, k, avg(CASE WHEN n > 1 AND greatest(own, other) > 0 THEN (other - own) / greatest(own, other) ELSE 0 END) AS silhouette FROM po GROUP BY 1, 2),
+sp AS (SELECT lb.g, lb.k, lb.c, any_value(sz.n) AS n, any_value(mx) AS mx, any_value(my) AS my,
+  avg(sqrt((x - mx) ** 2 + (y - my) ** 2)) AS apart, sum((x - mx) ** 2 + (y - my) ** 2) AS w
+  FROM lb JOIN sz ON lb.g = sz.g AND lb.k = sz.k AND lb.c = sz.c GROUP BY 1, 2, 3),
+db AS (SELECT g, k, avg(r) AS davies_bouldin FROM (SELECT a.g, a.k, a.c, max((a.apart + b.apart) / sqrt((a.mx - b.mx) ** 2 + (a.my - b.my) ** 2)) AS r
+  FROM sp a JOIN sp b ON a.g = b.g AND a.k = b.k AND a.c <> b.c GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ch AS (SELECT sp.g, sp.k, any_value(kk) AS kk, sum(w) AS inertia, sum(sp.n * ((mx - ax) ** 2 + (my - ay) ** 2)) * (any_value(al.n) - any_value(kk)) / (sum(w) * (any_value(kk) - 1)) AS calinski_harabasz
+  FROM sp JOIN al ON sp.g = al.g AND sp.k = al.k GROUP BY 1, 2),
+ed AS (SELECT a.g, a.k, a.c AS ca, b.c AS cb FROM lb a JOIN lb b ON a.g = b.g AND a.k = b.k AND a.id <> b.id AND abs(a.id - b.id) <= 12),
+dg AS (SELECT g, k, ca, count(*) AS n FROM ed GROUP BY 1, 2, 3),
+tw AS (SELECT g, k, count(*) AS m2, count(*) FILTER (ca = cb) AS inner_ends FROM ed GROUP BY 1, 2),
+mo AS (SELECT tw.g, tw.k, any_value(inner_ends) / any_value(m2) - sum(CAST(n AS DOUBLE) ** 2) / any_value(m2) ** 2 AS modularity
+  FROM tw JOIN dg ON tw.g = dg.g AND tw.k = dg.k GROUP BY 1, 2)
+SELECT CAST(ch.g AS INTEGER) AS g, CAST(ch.k AS INTEGER) AS k, CAST(kk AS INTEGER) AS n_found, {q6('inertia')} AS inertia, {q6('silhouette')} AS silhouette,
+  {q6('modularity')} AS modularity, {q6('davies_bouldin')} AS davies_bouldin, {q6('calinski_harabasz')} AS calinski_harabasz
+FROM ch JOIN si ON ch.g = si.g AND ch.k = si.k JOIN db ON ch.g = db.g AND ch.k = db.k JOIN mo ON ch.g = mo.g AND ch.k = mo.k"""
+
+
+@query("c3_partition_scores", _SCORES_SQL)
+def c3_scores(spark, d):
+    """Four scores of two given partitions of the customers of each region, over node rows in tiles of 256."""
+    x, three = F.col("vec")[0], F.col("id") % 3
+    five = F.when(x < 2, F.col("id") % 2).when(x < 6, 2).otherwise(4)
+    points = cut_lineage(customer_points(spark, d).withColumn("labels", F.array(three.cast("int"), five.cast("int"))))
+    # Neighbours by key meet in a band of twelve keys or the one before it.
+    band = F.floor(F.col("id") / 12)
+    a = points.select("g", F.col("id").alias("src"), F.explode(F.sequence(band - 1, band + 1)).alias("band"))
+    pairs = a.join(points.select("g", F.col("id").alias("dst"), band.alias("band")), ["g", "band"])
+    pairs = cut_lineage(pairs.where("src != dst and abs(src - dst) <= 12").select("g", "src", "dst"))
+    graphs = [r.g for r in points.select("g").distinct().collect()]
+    rows = S.partition_scores(points, pairs, {g: [3, 5] for g in graphs}, block=256)
+    table = [(g, k, found, inertia, *(score[c] for c in K.SCORES)) for g, k, found, inertia, score in rows]
+    schema = "g int, k int, n_found int, inertia double, " + ", ".join(f"{c} double" for c in K.SCORES)
+    return rounded(spark.createDataFrame(table, schema), "inertia", *K.SCORES)
+
+
+def _lloyd_sql(rounds: int) -> str:
+    steps = "".join(
+        f""",
+n{i + 1} AS (SELECT pt.g, x, y, arg_min(c.j, struct_pack(d := (x - cx) ** 2 + (y - cy) ** 2, j := c.j)) AS j FROM pt JOIN c{i} c ON pt.g = c.g GROUP BY pt.g, id, x, y),
+m{i + 1} AS (SELECT g, j, count(*) AS size, avg(x) AS mx, avg(y) AS my FROM n{i + 1} GROUP BY 1, 2),
+c{i + 1} AS MATERIALIZED (SELECT c.g, c.j, coalesce(mx, cx) AS cx, coalesce(my, cy) AS cy, coalesce(m.size, 0) AS size FROM c{i} c LEFT JOIN m{i + 1} m ON m.g = c.g AND m.j = c.j)"""
+        for i in range(rounds)
+    )
+    return f"""WITH {_POINTS},
+c0 AS MATERIALIZED (SELECT g, row_number() OVER (PARTITION BY g ORDER BY id) - 1 AS j, x AS cx, y AS cy, 0 AS size FROM pt QUALIFY j < 4){steps}
+SELECT CAST(g AS INTEGER) AS g, CAST(j AS INTEGER) AS cluster, CAST(size AS BIGINT) AS size, {q6('cx')} AS x, {q6('cy')} AS y FROM c{rounds}"""
+
+
+@query("c2_lloyd_rounds", _lloyd_sql(5))
+def c2_lloyd(spark, d):
+    """Five rounds of Lloyd over all customers of each region, from the four with the least keys."""
+    points = cut_lineage(customer_points(spark, d))
+    first = Window.partitionBy("g").orderBy("id")
+    start = points.withColumn("j", F.row_number().over(first)).where("j <= 4").orderBy("g", "j").collect()
+    sets = {g: [S.Clusters(4, np.array([r.vec for r in start if r.g == g]))] for g in {r.g for r in start}}
+    S.followed(points, sets, rounds=5)
+    table = [(g, j, int(c.size[j]), *map(float, c.centres[j])) for g, (c,) in sets.items() for j in range(4)]
+    return rounded(spark.createDataFrame(table, "g int, cluster int, size long, x double, y double"), "x", "y")
+
+
 @query("c4_layer_communities")
 def c4(spark, d):
     nodes, edges, _ = net_graph(spark, d)

@@ -1,7 +1,8 @@
 """Communities: spectral embedding, k-means, choice of k, alignment across layers.
 
-Labels are computed per (graph, k) inside bounded graphs; choosing k per method
-and everything that combines graphs is DataFrame work.
+A graph that fits a task is embedded and clustered there; a larger one is node
+rows throughout (``spectral``). Choosing k per method and everything that
+combines graphs is DataFrame work.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from stratanet.functions.maturity import term_order
 from stratanet.operators import metrics as H
+from stratanet.operators import spectral
 from stratanet.operators.graph import multiplex_edges
 from stratanet.session import cut_lineage
 from stratanet.sources.tables import QueryError
@@ -109,11 +111,24 @@ def cluster_scores(A: np.ndarray, X: np.ndarray, labels: np.ndarray) -> dict[str
 # -- detection -----------------------------------------------------------------------
 
 
+TRIED = {
+    "k": T.IntegerType(), "is_fixed": T.BooleanType(), "searched": T.BooleanType(),
+    "n_found": T.IntegerType(), "inertia": T.DoubleType(), **{s: T.DoubleType() for s in SCORES},
+}
+
+
+def numbers_of_clusters(n: int, max_clusters: int, exact_k: bool) -> tuple[list[int], int, int]:
+    """(all k to try, the fixed one, the largest one searched) of a graph with n nodes."""
+    cap = max(2, min(max_clusters, n - 1))
+    fixed = max(2, min(max_clusters, n)) if exact_k else cap
+    return sorted({*range(2, min(cap, n - 1) + 1), fixed}), fixed, min(cap, n - 1)
+
+
 def clusterings(
     nodes: DataFrame, edges: DataFrame, keys: Keys, max_clusters: int = MAX_CLUSTERS,
     components: int | None = None, min_nodes: int = MIN_NODES, exact_k: bool = False,
-) -> DataFrame:
-    """(keys, k, is_fixed, n_found, inertia, scores, nodes, labels): one row per k tried.
+) -> tuple[DataFrame, DataFrame]:
+    """One row per k tried: (keys, k, is_fixed, searched, n_found, inertia, scores); and (keys, k, node, community).
 
     ``exact_k`` clips the fixed k to the number of nodes instead of one less.
     """
@@ -124,10 +139,6 @@ def clusterings(
     nodes = nodes.join(big, on, "left_semi")
     edges = edges.join(big, on, "left_semi")
     (nodes, edges), large = H.split_by_size(nodes, edges, keys)
-    if large:
-        raise QueryError(
-            f"spectral communities are limited to graphs of {H.TASK_NODES} nodes for now"
-        )
 
     def run(names, i, j, weight, strength):
         del weight, strength
@@ -135,15 +146,14 @@ def clusterings(
         A = np.zeros((n, n))
         A[i, j] = A[j, i] = 1.0
         X = embed(A, components or max(2, int(np.sqrt(n))))
-        cap = max(2, min(max_clusters, n - 1))
-        fixed = max(2, min(max_clusters, n)) if exact_k else cap
+        ks, fixed, searched = numbers_of_clusters(n, max_clusters, exact_k)
         rows = []
-        for k in sorted({*range(2, min(cap, n - 1) + 1), fixed}):
+        for k in ks:
             labels, inertia = kmeans(X, k)
             score = cluster_scores(A, X, labels)
             rows.append(
                 {
-                    "k": k, "is_fixed": k == fixed, "searched": k <= min(cap, n - 1),
+                    "k": k, "is_fixed": k == fixed, "searched": k <= searched,
                     "n_found": len(np.unique(labels)), "inertia": inertia,
                     **score, "nodes": list(names), "labels": labels.tolist(),
                 }
@@ -151,17 +161,44 @@ def clusterings(
         return pd.DataFrame(rows)
 
     kind = nodes.schema["node"].dataType
-    columns = {
-        "k": T.IntegerType(), "is_fixed": T.BooleanType(), "searched": T.BooleanType(),
-        "n_found": T.IntegerType(), "inertia": T.DoubleType(),
-        **{s: T.DoubleType() for s in SCORES},
-        "nodes": T.ArrayType(kind), "labels": T.ArrayType(T.IntegerType()),
-    }
-    return H.graph_kernel(nodes, edges, keys, run, columns)
+    columns = {**TRIED, "nodes": T.ArrayType(kind), "labels": T.ArrayType(T.IntegerType())}
+    found = cut_lineage(H.graph_kernel(nodes, edges, keys, run, columns))
+    pair = found.select(*on, "k", F.explode(F.arrays_zip("nodes", "labels")).alias("p"))
+    labels = pair.select(*on, "k", F.col("p.nodes").alias("node"), F.col("p.labels").alias("community"))
+    tried = found.drop("nodes", "labels")
+    if large:
+        for more, of in large_clusterings(*large, keys, max_clusters, components, exact_k):
+            tried, labels = tried.unionByName(more), labels.unionByName(of)
+    return tried, labels
+
+
+def large_clusterings(nodes: DataFrame, edges: DataFrame, keys: Keys, max_clusters: int, components: int | None, exact_k: bool):
+    """Both tables of ``clusterings`` for each lot of graphs that are too large for a task.
+
+    One row a graph is collected, each of which has more than ``TASK_NODES``
+    nodes or ``TASK_EDGES`` edges.
+    """
+    spark, on = nodes.sparkSession, list(keys)
+    graphs = nodes.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).orderBy(*on).collect()
+    number = T.StructType([nodes.schema[k] for k in on] + [T.StructField("g", T.IntegerType())])
+    numbers = spark.createDataFrame([(*r[:-1], g) for g, r in enumerate(graphs)], number)
+    tries = {g: numbers_of_clusters(r["_n"], max_clusters, exact_k) for g, r in enumerate(graphs)}
+    schema = T.StructType([T.StructField("g", T.IntegerType())] + [T.StructField(c, t) for c, t in TRIED.items()])
+    runs = spectral.communities(
+        nodes.join(numbers, on).select("g", "node"), edges.join(numbers, on).select("g", "src", "dst"),
+        {g: r["_n"] for g, r in enumerate(graphs)}, {g: ks for g, (ks, _, _) in tries.items()}, components, RESTARTS,
+    )
+    for rows, labels in runs:
+        table = [
+            (g, k, k == tries[g][1], k <= tries[g][2], found, inertia, *(score[s] for s in SCORES))
+            for g, k, found, inertia, score in rows
+        ]
+        tried = spark.createDataFrame(table, schema).join(numbers, "g").select(*on, *TRIED)
+        yield tried, labels.join(F.broadcast(numbers), "g").select(*on, "k", "node", "community")
 
 
 def choose(tried: DataFrame, keys: Keys, methods: tuple[str, ...] = METHODS) -> DataFrame:
-    """(keys, method, k, n_clusters, score, inertia, nodes, labels), best k per method.
+    """(keys, method, k, n_clusters, score, inertia), best k per method.
 
     Ties keep the smaller k; without any valid score k is 2.
     """
@@ -195,24 +232,20 @@ def choose(tried: DataFrame, keys: Keys, methods: tuple[str, ...] = METHODS) ->
     ]
     rows = tried.withColumn("o", F.explode(F.array(*options))).where("o.ok")
     rank = F.struct(F.coalesce("o.merit", F.lit(-1e308)), -F.col("k"))
-    pick = F.struct("k", "n_found", "o.score", "inertia", "nodes", "labels")
+    pick = F.struct("k", "n_found", "o.score", "inertia")
     best = rows.groupBy(*on, "o.method").agg(F.max_by(pick, rank).alias("b"))
-    counted = F.when(
-        F.col("method").isin("FIXED", "MODULARITY"), F.col("b.n_found")
-    ).otherwise(F.col("b.k"))
+    # The number that modularity finds is clustered anew; it was tried on the way.
+    again = F.when((F.col("method") == "MODULARITY") & (F.col("b.n_found") >= 2), F.col("b.n_found")).otherwise(F.col("b.k"))
+    counted = F.when(F.col("method") == "FIXED", F.col("b.n_found")).otherwise(again)
     return best.select(
-        *on, "method", F.col("b.k").alias("k"), counted.alias("n_clusters"),
+        *on, "method", again.alias("k"), counted.alias("n_clusters"),
         F.col("b.score").alias("score"), F.col("b.inertia").alias("inertia"),
-        F.col("b.nodes").alias("nodes"), F.col("b.labels").alias("labels"),
     )
 
 
-def members(chosen: DataFrame, keys: Keys) -> DataFrame:
-    """(keys, method, node, community)."""
-    pair = F.explode(F.arrays_zip("nodes", "labels"))
-    return chosen.select(*keys, "method", pair.alias("p")).select(
-        *keys, "method", F.col("p.nodes").alias("node"), F.col("p.labels").alias("community")
-    )
+def members(chosen: DataFrame, labels: DataFrame, keys: Keys) -> DataFrame:
+    """(keys, method, node, community): the labels of the chosen k."""
+    return chosen.select(*keys, "method", "k").join(labels, [*keys, "k"]).select(*keys, "method", "node", "community")
 
 
 def layer_communities(
@@ -220,9 +253,9 @@ def layer_communities(
     methods: tuple[str, ...] = METHODS, max_clusters: int = MAX_CLUSTERS,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, diagnostics) of every layer on its own; small layers have no rows."""
-    tried = cut_lineage(clusterings(nodes, edges, keys, max_clusters))
+    tried, labels = clusterings(nodes, edges, keys, max_clusters)
     best = choose(tried, keys, methods)
-    return members(best, keys), best.select(*keys, "method", "n_clusters", "score")
+    return members(best, labels, keys), best.select(*keys, "method", "n_clusters", "score")
 
 
 def multiplex_communities(
@@ -245,10 +278,10 @@ def multiplex_communities(
     )
     name = F.concat_ws("␟", F.col("issuer").cast("string"), F.col("term"))
     n = nodes.select(*tag, name.alias("node"))
-    tried = cut_lineage(clusterings(n, e, on, max_clusters, components, exact_k=True))
+    tried, labels = clusterings(n, e, on, max_clusters, components, exact_k=True)
     best = choose(tried, on, methods)
     parts = F.split("node", "␟")
-    found = members(best, on).select(
+    found = members(best, labels, on).select(
         *keys, "method", parts[0].alias("node"), parts[1].alias("layer"), "community"
     )
     return found, best.select(*keys, "method", "n_clusters", "score", "inertia")
@@ -467,8 +500,6 @@ def window_communities(
     for end in ("src", "dst"):
         inside = inside.join(common.withColumnRenamed("node", end), [*keys, end], "left_semi")
     graph = ("window_idx", *keys)
-    tried = cut_lineage(
-        clusterings(kept, inside, graph, max_clusters, min_nodes=min_nodes, exact_k=True)
-    )
+    tried, labels = clusterings(kept, inside, graph, max_clusters, min_nodes=min_nodes, exact_k=True)
     best = choose(tried, graph, methods)
-    return members(best, graph), best.select(*graph, "method", "n_clusters", "score")
+    return members(best, labels, graph), best.select(*graph, "method", "n_clusters", "score")

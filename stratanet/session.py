@@ -56,3 +56,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def is_empty(df: DataFrame) -> bool:
     return len(df.take(1)) == 0
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows in a table on shared storage; ``dropped`` takes it away again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` has made and nobody reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
