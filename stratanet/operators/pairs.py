@@ -21,10 +21,13 @@ from pyspark.sql import types as T
 
 from stratanet.operators import kernels
 from stratanet.operators.keyless import keyless
-from stratanet.session import cut_lineage
+from stratanet.session import cut_lineage, is_empty
 
-#: Nodes per block, dates per slice and cells per tile side.
+#: Bytes of a table that is sent to every executor, at most.
+BROADCAST_BYTES = 16 << 20
+#: Nodes per block (sums take several at once), dates per slice and cells per tile side.
 BLOCK_NODES = 128
+SUM_BLOCKS = 4
 SLICE_DATES = 4096
 TILE_CELLS = 4_000_000
 MIN_OBS = 3
@@ -48,48 +51,42 @@ def clean_values(panel: DataFrame, roles: Roles) -> DataFrame:
     ).where(F.col(roles.value).isNotNull())
 
 
-def _tile_counts(panel: DataFrame, roles: Roles, width: Column) -> Column:
-    """Scalar subquery: struct of the number of node blocks and of date slices."""
-    widest = (
-        panel.groupBy(*roles.keys, roles.node)
-        .agg(F.count(F.lit(1)).alias("dates"))
-        .groupBy(*roles.keys)
-        .agg(F.count(F.lit(1)).alias("nodes"), F.max("dates").alias("dates"))
-        .agg(
-            F.coalesce(F.max("nodes"), F.lit(1)).alias("nodes"),
-            F.coalesce(F.max("dates"), F.lit(1)).alias("dates"),
-        )
-    )
-    blocks = F.ceil(F.col("nodes") / width).cast("int")
-    slices = F.ceil(F.col("dates") / F.lit(SLICE_DATES)).cast("int")
-    return widest.select(F.struct(blocks.alias("blocks"), slices.alias("slices"))).scalar()
-
+def tile_sizes(panel: DataFrame, roles: Roles, sliced: bool) -> DataFrame:
+    """(keys, _blocks, _slices): how finely each key is cut, from sketches of its nodes and dates.
 
-def tiles(
-    panel: DataFrame, roles: Roles, sliced: bool, sizing: DataFrame | None = None
-) -> DataFrame:
-    """Add (tile_a, tile_b, blk[, slice]) and copy each row to its tiles.
-
-    ``sizing`` is a cheaper table with the same keys, nodes and dates to count.
+    A sketch may be some per cent off, which makes blocks a little larger and
+    changes no result.
     """
+    nodes, dates = (F.greatest(F.approx_count_distinct(c), F.lit(1)) for c in (roles.node, roles.date))
+    counted = panel.groupBy(*roles.keys).agg(nodes.alias("_nodes"), dates.alias("_dates"))
     if sliced:
-        width = F.lit(BLOCK_NODES)
+        width = F.lit(BLOCK_NODES * SUM_BLOCKS)
+        slices = F.ceil(F.col("_dates") / F.lit(SLICE_DATES))
     else:
-        room = F.floor(F.lit(TILE_CELLS) / F.col("dates"))
+        room = F.floor(F.lit(TILE_CELLS) / F.col("_dates"))
         width = F.greatest(F.lit(1), F.least(F.lit(BLOCK_NODES), room))
-    counts = _tile_counts(panel if sizing is None else sizing, roles, width)
-    placed = panel.withColumn("_tiles", counts).withColumn(
-        "blk", F.pmod(F.xxhash64(roles.node), F.col("_tiles.blocks")).cast("int")
-    )
-    if sliced:
-        placed = placed.withColumn(
-            "slice", F.pmod(F.xxhash64(roles.date), F.col("_tiles.slices")).cast("int")
-        )
+        slices = F.lit(1)
+    blocks = F.ceil(F.col("_nodes") / width)
+    return counted.select(*roles.keys, blocks.cast("int").alias("_blocks"), slices.cast("int").alias("_slices"))
+
+
+def tiles(panel: DataFrame, roles: Roles, sizes: DataFrame) -> DataFrame:
+    """Add (tile_a, tile_b, blk, slice) and copy each row to its tiles.
+
+    ``sizes`` is a stored table of ``tile_sizes``, one row for each key.
+    """
+    of = sizes.select(F.struct(*roles.keys).alias("_of"), "_blocks", "_slices")
+    if sizes.count() * 64 <= BROADCAST_BYTES:
+        of = F.broadcast(of)
+    same = F.struct(*[F.col(k) for k in roles.keys]).eqNullSafe(F.col("_of"))
+    placed = panel.join(of, same)
     return (
-        placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles.blocks") - 1)))
+        placed.withColumn("blk", F.pmod(F.xxhash64(roles.node), F.col("_blocks")).cast("int"))
+        .withColumn("slice", F.pmod(F.xxhash64(roles.date), F.col("_slices")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumn("tile_a", F.least("blk", "_other"))
         .withColumn("tile_b", F.greatest("blk", "_other"))
-        .drop("_tiles", "_other")
+        .drop("_of", "_blocks", "_slices", "_other")
     )
 
 
@@ -149,14 +146,14 @@ def pair_sums(
     extra_keys: tuple[str, ...] = (),
     self_pairs: bool = False,
     fourth: bool = False,
-    sizing: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Sums over the common dates of every pair (the pairwise-complete Gram form).
 
     ``extra_keys`` are added to the slice key, e.g. the block of dates that
     belongs to one set of windows.  Values should be centred per node first.
-    Partial sums of slices are *not* added up here; the caller groups them by
-    whatever it needs (pair, or pair and window).
+    Partial sums of slices are *not* added up here; ``pair_totals`` does that
+    for the keys that have several.
     """
     fields, types, node_type = _key_types(panel, roles)
     extra_fields = [panel.schema[k] for k in extra_keys]
@@ -204,12 +201,35 @@ def pair_sums(
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         return _emit(key, names, (fields, types), node_type, i, j, picked)
 
-    placed = tiles(panel, roles, sliced=True, sizing=sizing)
+    if sizes is None:
+        sizes = cut_lineage(tile_sizes(panel, all_roles, sliced=True))
+    placed = tiles(panel, all_roles, sizes)
     return placed.groupBy(*all_roles.keys, "tile_a", "tile_b", "slice").applyInArrow(
         gram, schema
     )
 
 
+def pair_totals(
+    panel: DataFrame, roles: Roles, *, extra_keys: tuple[str, ...] = (), self_pairs: bool = False,
+    fourth: bool = False, sizing: DataFrame | None = None,
+) -> DataFrame:
+    """``pair_sums`` with one row for each pair.
+
+    A key whose dates fit one slice is finished in its tiles; only pairs of
+    longer keys are shuffled again. ``sizing`` is a cheaper table with the same
+    keys, nodes and dates to count.
+    """
+    keys = roles.keys + extra_keys
+    all_roles = Roles(keys, roles.node, roles.date, roles.value)
+    sizes = cut_lineage(tile_sizes(panel if sizing is None else sizing, all_roles, sliced=True))
+    more = dict(extra_keys=extra_keys, self_pairs=self_pairs, fourth=fourth)
+    if is_empty(sizes.where("_slices > 1")):
+        return pair_sums(panel, roles, sizes=sizes, **more)
+    short, long = (cut_lineage(sizes.where(c)) for c in ("_slices = 1", "_slices > 1"))
+    added = add_up(pair_sums(panel, roles, sizes=long, **more), [*keys, "node_i", "node_j"], fourth)
+    return pair_sums(panel, roles, sizes=short, **more).unionByName(added)
+
+
 def pair_kernel(
     panel: DataFrame, roles: Roles, fn: Callable, block: bool = False
 ) -> DataFrame:
@@ -259,7 +279,7 @@ def pair_kernel(
         return _emit(key, names, (fields, types), node_type, i[keep], j[keep], columns)
 
     return (
-        tiles(panel, roles, sliced=False)
+        tiles(panel, roles, cut_lineage(tile_sizes(panel, roles, sliced=False)))
         .groupBy(*roles.keys, "tile_a", "tile_b")
         .applyInArrow(run, schema)
     )
@@ -304,7 +324,7 @@ def correlation_of_sums(min_obs: int = MIN_OBS) -> Column:
 
 def pearson(panel: DataFrame, roles: Roles) -> DataFrame:
     group = [*roles.keys, "node_i", "node_j"]
-    sums = add_up(pair_sums(centre(panel, roles), roles, sizing=panel), group)
+    sums = pair_totals(centre(panel, roles), roles, sizing=panel)
     return sums.select(
         *group, F.col("n").alias("n_obs"), correlation_of_sums().alias("measure")
     )
@@ -343,7 +363,7 @@ def shrinkage(panel: DataFrame, roles: Roles) -> DataFrame:
     keys = list(roles.keys)
     group = [*keys, "node_i", "node_j"]
     full = cut_lineage(centre(complete_dates(panel, roles), roles))
-    sums = add_up(pair_sums(full, roles, self_pairs=True, fourth=True), group, True)
+    sums = pair_totals(full, roles, self_pairs=True, fourth=True)
     n = F.col("n").cast("double")
     both = F.when(F.col("node_i") == F.col("node_j"), 1.0).otherwise(2.0)
     diag = F.when(F.col("node_i") == F.col("node_j"), F.col("sxy"))

@@ -146,8 +146,7 @@ def windowed_pearson(bounded: DataFrame, roles: Roles, min_obs: int = X.MIN_OBS)
         .withColumn(roles.value, F.col(roles.value) - F.col("_mean"))
         .drop("_mean")
     )
-    pair = [*roles.keys, *block, "node_i", "node_j"]
-    sums = X.add_up(X.pair_sums(local, roles, extra_keys=block, sizing=bounded), pair)
+    sums = X.pair_totals(local, roles, extra_keys=block, sizing=bounded)
     for side in ("i", "j"):
         named = means.withColumnRenamed(roles.node, f"node_{side}").withColumnRenamed("_mean", f"_mean_{side}")
         sums = sums.join(named, [*roles.keys, *block, f"node_{side}"])
