@@ -8,6 +8,9 @@ than two node blocks.
 
 from __future__ import annotations
 
+import functools
+import warnings
+
 import numpy as np
 
 MIN_OBS = 3
@@ -39,6 +42,8 @@ def average_ranks(Z):
 
 #: Cells of one working array; bands of dates keep every array below it.
 WORK_CELLS = 8_000_000
+#: Up to so many dates all pairs of dates are compared; beyond, series are sorted.
+BAND_DATES = 400
 
 
 def _bands(n_dates: int, n_nodes: int):
@@ -66,6 +71,158 @@ def _below(V, M, band):
     return less * M[:, None, :]
 
 
+def _by_length(sorted_form):
+    """A block kernel over bands of dates that leaves long series to a form in n log n."""
+
+    def wrap(banded):
+        @functools.wraps(banded)
+        def kernel(X, Y):
+            return banded(X, Y) if len(X) <= BAND_DATES else _column_by_column(sorted_form, X, Y)
+
+        return kernel
+
+    return wrap
+
+
+def _column_by_column(fn, X, Y):
+    """``fn(x, Y) -> (value, n)`` for every column of X, some columns of Y at a time."""
+    value, n = (np.empty((X.shape[1], Y.shape[1])) for _ in range(2))
+    step = max(1, WORK_CELLS // (8 * len(X)))
+    for p in range(X.shape[1]):
+        for q in range(0, Y.shape[1], step):
+            value[p, q : q + step], n[p, q : q + step] = fn(X[:, p], Y[:, q : q + step])
+    return value, n
+
+
+def _earlier(V, weights):
+    """For each row, the sums of the weights of earlier rows whose V is not larger, down each column.
+
+    As merge sort does it: at each width the right half of every block asks
+    its sorted left half. All blocks and columns of a width go at once.
+    """
+    n, m = V.shape
+    size = 1 << max(1, (n - 1).bit_length())
+    order = np.argsort(V, axis=0, kind="stable")
+    ordered = np.take_along_axis(V, order, axis=0)
+    step = np.vstack([np.zeros((1, m), bool), ordered[1:] != ordered[:-1]])
+    rank = np.full((m, size), n, dtype=np.int64)
+    np.put_along_axis(rank[:, :n].T, order, np.cumsum(step, axis=0), axis=0)
+    W = [np.zeros((m, size)) for _ in weights]
+    for padded, w in zip(W, weights, strict=True):
+        padded[:, :n] = w.T
+    out = [np.zeros((m, size)) for _ in weights]
+    width = 1
+    while width < size:
+        halves = rank.reshape(-1, 2, width)
+        base = np.arange(len(halves))[:, None]
+        by = np.argsort(halves[:, 0], axis=1, kind="stable")
+        left = np.take_along_axis(halves[:, 0], by, axis=1) + base * (n + 1)
+        at = np.searchsorted(left.ravel(), (halves[:, 1] + base * (n + 1)).ravel(), side="right").reshape(-1, width)
+        at -= base * width
+        for padded, found in zip(W, out, strict=True):
+            sums = np.zeros((len(halves), width + 1))
+            np.cumsum(np.take_along_axis(padded.reshape(-1, 2, width)[:, 0], by, axis=1), axis=1, out=sums[:, 1:])
+            found.reshape(-1, 2, width)[:, 1] += np.take_along_axis(sums, at, axis=1)
+        width *= 2
+    return [found[:, :n].T for found in out]
+
+
+def _tied(*sorted_columns):
+    """Pairs of equal rows, down each column of what is sorted; NaN is equal to nothing."""
+    n, m = sorted_columns[0].shape
+    new = np.ones((n, m), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in sorted_columns], axis=0)
+    at = np.arange(n)[:, None]
+    return (at - np.maximum.accumulate(np.where(new, at, 0), axis=0)).sum(axis=0).astype(float)
+
+
+def _sorted_spearman(x, Y):
+    mask, n = _complete(x, Y)
+    rx, ry = average_ranks(np.where(mask, x[:, None], np.nan)), average_ranks(np.where(mask, Y, np.nan))
+    middle = (n + 1) / 2.0
+    dx, dy = np.where(mask, rx - middle, 0.0), np.where(mask, ry - middle, 0.0)
+    xy, xx, yy = (dx * dy).sum(axis=0), (dx * dx).sum(axis=0), (dy * dy).sum(axis=0)
+    with np.errstate(all="ignore"):
+        r = np.clip(xy / np.sqrt(xx * yy), -1.0, 1.0)
+    return np.where((n >= MIN_OBS) & (xx > 0) & (yy > 0), r, np.nan), n
+
+
+def _sorted_kendall(x, Y):
+    """Discordant pairs are inversions of y in the order of x; ties are counted in runs."""
+    mask, n = _complete(x, Y)
+    A, B = np.where(mask, x[:, None], np.nan), np.where(mask, Y, np.nan)
+    by_y = np.argsort(B, axis=0, kind="stable")
+    ties_y = _tied(np.take_along_axis(B, by_y, axis=0))
+    order = np.take_along_axis(by_y, np.argsort(np.take_along_axis(A, by_y, axis=0), axis=0, kind="stable"), axis=0)
+    A, B = np.take_along_axis(A, order, axis=0), np.take_along_axis(B, order, axis=0)
+    ties_x, ties_both = _tied(A), _tied(A, B)
+    live = ~np.isnan(B)
+    (kept,) = _earlier(np.where(live, B, np.inf), [live.astype(float)])
+    inverted = np.where(live, np.arange(len(x))[:, None] - kept, 0.0).sum(axis=0)
+    size = n.astype(float)
+    every = size * (size - 1.0) / 2.0
+    free_x, free_y = every - ties_x, every - ties_y
+    score = every - ties_x - ties_y + ties_both - 2.0 * inverted
+    with np.errstate(all="ignore"):
+        tau = np.abs(score) / np.sqrt(free_x * free_y)
+    return np.where((n >= MIN_OBS) & (free_x > 0) & (free_y > 0), tau, np.nan), n
+
+
+def _distance_rows(Z):
+    """Each row's summed distance to all rows of its column; Z is zero and sorts last where NaN."""
+    live = ~np.isnan(Z)
+    order = np.argsort(Z, axis=0, kind="stable")
+    ordered = np.where(np.take_along_axis(live, order, axis=0), np.take_along_axis(Z, order, axis=0), 0.0)
+    below = np.cumsum(ordered, axis=0)
+    total, n = below[-1], live.sum(axis=0)
+    at = np.arange(1, len(Z) + 1)[:, None]
+    out = np.empty(Z.shape)
+    np.put_along_axis(out, order, ordered * (2.0 * at - n) + total - 2.0 * below, axis=0)
+    return np.where(live, out, 0.0)
+
+
+def _sorted_distance_correlation(x, Y):
+    """The sum of products of distances from sums over earlier rows with a smaller y, in the order of x."""
+    mask, n = _complete(x, Y)
+
+    def scaled(Z):
+        with np.errstate(all="ignore"):
+            Z = Z - np.nanmean(Z, axis=0)
+            top = np.nanmax(np.abs(Z), axis=0)
+        return Z / np.where(top > 0, top, 1.0)
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
+        A, B = scaled(np.where(mask, x[:, None], np.nan)), scaled(np.where(mask, Y, np.nan))
+    order = np.argsort(A, axis=0, kind="stable")
+    A, B = np.take_along_axis(A, order, axis=0), np.take_along_axis(B, order, axis=0)
+    live = ~np.isnan(A)
+    ra, rb = _distance_rows(A), _distance_rows(B)
+    a, b = np.where(live, A, 0.0), np.where(live, B, 0.0)
+    one = live.astype(float)
+    low = _earlier(np.where(live, B, np.inf), [one, a, b, a * b])
+    every = [np.cumsum(w, axis=0) - w for w in (one, a, b, a * b)]
+    # (a - a')|b - b'| over earlier rows: once with the sign of those below, once with that of those above.
+    signed = [2.0 * u - v for u, v in zip(low, every, strict=True)]
+    ab = 2.0 * (np.where(live, a * b * signed[0] - b * signed[1] - a * signed[2] + signed[3], 0.0)).sum(axis=0)
+    size = n.astype(float)
+    aa = 2.0 * (size * (a * a).sum(axis=0) - a.sum(axis=0) ** 2)
+    bb = 2.0 * (size * (b * b).sum(axis=0) - b.sum(axis=0) ** 2)
+    rab, raa, rbb = (ra * rb).sum(axis=0), (ra * ra).sum(axis=0), (rb * rb).sum(axis=0)
+    return _distance_ratio(ab, aa, bb, rab, raa, rbb, ra.sum(axis=0), rb.sum(axis=0), size), n
+
+
+def _distance_ratio(ab, aa, bb, rab, raa, rbb, ta, tb, n):
+    with np.errstate(all="ignore"):
+        def dcov(cross, rows, u, v):
+            return np.maximum(cross / n**2 - 2.0 * rows / n**3 + u * v / n**4, 0.0)
+
+        scale = np.sqrt(dcov(aa, raa, ta, ta) * dcov(bb, rbb, tb, tb))
+        r = np.where(scale > 0, np.sqrt(dcov(ab, rab, ta, tb) / scale), 0.0)
+    return np.where(n >= MIN_OBS, np.minimum(r, 1.0), np.nan)
+
+
+@_by_length(_sorted_spearman)
 def spearman(X, Y):
     """Average ranks within each pair's own dates, as counts of smaller values."""
     (A, MA), (B, MB) = _masked(X, np.float32), _masked(Y, np.float32)
@@ -87,6 +244,7 @@ def spearman(X, Y):
     return np.where((n >= MIN_OBS) & (xx > 0) & (yy > 0), r, np.nan), n
 
 
+@_by_length(_sorted_kendall)
 def kendall(X, Y):
     """Absolute tau-b: sign products over date pairs, a band of dates at a time."""
     (A, MA), (B, MB) = _masked(X, np.float32), _masked(Y, np.float32)
@@ -110,6 +268,7 @@ def kendall(X, Y):
     return np.where((n >= MIN_OBS) & (free_x > 0) & (free_y > 0), tau, np.nan), n
 
 
+@_by_length(_sorted_distance_correlation)
 def distance_correlation(X, Y):
     """Every term of the distance covariances is a sum over dates of a pair."""
 
@@ -137,13 +296,7 @@ def distance_correlation(X, Y):
             ra.sum(axis=1), rb.sum(axis=1),
         )
     ab, aa, bb, rab, raa, rbb, ta, tb = sums
-    with np.errstate(all="ignore"):
-        def dcov(cross, rows, u, v):
-            return np.maximum(cross / n**2 - 2.0 * rows / n**3 + u * v / n**4, 0.0)
-
-        scale = np.sqrt(dcov(aa, raa, ta, ta) * dcov(bb, rbb, tb, tb))
-        r = np.where(scale > 0, np.sqrt(dcov(ab, rab, ta, tb) / scale), 0.0)
-    return np.where(n >= MIN_OBS, np.minimum(r, 1.0), np.nan), n
+    return _distance_ratio(ab, aa, bb, rab, raa, rbb, ta, tb, n), n
 
 
 # -- one series against several -----------------------------------------------------
