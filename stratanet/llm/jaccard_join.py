@@ -27,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratanet.llm.common import let, small, stored, text_of, words
@@ -157,7 +157,9 @@ def _memberships(nodes: DataFrame, limit: Threshold, light: int) -> DataFrame:
     missing = size - F.floor(least).cast("int")
     in_lists = nodes.where(size >= limit.least_partner(light + 1))
     entries = in_lists.select("node", "n", F.explode("head").alias("h"))
-    counted = entries.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1")
+    # Counted before the shuffle and joined back, so that no task holds all entries of a frequent shingle.
+    often = entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    counted = entries.join(often, "h")
     kept = _by_size(size, limit.kept, 80, missing + 1)
     extended = _by_size(size, limit.extended, 80, 2 * missing + 1)
     rare = (
@@ -374,13 +376,19 @@ def jaccard_components(
         "join-sets",
     )
     found = linked(members, sets, limit)
-    return (
-        heads.select("doc_id", "n", "k1", "k2")
-        .join(classes.select("k1", "k2", "node"), ["k1", "k2"], "left")
-        .join(found, "node", "left")
-        .select(
-            "doc_id",
-            F.col("n").cast("long").alias("n_shingles"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"),
-        )
+    placed = heads.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", "node"), ["k1", "k2"], "left")
+    # Of an id with several texts, some or none in a class, all are one document.
+    of_id = placed.where("doc_id is not null").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_set("node")).alias("nodes")
+    )
+    several = stored(of_id.where("rows > 1 and size(nodes) > 0").select("doc_id", "nodes"), "join-repeated")
+    if several.take(1):
+        apart = several.where("size(nodes) > 1").select(F.col("nodes")[0].alias("a"), F.explode("nodes").alias("b"))
+        found = _merged(found, apart.where("a != b"))
+        first = several.select(F.col("doc_id").alias("_id"), F.col("nodes")[0].alias("first"))
+        placed = placed.join(small(first, 16), F.col("doc_id") == F.col("_id"), "left").withColumn("node", F.coalesce("node", "first"))
+    return placed.join(found, "node", "left").select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"),
     )

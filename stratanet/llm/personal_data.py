@@ -78,9 +78,8 @@ def base_spans(text: str) -> list[Span]:
     """Matches of the fixed patterns, by kind and place."""
     found: list[Span] = [("email", *s) for s in emails(text)] if "@" in text else []
     for m in IP.finditer(text):
-        if all(len(p) <= 9 and int(p) <= 255 for p in m[0].split(".") if p.lstrip("0")) and all(
-            len(p.lstrip("0")) <= 3 for p in m[0].split(".")
-        ):
+        values = [p.lstrip("0") for p in m[0].split(".")]
+        if all(len(v) <= 3 and int(v or "0") <= 255 for v in values):
             found.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         if 16 <= len(d := _digits(m[0])) <= 19 and luhn(d):

@@ -442,9 +442,10 @@ def classify(
 
 def kept_rows(docs: DataFrame, verdicts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with their own columns."""
-    gone = stored(
-        verdicts.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct(),
-        "model-rejected",
-    )
-    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_of(text)) == F.col("_gone_key"))
-    return docs.join(small(gone, 24), same, "left_anti")
+    gone = verdicts.where("not kept").select(F.struct(F.col("doc_id").alias("id"), "key").alias("_gone")).distinct()
+    gone = stored(gone, "model-rejected")
+    # The rows go through as one column, for theirs may have any name.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    row_id, row_text = F.col("row").getField(doc_id).cast("long"), F.coalesce(F.col("row").getField(text), F.lit(""))
+    same = row_id.eqNullSafe(F.col("_gone.id")) & (F.xxhash64(row_text) == F.col("_gone.key"))
+    return rows.join(small(gone, 24), same, "left_anti").select("row.*")

@@ -80,6 +80,15 @@ def test_components_equal_brute_force(spark, options):
     assert all(r.component_id == want[r.doc_id] for r in got)
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    texts = {f"t{k}": " ".join(f"x{k}{i}" for i in range(30)) for k in range(5)}
+    rows = [(3, texts["t1"]), (5, texts["t1"]), (5, texts["t2"]), (7, texts["t2"]), (7, ""), (8, texts["t3"]), (9, None), (9, texts["t3"]), (10, texts["t4"]), (10, texts["t4"])]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute(rows, 4, 85)
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
+    assert want[5] == want[7] == 3 and want[9] == 8
+
+
 def test_few_rounds_lose_no_link(spark):
     rows = corpus(9)
     limit = Threshold(85)

@@ -8,9 +8,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratanet.llm import language_id, mixing, personal_data as pii, queries
+from stratanet.llm import language_id, mixing, personal_data as pii, quality_model, queries
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -222,6 +223,30 @@ def test_stages_take_odd_and_no_rows(spark, sf_dir, odd, none, number):
         assert number == 4 or out.columns == docs.columns
 
 
+def test_near_duplicates_lose_no_text(spark, sf_dir):
+    texts = {k: " ".join(f"x{k}{i}" for i in range(40)) for k in range(4)}
+    near = texts[3].replace("x339", "other")
+    rows = [(3, texts[1]), (5, texts[1]), (5, texts[2]), (6, texts[3]), (2, near), (8, ""), (8, None), (9, ""), (None, texts[1]), (4, texts[0]), (4, texts[0])]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, 0) for r in rows], "doc_id long, text string, unit string, row string, hash int, id int")
+    got = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert {t for _, t in kept if t} == {texts[0], texts[1], texts[2], near}
+    assert sorted((i for i, _ in kept), key=str) == [2, 3, 4, 5, 8, 9, None]
+
+
+def test_rejected_rows_may_have_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a", "x", "y", 1), (2, "b", "x", "y", 1), (None, None, "x", "y", 1)], "doc_id long, text string, _gone_id string, _gone string, row int")
+    verdicts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), (F.col("doc_id") == 1).alias("kept"))
+    verdicts = verdicts.withColumn("kept", F.coalesce("kept", F.lit(False)))
+    assert [r.doc_id for r in quality_model.kept_rows(docs, verdicts).collect()] == [1]
+
+
+def test_parts_of_an_ip_count_by_value():
+    for text, is_ip in (("0000000001.2.3.4", True), ("0000000000.2.3.4", True), ("00000000000256.2.3.4", False), ("1.2.3.0000000000255", True)):
+        assert [s[0] for s in pii.base_spans(text) if s[0] == "ip"] == (["ip"] if is_ip else [])
+
+
 def test_long_keys_colons_and_edges_of_windows_are_whole():
     field = pii.Field({"secret|spelled": 1.0})
     long = "token=" + ("aB3" * 150 + ".") * 3 + "x"
