@@ -17,26 +17,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the least id of each component of linked texts; of equal ids, one row.
+    """Keeps the row with the least id of each component of linked texts; of equal ids and texts, one row.
 
-    Shingles have five words and link at 80 per cent. Rows without an id are
-    kept as they are.
+    Shingles have five words and link at 80 per cent. Null and empty texts
+    link with nothing. Rows that share an id but not the text are documents of
+    their own, so that no text is lost; of these the first by hash goes by the
+    id. Rows without an id are kept as they are; an empty table stays empty.
     """
-    found = jaccard_join.jaccard_components(docs, shingle=5, percent=80)
-    gone = stored(
-        found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-copies"
-    )
-    left = docs.join(small(gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
-    # Rows that share an id are one document: of those, the one with the least hash of its text stays.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").alias("id"), F.xxhash64(text_of("text")).alias("hash"))
+    texts = rows.where("id is not null").groupBy("id").agg(F.min("hash").alias("first"), F.max("hash").alias("last"))
+    several = stored(texts.where("first != last").select("id", "first"), "pipeline-several")
+    rows = rows.join(small(several, 16), "id", "left")
+    # Ids of other texts lie above all that are likely to be given, so that they name no component of others.
+    other = F.shiftright(F.xxhash64("id", "hash"), 2).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 61)
+    rows = rows.withColumn("unit", F.when(F.col("first").isNull() | (F.col("first") == F.col("hash")), F.col("id")).otherwise(other))
+    rows = rows.select("row", "unit")
+    found = jaccard_join.jaccard_components(rows.select(F.col("unit").alias("doc_id"), F.col("row.text").alias("text")), shingle=5, percent=80)
+    found = stored(found, "pipeline-components")
+    gone = stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("unit")).distinct(), "pipeline-copies")
+    left = rows.join(small(gone, 16), "unit", "left_anti")
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    again = stored(again.select(F.col("doc_id").alias("_again")), "pipeline-repeated")
+    again = stored(again.select(F.col("doc_id").alias("unit")), "pipeline-repeated")
     if not again.take(1):
-        return left
-    marked = left.join(small(again, 16), F.col("doc_id") == F.col("_again"), "left")
-    one = marked.where("_again is not null").groupBy("doc_id").agg(
-        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(text_of("text"))).alias("row")
-    )
-    return marked.where("_again is null").select(*docs.columns).unionByName(one.select("row.*"))
+        return left.select("row.*")
+    repeated = left.join(small(again, 16), "unit", "left_semi").groupBy("unit").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    once = left.join(small(again, 16), "unit", "left_anti")
+    return once.select("row.*").unionByName(repeated.select("row.*"))
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
