@@ -103,36 +103,90 @@ def ns_fit(
     """(issuer, date, term, rate, …, residual, rmse, decay) on dense dates."""
     dense = dense_rows(curve, issuer, date, "term")
     if decay is None:
-        chosen = search_decay(dense, [issuer, date], loadings)
-        dense = dense.join(chosen, [issuer, date])
+        dense = with_best_decay(dense, [issuer, date], loadings)
     else:
         dense = dense.withColumn("decay", F.lit(float(decay)))
     return fit_rows(with_loadings(dense, F.col("decay"), loadings), [issuer, date])
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _squared_error(points: Column, decay: Column, loadings: Loadings) -> Column:
+    """Sum of squared residuals of the best curve through (years, y) at a decay; null when collinear."""
+
+    def loaded(p: Column) -> Column:
+        f1, g = loadings(p["years"], decay)
+        return F.struct(f1.alias("f"), g.alias("g"), p["y"].alias("y"))
+
+    def summed(rows: Column, **parts: Callable[[Column], Column]) -> Column:
+        zero = F.struct(*[F.lit(0.0).alias(k) for k in parts])
+        return F.aggregate(rows, zero, lambda a, p: F.struct(*[(a[k] + of(p)).alias(k) for k, of in parts.items()]))
+
+    def about_means(rows: Column) -> Column:
+        n = F.size(rows)
+        sums = summed(rows, f=lambda p: p["f"], g=lambda p: p["g"], y=lambda p: p["y"])
+        return _let(sums, lambda m: F.transform(rows, lambda p: F.struct(*[(p[k] - m[k] / n).alias(k) for k in "fgy"])))
+
+    def left(rows: Column) -> Column:
+        products = {a + b: (lambda p, a=a, b=b: p[a] * p[b]) for a, b in ("ff", "gg", "fg", "fy", "gy")}
+
+        def solved(s: Column) -> Column:
+            det = s["ff"] * s["gg"] - s["fg"] * s["fg"]
+            det = F.when(det > 0, det)
+            return F.struct(
+                ((s["fy"] * s["gg"] - s["gy"] * s["fg"]) / det).alias("f"), ((s["gy"] * s["ff"] - s["fy"] * s["fg"]) / det).alias("g")
+            )
+
+        def square(p: Column, c: Column) -> Column:
+            gap = p["y"] - c["f"] * p["f"] - c["g"] * p["g"]
+            return gap * gap
+
+        return _let(summed(rows, **products), lambda s: _let(solved(s), lambda c: summed(rows, sse=lambda p: square(p, c))["sse"]))
+
+    return _let(F.transform(points, loaded), lambda rows: _let(about_means(rows), left))
+
+
+def _grid_errors(points: Column, loadings: Loadings) -> Column:
+    """(sse, decay) of the points at every decay of the grid."""
+    grid = F.array(*[F.lit(d) for d in DECAY_GRID])
+    return F.transform(grid, lambda d: F.struct(_squared_error(points, d, loadings).alias("sse"), d.alias("decay")))
+
+
+def _errors_of_grid(curve: DataFrame, by: list[str], loadings: Loadings) -> DataFrame:
+    """(by, n, errors): the squared error at every decay of the grid, in one row a curve.
+
+    The points of a curve, one for each of its terms, come together once; the
+    grid is tried on them where they are.
+    """
+    point = F.struct("years", F.col("rate").cast("double").alias("y"))
+    curves = with_years(curve).groupBy(*by).agg(F.collect_list(point).alias("_points"))
+    return curves.select(*by, F.size("_points").alias("n"), _grid_errors(F.col("_points"), loadings).alias("errors"))
+
+
+def with_best_decay(curve: DataFrame, by: list[str], loadings: Loadings = ns_loadings) -> DataFrame:
+    """The rows with the best decay of their curve; they stay where the search has brought them together."""
+    curve = with_years(curve)
+    rest = [c for c in curve.columns if c not in by]
+    curves = curve.groupBy(*by).agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+    points = F.transform("_rows", lambda r: F.struct(r["years"].alias("years"), r["rate"].cast("double").alias("y")))
+    best = curves.withColumn("decay", F.array_min(_grid_errors(points, loadings))["decay"])
+    return best.select(*by, "decay", F.explode("_rows").alias("_r")).select(*by, *[F.col(f"_r.{c}").alias(c) for c in rest], "decay")
+
+
 def decay_errors(
     curve: DataFrame, by: list[str], loadings: Loadings = ns_loadings
 ) -> DataFrame:
-    """(by, decay, sse, n) for the whole grid.
-
-    Rows are shuffled once by curve and multiplied by the grid only afterwards,
-    inside the partition where they are aggregated.
-    """
-    grid = F.explode(F.array(*[F.lit(d) for d in DECAY_GRID]))
-    placed = with_years(curve).repartition(*by)
-    rows = with_loadings(placed.withColumn("decay", grid), F.col("decay"), loadings)
-    fitted = fit_rows(rows, [*by, "decay"])
-    square = F.col("residual") * F.col("residual")
-    return fitted.groupBy(*by, "decay").agg(
-        F.sum(square).alias("sse"), F.count(F.lit(1)).alias("n")
-    )
+    """(by, decay, sse, n) for the whole grid."""
+    rows = _errors_of_grid(curve, by, loadings).select(*by, "n", F.explode("errors").alias("e"))
+    return rows.select(*by, "e.decay", "e.sse", F.col("n").cast("bigint").alias("n"))
 
 
 def search_decay(curve: DataFrame, by: list[str], loadings: Loadings = ns_loadings):
     """(by, decay): least rmse, the smallest decay on ties."""
-    errors = decay_errors(curve, by, loadings)
-    best = F.struct(F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), "decay")
-    return errors.groupBy(*by).agg(F.min(best).alias("_b")).select(*by, "_b.decay")
+    return _errors_of_grid(curve, by, loadings).select(*by, F.array_min("errors")["decay"].alias("decay"))
 
 
 def panel_decay(
