@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratanet.session import scratch_path
+from stratanet.session import written
 
 #: Fixed value of the contracts: what separates words.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -53,9 +53,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     A lost executor re-reads the files instead of computing the rows anew, and
     a table that is read twice is computed once.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def small(df: DataFrame, width: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratanet.llm.common import stored
+from stratanet.session import dropped
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,13 +14,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label among the neighbours and then the label of
     that label, so that long paths close in logarithmically many rounds. A
-    round is written to shared storage, where a lost executor finds it again.
+    round is written to shared storage, where a lost executor finds it again,
+    and the round before is deleted.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
     )
     both = stored(both.where("node != other").distinct(), "component-edges")
-    labels = stored(both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")), "component-labels")
+    labels = last = stored(both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")), "component-labels")
     while True:
         near = (
             both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("least")), "other")
@@ -34,6 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
             lower.join(above, "component").select("node", "was", F.least("component", "above").alias("component")),
             "component-labels",
         )
-        labels = new.drop("was")
+        dropped(last)
+        labels, last = new.drop("was"), new
         if not new.where("was != component").take(1):
+            dropped(both)
             return labels

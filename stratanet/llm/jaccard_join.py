@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from stratanet.llm.common import let, small, stored, text_of, words
 from stratanet.llm.components import components
+from stratanet.session import dropped
 
 #: Sets up to this size are tried as light ones; beyond, the number of subsets explodes.
 MOST_LIGHT = 24
@@ -253,7 +254,7 @@ def _beside(compared: DataFrame, limit: Threshold) -> DataFrame:
 
 
 def _merged(known: DataFrame, edges: DataFrame) -> DataFrame:
-    """Components (node, component) after some more edges (a, b)."""
+    """Components (node, component) after some more edges (a, b); the table of those before is deleted."""
     of = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     to = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     between = (
@@ -264,9 +265,10 @@ def _merged(known: DataFrame, edges: DataFrame) -> DataFrame:
     merged = components(between)
     top = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
     moved = known.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    return stored(
-        moved.unionByName(merged).groupBy("node").agg(F.min("component").alias("component")), "join-components"
-    )
+    out = stored(moved.unionByName(merged).groupBy("node").agg(F.min("component").alias("component")), "join-components")
+    if hasattr(known, "_scratch_path"):
+        dropped(known)
+    return out
 
 
 def _apart(known: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -304,12 +306,14 @@ def linked(members: DataFrame, sets: DataFrame, limit: Threshold, rounds: int =
     none = members.sparkSession.createDataFrame([], "node long, component long")
     known = _merged(none, _verified(short, sets, limit))
     left = members.where(F.col("crowd") > SHORT_LIST).select("bucket", "node", "n")
+    used: list[DataFrame] = []
     for turn in range(rounds):
         order = F.xxhash64("node", F.lit(turn))
         named = stored(
             left.join(known, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")),
             "join-left",
         )
+        dropped(*used)
         several = (
             named.groupBy("bucket")
             .agg(F.count_distinct("component").alias("parts"), F.min_by("node", order).alias("p"))
@@ -317,10 +321,13 @@ def linked(members: DataFrame, sets: DataFrame, limit: Threshold, rounds: int =
             .select("bucket", "p")
         )
         left = stored(named.join(several, "bucket").select("bucket", "node", "n", "p"), "join-open")
+        dropped(named)
         if not left.take(1):
             return known
+        used = [left]
         pairs = left.where("node != p").select("p", F.col("node").alias("a")).distinct()
         compared = stored(_compared(pairs, sets, limit), "join-compared")
+        used.append(compared)
         known = _merged(known, compared.where("linked").select(F.col("p").alias("a"), F.col("a").alias("b")))
         known = _merged(known, _verified(_apart(known, _beside(compared, limit)), sets, limit))
         left = left.join(
