@@ -25,6 +25,12 @@ from stratanet.session import cut_lineage, is_empty
 TASK_NODES = 2_000
 TASK_EDGES = 1_000_000
 
+#: Cells of one working array of a task.
+WORK_CELLS = 8_000_000
+#: Lengths of paths are equal if they differ by no more than this part; weights below the least count as it.
+TIE = 1e-14
+LEAST_WEIGHT = 1e-12
+
 Keys = tuple[str, ...]
 
 
@@ -346,16 +352,52 @@ def path_summary(
 _ECCENTRICITY = {c: T.LongType() for c in ("ecc", "low", "total", "n")}
 
 
+def _sorted_arcs(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray):
+    """Both directions of the edges by target: (source, target, weight, first arc of each target, those targets)."""
+    u, v, w = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([w, w])
+    by = np.argsort(v, kind="stable")
+    u, v, w = u[by], v[by], w[by]
+    targets, first = np.unique(v, return_index=True)
+    return u, v, w, first, targets
+
+
+def _source_batches(n: int, n_arcs: int):
+    """Sources that are followed at once, so that a value for each arc and source fits WORK_CELLS."""
+    step = max(1, WORK_CELLS // max(1, n_arcs + n))
+    for lo in range(0, n, step):
+        yield np.arange(lo, min(n, lo + step))
+
+
+def _distances(n: int, arcs, sources: np.ndarray) -> np.ndarray:
+    """(node, source) least sum of weights, infinite where there is no path; all sources are relaxed together."""
+    u, _, w, first, targets = arcs
+    D = np.full((n, len(sources)), np.inf)
+    D[sources, np.arange(len(sources))] = 0.0
+    while len(u):
+        offer = np.minimum.reduceat(D[u] + w[:, None], first, axis=0)
+        if not (offer < D[targets] * (1.0 - TIE)).any():
+            break
+        D[targets] = np.minimum(D[targets], offer)
+    return D
+
+
 def _eccentricity_small(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     def run(names, i, j, weight, strength):
         del weight, strength
-        near = _neighbours(len(names), i, j)
-        rows = []
-        for v in range(len(names)):
-            hops = [h for h in _hops_from(near, v).values() if h]
-            if hops:
-                rows.append((names[v], max(hops), min(hops), sum(hops), len(hops)))
-        return pd.DataFrame(rows, columns=["source", *_ECCENTRICITY])
+        n, parts = len(names), []
+        arcs = _sorted_arcs(n, i, j, np.ones(len(i)))
+        for sources in _source_batches(n, len(arcs[0])):
+            hops = _distances(n, arcs, sources)
+            there = np.isfinite(hops) & (hops > 0)
+            some = there.any(axis=0)
+            table = {
+                "source": names[sources],
+                "ecc": np.where(there, hops, 0).max(axis=0), "low": np.where(there, hops, np.inf).min(axis=0),
+                "total": np.where(there, hops, 0).sum(axis=0), "n": there.sum(axis=0),
+            }
+            part = pd.DataFrame(table)[some]
+            parts.append(part.astype({c: "int64" for c in _ECCENTRICITY}))
+        return pd.concat(parts)
 
     kind = nodes.schema["node"].dataType
     return graph_kernel(nodes, edges, keys, run, {"source": kind, **_ECCENTRICITY})
@@ -371,9 +413,68 @@ def _eccentricity_large(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataF
     )
 
 
+def _waves(x: np.ndarray, step: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """x + step(x) + step(step(x)) + … until nothing is left."""
+    total = x.copy()
+    while True:
+        x = step(x)
+        if not x.any():
+            return total
+        total += x
+
+
+def _betweenness_small(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
+    """Path counts run down the shortest-path arcs of a batch of sources, dependencies back up."""
+
+    def run(names, i, j, weight, strength):
+        del strength
+        n = len(names)
+        arcs = _sorted_arcs(n, i, j, np.maximum(weight, LEAST_WEIGHT))
+        u, v, w, first, targets = arcs
+        # The graph is undirected: an arc's reverse lets sums by source use the order by target.
+        back = np.lexsort((v, u))
+        sums = np.zeros(n)
+        for sources in _source_batches(n, len(u)) if len(u) else ():
+            D = _distances(n, arcs, sources)
+            with np.errstate(invalid="ignore"):
+                tight = (np.abs(D[u] + w[:, None] - D[v]) <= TIE * D[v]) & (D[u] < D[v])
+
+            def down(x, tight=tight):
+                out = np.zeros_like(x)
+                out[targets] = np.add.reduceat(x[u] * tight, first, axis=0)
+                return out
+
+            start = np.zeros_like(D)
+            start[sources, np.arange(len(sources))] = 1.0
+            paths = _waves(start, down)
+            share = np.divide(paths[u], paths[v], out=np.zeros(tight.shape), where=tight)
+
+            def up(x, share=share):
+                out = np.zeros_like(x)
+                out[targets] = np.add.reduceat((x[v] * share)[back], first, axis=0)
+                return out
+
+            depends = _waves(up(np.ones_like(D)), up)
+            depends[sources, np.arange(len(sources))] = 0.0
+            sums += depends.sum(axis=1)
+        pairs = (n - 1.0) * (n - 2.0)
+        return pd.DataFrame({"node": names, "value": sums / pairs if pairs > 0 else 0.0 * sums})
+
+    return graph_kernel(nodes, edges, keys, run, {"node": nodes.schema["node"].dataType, "value": T.DoubleType()})
+
+
 @keyless
 def betweenness(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
-    """Weighted shortest-path betweenness, normalised, as three propagation loops.
+    """Weighted shortest-path betweenness, normalised; paths whose lengths differ by rounding only are equal."""
+    small, large = split_by_size(nodes, edges, keys)
+    result = _betweenness_small(*small, keys)
+    if large:
+        result = result.unionByName(_betweenness_large(*large, keys))
+    return result
+
+
+def _betweenness_large(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
+    """The same as three propagation loops.
 
     Distances settle by relaxation; then path counts run down the shortest-path
     arcs of every source, and dependencies run back up, one hop per round.
@@ -382,7 +483,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
     at = [*on, "source", "node"]
     arcs = cut_lineage(
         both_ways(edges, "weight").select(
-            *on, "node", "other", F.greatest("weight", F.lit(1e-12)).alias("w")
+            *on, "node", "other", F.greatest("weight", F.lit(LEAST_WEIGHT)).alias("w")
         )
     )
     best = cut_lineage(
@@ -400,7 +501,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
             best.join(offer, at, "full").select(
                 *at,
                 F.least("dist", "_d").alias("dist"),
-                (F.col("dist").isNull() | (F.col("_d") < F.col("dist"))).alias("_moved"),
+                (F.col("dist").isNull() | (F.col("_d") < F.col("dist") * (1.0 - TIE))).alias("_moved"),
             )
         )
         best = merged.select(*at, "dist")
@@ -409,12 +510,12 @@ def betweenness(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
             break
     tail = best.join(arcs, [*on, "node"]).select(
         *on, "source", F.col("node").alias("u"), F.col("other").alias("v"),
-        (F.col("dist") + F.col("w")).alias("_reach"),
+        (F.col("dist") + F.col("w")).alias("_reach"), F.col("dist").alias("_du"),
     )
     head = best.select(*on, "source", F.col("node").alias("v"), "dist")
     dag = cut_lineage(
         tail.join(head, [*on, "source", "v"])
-        .where(F.col("_reach") == F.col("dist"))
+        .where((F.abs(F.col("_reach") - F.col("dist")) <= TIE * F.col("dist")) & (F.col("_du") < F.col("dist")))
         .select(*on, "source", "u", "v")
     )
 
