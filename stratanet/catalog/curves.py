@@ -585,6 +585,18 @@ def j4(spark, d):
     return joined.groupBy("subject", "window_idx").agg(F.count("regime").alias("n_labels"))
 
 
+@query(
+    "j4_given_labels",
+    with_(*SUBJECT_FIT)
+    + "SELECT subject, window_idx, CASE WHEN window_idx % 2 = 0 THEN 'even' ELSE 'none' END AS regime FROM tj",
+)
+def j4_given(spark, d):
+    """Labels of every other window; the rest keep their rows."""
+    trajectory = _trajectory(spark, d)
+    even = trajectory.where("window_idx % 2 = 0").select("subject", "window_idx", F.lit("even").alias("regime"))
+    return E.with_regime(trajectory, even).select("subject", "window_idx", "regime")
+
+
 @query(
     "w14_trajectory_points",
     with_(*SUBJECT_FIT)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stratanet.catalog import graph_sql as S
 from stratanet.catalog.base import query, r6, rounded
 from stratanet.catalog.measures import ROLES, RET_PAIRS, returns
 from stratanet.catalog.sql import CORR, NET
@@ -279,6 +280,23 @@ def s17(spark, d):
     )
 
 
+@query(
+    "s17_loaded_intra",
+    graph_sql() + f"SELECT src AS source_issuer, dst AS target_issuer, layer AS term, {q6('strength')} AS weight FROM ed",
+)
+def s17_rows(spark, d):
+    """The rows of one multiplex table as they come back from a store."""
+    from stratanet.session import scratch_path
+    from stratanet.sources import store
+
+    nodes, edges, _ = net_graph(spark, d)
+    path = scratch_path(spark, "multiplex")
+    names = ("mln_nodes", "mln_intra", "mln_inter")
+    store.save_results(spark, path, dict(zip(names, G.multiplex_tables(nodes, edges), strict=True)))
+    _, intra, _ = store.load_multiplex(spark, path)
+    return intra.select("source_issuer", "target_issuer", "term", r6("weight").alias("weight"))
+
+
 SIZES = """sz AS (SELECT l.layer, l.n AS n_nodes,
     (SELECT count(*) FROM ed WHERE ed.layer = l.layer) AS n_edges
   FROM (SELECT layer, count(*) AS n FROM nd GROUP BY 1) l)"""
@@ -394,13 +412,19 @@ def h5(spark, d):
     return rounded(H.degree_centrality(nodes, edges, KEYS), "value")
 
 
-@query("h6_eigenvector_centrality")
+@query(
+    "h6_eigenvector_centrality",
+    recursive(graph_sql(T, BOTH, S.EIGENVECTOR)) + f"SELECT layer, node, {q6('value')} AS value FROM ev",
+)
 def h6(spark, d):
     nodes, edges, _ = net_graph(spark, d)
     return rounded(H.eigenvector_centrality(nodes, edges, KEYS), "value")
 
 
-@query("h7_betweenness")
+@query(
+    "h7_betweenness",
+    recursive(graph_sql(T, BOTH, S.DISTANCES, S.BETWEENNESS)) + f"SELECT layer, node, {q6('value')} AS value FROM bt",
+)
 def h7(spark, d):
     nodes, edges, _ = net_graph(spark, d)
     return rounded(H.betweenness(nodes, edges, KEYS), "value")
@@ -427,13 +451,21 @@ def h8(spark, d):
     )
 
 
-@query("h9_maximal_cliques")
+@query(
+    "h9_maximal_cliques",
+    recursive(graph_sql(T, BOTH, S.CLIQUES)) + "SELECT layer, count(*) AS n_cliques FROM cl WHERE len(next) = 0 GROUP BY 1",
+)
 def h9(spark, d):
     nodes, edges, _ = net_graph(spark, d)
     return H.maximal_cliques(nodes, edges, KEYS)
 
 
-@query("h10_spectral_radius")
+@query(
+    "h10_spectral_radius",
+    recursive(graph_sql(T, BOTH, S.RADIUS))
+    + f"""SELECT nn.layer, {q6('coalesce(radius, 0.0)')} AS spectral_radius
+          FROM (SELECT DISTINCT layer FROM nd) nn LEFT JOIN sr USING (layer)""",
+)
 def h10(spark, d):
     nodes, edges, _ = net_graph(spark, d)
     return rounded(H.spectral_radius(nodes, edges, KEYS), "spectral_radius")
@@ -499,6 +531,26 @@ def h14(spark, d):
     return table.select("node", "layer", r6("value").alias("value"))
 
 
+@query(
+    "h14_layer_eigenvector",
+    recursive(graph_sql(T, BOTH, S.EIGENVECTOR)) + f"SELECT node, layer, {q6('value')} AS value FROM ev",
+)
+def h14_eigenvector(spark, d):
+    nodes, edges, _ = net_graph(spark, d)
+    table = H.node_centrality(nodes, edges, KEYS, "eigenvector")
+    return table.select("node", "layer", r6("value").alias("value"))
+
+
+@query(
+    "h14_layer_betweenness",
+    recursive(graph_sql(T, BOTH, S.DISTANCES, S.BETWEENNESS)) + f"SELECT node, layer, {q6('value')} AS value FROM bt",
+)
+def h14_betweenness(spark, d):
+    nodes, edges, _ = net_graph(spark, d)
+    table = H.node_centrality(nodes, edges, KEYS, "betweenness")
+    return table.select("node", "layer", r6("value").alias("value"))
+
+
 @query(
     "h15_node_metric_rows",
     graph_sql(T, BOTH, CENT)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from stratanet.catalog.base import query, r6
 from stratanet.catalog.sql import CORR, EVENT, NET, RETURNS, SUPPLIER, pair_rows, with_
 from stratanet.catalog.sql import r6 as q6
 from stratanet.operators import panel as P
-from stratanet.operators.pairs import MEASURES, Roles, measure_pairs
+from stratanet.operators.pairs import MEASURES, Roles, measure_pairs, register_measure, register_pair_kernel
 from stratanet.sources import adapters as A
 
 ROLES = Roles()
@@ -200,7 +201,68 @@ def m2_suppliers(spark, d):
     return measured(A.supplier_long(spark, d), "spearman_correlation")
 
 
-@query("m8_mutual_information_pairs")
+def same_sign(x, Y):
+    """Share of common dates on which both series have the same sign."""
+    both = ~np.isnan(x)[:, None] & ~np.isnan(Y)
+    n = both.sum(axis=0)
+    agree = ((np.sign(x)[:, None] == np.sign(Y)) & both).sum(axis=0)
+    return np.where(n > 0, agree / np.maximum(n, 1), np.nan), n
+
+
+@query("u2_registered_kernel", _pairs_sql(RET_PAIRS, "avg(CASE WHEN sign(x) = sign(y) THEN 1.0 ELSE 0.0 END)"))
+def u2_kernel(spark, d):
+    """A measure of the caller's own, given as a kernel."""
+    register_pair_kernel("same_sign", same_sign, label="Same sign")
+    return measured(returns(spark, d), "same_sign")
+
+
+def smaller_mean(panel, roles):
+    """The lesser of two nodes' mean absolute values, over all their dates."""
+    size = panel.groupBy(*roles.keys, roles.node).agg(F.avg(F.abs(roles.value)).alias("_size"), F.count(F.lit(1)).alias("_n"))
+    a = size.withColumnsRenamed({roles.node: "node_i", "_size": "_a", "_n": "_na"})
+    b = size.withColumnsRenamed({roles.node: "node_j", "_size": "_b", "_n": "_nb"})
+    return a.join(b, list(roles.keys)).where("node_i < node_j").select(
+        *roles.keys, "node_i", "node_j", F.least("_na", "_nb").alias("n_obs"), F.least("_a", "_b").alias("measure")
+    )
+
+
+@query(
+    "u2_registered_measure",
+    with_(NET, RETURNS)
+    + f"""SELECT a.layer, a.node AS node_i, b.node AS node_j, least(a.n, b.n) AS n_obs, {q6('least(a.s, b.s)')} AS measure
+          FROM (SELECT layer, node, avg(abs(value)) AS s, count(*) AS n FROM ret GROUP BY 1, 2) a
+          JOIN (SELECT layer, node, avg(abs(value)) AS s, count(*) AS n FROM ret GROUP BY 1, 2) b
+            ON a.layer = b.layer AND a.node < b.node""",
+)
+def u2_measure(spark, d):
+    """A measure of the caller's own, given as DataFrame work."""
+    register_measure("smaller_mean", smaller_mean)
+    return measured(returns(spark, d), "smaller_mean")
+
+
+#: Each point's third nearest other one by the larger of both gaps, and the points nearer than it along each axis.
+_INFORMATION = """sp AS (SELECT layer, node, stddev_pop(value) AS s FROM ret GROUP BY 1, 2),
+pp AS (SELECT * FROM pr UNION ALL SELECT layer, node, node, dt, value, value FROM ret),
+sd AS (SELECT layer, node_i, node_j, count(*) AS n, stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM pp GROUP BY 1, 2, 3),
+sc AS MATERIALIZED (SELECT layer, node_i, node_j, n, dt, x / CASE WHEN sx > 0 THEN sx ELSE 1 END AS x, y / CASE WHEN sy > 0 THEN sy ELSE 1 END AS y
+  FROM pp JOIN sd USING (layer, node_i, node_j) WHERE n > 3),
+gp AS MATERIALIZED (SELECT a.layer, a.node_i, a.node_j, a.n, a.dt, abs(a.x - b.x) AS gx, abs(a.y - b.y) AS gy
+  FROM sc a JOIN sc b ON a.layer = b.layer AND a.node_i = b.node_i AND a.node_j = b.node_j AND a.dt <> b.dt),
+th AS (SELECT layer, node_i, node_j, dt, list_sort(list(greatest(gx, gy)))[3] AS r FROM gp GROUP BY 1, 2, 3, 4),
+ct AS (SELECT layer, node_i, node_j, dt, any_value(n) AS n, count(*) FILTER (gx < r) AS na, count(*) FILTER (gy < r) AS nb
+  FROM gp JOIN th USING (layer, node_i, node_j, dt) GROUP BY 1, 2, 3, 4),
+hm AS (SELECT k, sum(CASE WHEN k = 0 THEN 0.0 ELSE 1.0 / k END) OVER (ORDER BY k) AS h FROM (SELECT unnest(range(0, 2000)) AS k)),
+mi AS (SELECT layer, node_i, node_j, greatest(0.0, any_value(hn.h) + 1.5 - avg(ha.h) - avg(hb.h)) AS raw FROM ct
+  JOIN hm hn ON hn.k = n - 1 JOIN hm ha ON ha.k = na JOIN hm hb ON hb.k = nb GROUP BY 1, 2, 3),
+pk AS (SELECT layer, greatest(1e-6, max(raw)) AS peak FROM mi GROUP BY 1)"""
+
+
+@query(
+    "m8_mutual_information_pairs",
+    with_(NET, RETURNS, pair_rows("ret"), _INFORMATION)
+    + f"""SELECT sd.layer, node_i, node_j, n AS n_obs, {q6('least(1.0, raw / peak)')} AS measure
+          FROM sd LEFT JOIN mi USING (layer, node_i, node_j) LEFT JOIN pk ON pk.layer = sd.layer WHERE node_i < node_j""",
+)
 def m8(spark, d):
     return measured(returns(spark, d), "mutual_information")
 

@@ -64,7 +64,10 @@ def p2(spark, d):
     return P.sort_terms(labels, "label").select("label", "term_pos")
 
 
-@query("p3_detect_panel")
+@query(
+    "p3_detect_panel",
+    with_(CURVE) + "SELECT term, 'source' AS issuer_column, 'rate' AS rate_column, count(rate) AS n FROM curve GROUP BY 1",
+)
 def p3(spark, d):
     """Roles of the wide curve table, then one row per detected term column."""
     wide = A.curve_wide(spark, d)

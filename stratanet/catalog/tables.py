@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratanet.catalog.base import query
+from stratanet.catalog.base import query, rounded
 from stratanet.catalog.sql import CURVE, with_
+from stratanet.catalog.sql import r6 as q6
 from stratanet.sources import adapters as A
 from stratanet.sources import tables as S
 from stratanet.session import scratch_path
@@ -184,6 +185,16 @@ def s13(spark, d):
     return store.describe(store.load_results(spark, path))
 
 
+@query("s13_loaded_rows", with_(CURVE) + f"SELECT date, source, term, {q6('rate')} AS rate FROM curve")
+def s13_rows(spark, d):
+    """The rows of a frame as they come back from the store."""
+    from stratanet.sources import store
+
+    path = scratch_path(spark, "store")
+    store.save_results(spark, path, {"stage1_curve": A.curve_long(spark, d)}, settings={"threshold": 0.33})
+    return rounded(store.load_results(spark, path)["stage1_curve"].select("date", "source", "term", "rate"), "rate")
+
+
 @query("s16_export", "SELECT r_regionkey, r_name FROM region")
 def s16(spark, d):
     from stratanet.sources import store

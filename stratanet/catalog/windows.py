@@ -8,12 +8,13 @@ from stratanet.catalog.base import query, r6, rounded
 from stratanet.catalog.graphs import (
     _DENS, BOTH, CENT, PATHS, PM, REACH, SIZES, TRI, recursive,
 )
-from stratanet.catalog.measures import ROLES, returns
+from stratanet.catalog.measures import _RANKED, ROLES, returns
 from stratanet.catalog.sql import CORR, NET, RETURNS, pair_rows, with_
 from stratanet.catalog.sql import r6 as q6
 from stratanet.operators import evolution as E
 from stratanet.operators import metrics as H
 from stratanet.operators import windows as W
+from stratanet.session import cut_lineage
 from stratanet.sources import adapters as A
 
 ROLLING = W.Schedule(24, 6)
@@ -143,6 +144,26 @@ _METRICS = """mt AS (SELECT layer, node, 'weighted_degree' AS metric, weighted_d
   UNION ALL SELECT layer, node, 'degree', value FROM dc)"""
 
 
+_WINDOWED = """wr AS (SELECT window_idx || ':' || layer AS layer, node, dt, value FROM ret
+  JOIN ww ON dt BETWEEN date_start AND date_end),
+wn AS (SELECT layer, node FROM wr GROUP BY 1, 2 HAVING count(*) >= 3),
+we AS (SELECT wr.* FROM wr JOIN wn USING (layer, node))"""
+
+
+@query(
+    "w2_window_spearman",
+    with_(NET, RETURNS, window_sql("ret", ROLLING), _WINDOWED, pair_rows("we"), _RANKED)
+    + f"""SELECT layer AS graph, node_i, node_j, count(*) AS n_obs, {q6(CORR)} AS measure
+          FROM rk GROUP BY 1, 2, 3""",
+)
+def w2_spearman(spark, d):
+    """A rank measure in every window, where rows are copied to the windows they lie in."""
+    ret = returns(spark, d)
+    bounded = W.bounded_rows(ret, "dt", ROLLING)
+    rows = W.windowed_measure(bounded, "spearman_correlation", ROLES)
+    return rows.select(_graph_label(), "node_i", "node_j", "n_obs", r6("measure").alias("measure"))
+
+
 @query(
     "w2_window_node_metrics",
     with_(*_EVOLUTION, BOTH, CENT, _METRICS)
@@ -189,6 +210,23 @@ def w3(spark, d):
     return rounded(mix, "pct_intra", "pct_inter")
 
 
+@query(
+    "j3_links_with_numbers",
+    with_(NET, window_sql("net", ROLLING), _INSIDE, pair_rows("wr"), PM, _MIX)
+    + """SELECT window_idx, coalesce(intra_edges, 0) + coalesce(inter_edges, 0) AS total_edges,
+           CAST(window_idx % 4 + 2 AS INTEGER) AS k_FIXED, CASE WHEN window_idx % 2 = 0 THEN 7 END AS k_MODULARITY
+         FROM ww LEFT JOIN ia USING (window_idx) LEFT JOIN ie USING (window_idx)""",
+)
+def j3(spark, d):
+    """Edge mix with given numbers of communities; a method without one in a window stays empty."""
+    mix, _, _ = E.multiplex_evolution(A.net_long(spark, d), ROLLING, threshold=T)
+    mix = cut_lineage(mix)
+    fixed = mix.select("window_idx", F.lit("FIXED").alias("method"), (F.col("window_idx") % 4 + 2).cast("int").alias("n_clusters"))
+    even = mix.where("window_idx % 2 = 0").select("window_idx", F.lit("MODULARITY").alias("method"), F.lit(7).alias("n_clusters"))
+    table = E.links_table(mix, fixed.unionByName(even), ["FIXED", "MODULARITY"])
+    return table.select("window_idx", "total_edges", "k_FIXED", "k_MODULARITY")
+
+
 _VARIES = f"""sd AS (SELECT split_part(layer, ':', 2) AS layer, node, stddev_samp(value) AS s
   FROM mt WHERE metric = 'weighted_degree' GROUP BY 1, 2)"""
 

@@ -334,12 +334,16 @@ def _kth_gap(a, b, k, band=512):
 
 
 def _within(v, radius):
-    s = np.sort(v)
-    return (
-        np.searchsorted(s, v + radius, side="right")
-        - np.searchsorted(s, v - radius, side="left")
-        - 1
-    )
+    """How many other values lie within each value's radius, by their differences."""
+    s, n = np.sort(v), len(v)
+    low, high = np.searchsorted(s, v - radius, side="left"), np.searchsorted(s, v + radius, side="right")
+    # Value and radius are rounded when they are added, so that the ends may be off.
+    while True:
+        wide = ((high < n) & (s[np.minimum(high, n - 1)] - v <= radius)).astype(int) - (s[np.maximum(high - 1, 0)] - v > radius)
+        early = (v - s[np.minimum(low, n - 1)] > radius).astype(int) - ((low > 0) & (v - s[np.maximum(low - 1, 0)] <= radius))
+        if not (wide.any() or early.any()):
+            return high - low - 1
+        high, low = high + wide, low + early
 
 
 def mutual_information(x, Y, k=3):

@@ -12,11 +12,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratanet.functions.moments import safe_corr
+from stratanet.operators import spectral
 from stratanet.operators.graph import both_ways, degrees
 from stratanet.operators.keyless import keyless
 from stratanet.session import cut_lineage, is_empty
@@ -591,7 +592,6 @@ def _power_small(nodes, edges, keys, weighted: bool, max_iter: int):
         A[j, i] = w
         x = np.full(n, 1.0 / n)
         done = len(i) == 0
-        value = 0.0
         if len(i):
             for _ in range(max_iter):
                 before = x
@@ -603,11 +603,7 @@ def _power_small(nodes, edges, keys, weighted: bool, max_iter: int):
                     break
         else:
             x = np.zeros(n)
-        if not weighted and len(i):
-            value = float(np.abs(np.linalg.eigvalsh(A)).max())
-        return pd.DataFrame(
-            {"node": names, "value": x, "radius": value, "converged": done}
-        )
+        return pd.DataFrame({"node": names, "value": x, "converged": done})
 
     return graph_kernel(
         nodes,
@@ -617,7 +613,6 @@ def _power_small(nodes, edges, keys, weighted: bool, max_iter: int):
         {
             "node": nodes.schema["node"].dataType,
             "value": T.DoubleType(),
-            "radius": T.DoubleType(),
             "converged": T.BooleanType(),
         },
     )
@@ -635,7 +630,7 @@ def _power_large(nodes, edges, keys, weighted: bool, max_iter: int):
     sizes = cut_lineage(n.join(m, on, "left").fillna(0, ["_m"]))
     state = cut_lineage(
         nodes.select(*on, "node").join(sizes, on).select(
-            *on, "node", (1.0 / F.col("_n")).alias("value"), F.lit(0.0).alias("radius"),
+            *on, "node", (1.0 / F.col("_n")).alias("value"),
             (F.col("_m") == 0).alias("converged"),
         )
     )
@@ -656,15 +651,11 @@ def _power_large(nodes, edges, keys, weighted: bool, max_iter: int):
         moved = raw.join(norm, on).withColumn("_new", F.col("_x") / F.col("_norm"))
         shift = (
             moved.groupBy(*on)
-            .agg(
-                F.sum(F.abs(F.col("_new") - F.col("value"))).alias("_shift"),
-                F.max("_norm").alias("_top"),
-            )
+            .agg(F.sum(F.abs(F.col("_new") - F.col("value"))).alias("_shift"))
             .join(sizes, on)
             .select(
                 *on,
                 (F.col("_shift") < F.col("_n") * 1e-6).alias("_done"),
-                (F.col("_top") - 1.0).alias("_radius"),
             )
         )
         keep = F.col("converged")
@@ -672,7 +663,6 @@ def _power_large(nodes, edges, keys, weighted: bool, max_iter: int):
             moved.join(shift, on).select(
                 *on, "node",
                 F.when(keep, F.col("value")).otherwise(F.col("_new")).alias("value"),
-                F.when(keep, F.col("radius")).otherwise(F.col("_radius")).alias("radius"),
                 (keep | F.col("_done")).alias("converged"),
             )
         )
@@ -685,7 +675,7 @@ def _power_large(nodes, edges, keys, weighted: bool, max_iter: int):
 def power_iteration(
     nodes: DataFrame, edges: DataFrame, keys: Keys, weighted: bool = True, max_iter: int = 1000
 ) -> DataFrame:
-    """(keys, node, value, radius, converged) of (A + I), small and large graphs."""
+    """(keys, node, value, converged) of (A + I), small and large graphs."""
     small, large = split_by_size(nodes, edges, keys)
     result = _power_small(*small, keys, weighted, max_iter)
     if large:
@@ -713,11 +703,44 @@ def eigenvector_centrality(
     return x.where("converged").select(*on, "node", "value").unionByName(other)
 
 
+def _radius_small(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
+    def run(names, i, j, weight, strength):
+        del weight, strength
+        A = np.zeros((len(names), len(names)))
+        A[i, j] = A[j, i] = 1.0
+        return pd.DataFrame({"spectral_radius": [float(np.abs(np.linalg.eigvalsh(A)).max())]})
+
+    return graph_kernel(nodes, edges, keys, run, {"spectral_radius": T.DoubleType()})
+
+
+def _radius_large(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
+    """The squared length of the leading direction, which the embedding scales by the root of its eigenvalue."""
+    on = list(keys)
+    tag = nodes.select(*on).distinct().withColumn("g", F.xxhash64(*on)).withColumn("g", F.dense_rank().over(Window.orderBy("g", *on)))
+    numbers = cut_lineage(tag.withColumn("g", F.col("g").cast("int")))
+    named = cut_lineage(
+        nodes.join(numbers, on).select("g", "node", F.lit(1 + spectral.OVERSAMPLE).alias("p"), F.monotonically_increasing_id().alias("id"))
+    )
+    arcs = edges.join(numbers, on).select("g", "src", "dst").distinct()
+    for end in ("src", "dst"):
+        arcs = arcs.join(named.select("g", F.col("node").alias(end), F.col("id").alias(f"_{end}")), ["g", end]).drop(end).withColumnRenamed(f"_{end}", end)
+    own = named.select("g", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"))
+    one = arcs.select("g", "src", "dst", F.lit(1.0).alias("w"))
+    both = cut_lineage(one.unionByName(one.select("g", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).unionByName(own))
+    sizes = {r.g: (1 + spectral.OVERSAMPLE, 1) for r in numbers.select("g").collect()}  # a row for each large graph
+    points = spectral.embedding(named, both, sizes)
+    length = points.groupBy("g").agg(F.sum(F.col("vec")[0] * F.col("vec")[0]).alias("spectral_radius"))
+    return numbers.join(length, "g").select(*on, "spectral_radius")
+
+
 @keyless
 def spectral_radius(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
-    """Largest absolute eigenvalue of the 0/1 adjacency matrix."""
-    x = power_iteration(nodes, edges, keys, weighted=False)
-    return x.groupBy(*keys).agg(F.max("radius").alias("spectral_radius"))
+    """Largest absolute eigenvalue of the 0/1 adjacency matrix, of small and large graphs."""
+    small, large = split_by_size(nodes, edges, keys)
+    result = _radius_small(*small, keys)
+    if large:
+        result = result.unionByName(_radius_large(*large, keys))
+    return result
 
 
 @keyless
