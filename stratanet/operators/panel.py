@@ -203,6 +203,10 @@ Transform = Callable[[DataFrame, Roles], DataFrame]
 TRANSFORMS: dict[str, Transform] = {"daily_returns": daily_returns}
 
 
+#: A panel is in percent if this share of its sizes does not stay below the size.
+PERCENT_SIZE, PERCENT_SHARE = 0.5, 0.9
+
+
 def register_transform(name: str, fn: Transform) -> None:
     TRANSFORMS[name] = fn
 
@@ -217,11 +221,23 @@ def apply_transforms(panel: DataFrame, names: list[str], roles: Roles) -> DataFr
 
 
 def detect_scale(panel: DataFrame, value: str = "rate") -> DataFrame:
-    """One row: 0.01 when the panel is quoted in percent, else 1.0."""
+    """One row: 0.01 when the panel is quoted in percent, else 1.0.
+
+    In percent, nine tenths of the way up the sorted sizes lies above 0.5. How
+    many sizes lie below settles that, and where the place falls between the
+    last below and the first above, these two; no list of values is kept.
+    """
     size = F.abs(F.col(value))
-    return panel.agg(F.percentile(size, F.lit(0.9)).alias("q90")).select(
-        F.when(F.col("q90") > 0.5, 0.01).otherwise(1.0).alias("yield_scale")
-    )
+    below = size <= PERCENT_SIZE
+    counted = panel.agg(
+        F.count(size).alias("n"), F.count(F.when(below, 1)).alias("below"),
+        F.max(F.when(below, size)).alias("last"), F.min(F.when(~below, size)).alias("first"),
+    )
+    place = (F.col("n") - 1) * PERCENT_SHARE
+    low = F.floor(place)
+    between = (low + 1 - place) * F.col("last") + (place - low) * F.col("first")
+    percent = (F.col("below") <= low) | ((F.col("below") == low + 1) & (place > low) & (between > PERCENT_SIZE))
+    return counted.select(F.when((F.col("n") > 0) & percent, 0.01).otherwise(1.0).alias("yield_scale"))
 
 
 def dense_rows(curve: DataFrame, issuer: str, date: str, term: str) -> DataFrame:
