@@ -12,8 +12,8 @@ in a partner, it takes the rarer half. A partner shares at least one of them
 among them, unless the document is little else. Sets are light up to the size
 where enumeration costs more than the lists.
 
-Sets that share a long list are not all paired. One of them is compared with the
-others; links among those near to it are found by what they differ in from it,
+Sets that share a long list are not all paired. One of them, with the fewest
+elements of its own, is compared with the others; links among those near to it are found by what they differ in from it,
 and the others go on with another one, until lists are in one component or
 used up. What is left after some rounds is compared in full, so that no link is
 lost.
@@ -152,7 +152,10 @@ def light_boundary(nodes: DataFrame, limit: Threshold, wanted: int | None) -> in
 
 
 def _memberships(nodes: DataFrame, limit: Threshold, light: int) -> DataFrame:
-    """(bucket, node, n): which sets may link because they have a bucket in common."""
+    """(bucket, node, n, own): which sets may link because they have a bucket in common.
+
+    ``own`` tells how many elements of a set's head no other set has.
+    """
     size = F.col("n")
     least = (size * limit.percent + 99) / 100
     missing = size - F.floor(least).cast("int")
@@ -166,12 +169,14 @@ def _memberships(nodes: DataFrame, limit: Threshold, light: int) -> DataFrame:
     rare = (
         counted.groupBy("node", "n")
         .agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
-        .withColumn("left", kept - (extended - F.size("shared")))
+        .withColumn("own", (extended - F.size("shared")).cast("int"))
+        .withColumn("left", kept - F.col("own"))
         .where("left > 0")
-        .select("node", "n", F.explode(F.slice("shared", F.lit(1), F.col("left").cast("int"))).alias("s"))
-        .select(F.col("s.h").alias("bucket"), "node", "n")
+        .select("node", "n", "own", F.explode(F.slice("shared", F.lit(1), F.col("left").cast("int"))).alias("s"))
+        .select(F.col("s.h").alias("bucket"), "node", "n", "own")
     )
-    return rare.unionByName(_subset_rows(nodes.where(size.between(1, light)), limit))
+    listed = _subset_rows(nodes.where(size.between(1, light)), limit)
+    return rare.unionByName(listed.withColumn("own", F.lit(0)))
 
 
 def _fits(a: Column, b: Column, limit: Threshold) -> Column:
@@ -292,10 +297,13 @@ def _all_pairs(left: DataFrame, limit: Threshold) -> DataFrame:
 
 
 def linked(members: DataFrame, sets: DataFrame, limit: Threshold, rounds: int = ROUNDS) -> DataFrame:
-    """(node, component) of nodes that link, found from memberships (bucket, node, n).
+    """(node, component) of nodes that link, found from memberships (bucket, node, n, own).
 
-    In each round one set of every long list, by a hash that changes with the
-    round, is compared with the others of it. Those that are near it are done
+    In each round one set of every long list is compared with the others of
+    it: that with the fewest elements of its own, of equal ones the first by a
+    hash that changes with the round. What such a set lacks or adds is in few
+    differences, so that these are mostly the others' own, and lists of equal
+    differences stay short. Those that are near it are done
     with: links among them are found by ``_beside``, and with those that are
     far from it they can't have any, by the triangle inequality. The rest of
     the list goes on to the next round.
@@ -305,22 +313,22 @@ def linked(members: DataFrame, sets: DataFrame, limit: Threshold, rounds: int =
     short = _all_pairs(members.where(F.col("crowd") <= SHORT_LIST), limit)
     none = members.sparkSession.createDataFrame([], "node long, component long")
     known = _merged(none, _verified(short, sets, limit))
-    left = members.where(F.col("crowd") > SHORT_LIST).select("bucket", "node", "n")
+    left = members.where(F.col("crowd") > SHORT_LIST).select("bucket", "node", "n", "own")
     used: list[DataFrame] = []
     for turn in range(rounds):
         order = F.xxhash64("node", F.lit(turn))
         named = stored(
-            left.join(known, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")),
+            left.join(known, "node", "left").select("bucket", "node", "n", "own", F.coalesce("component", "node").alias("component")),
             "join-left",
         )
         dropped(*used)
         several = (
             named.groupBy("bucket")
-            .agg(F.count_distinct("component").alias("parts"), F.min_by("node", order).alias("p"))
+            .agg(F.count_distinct("component").alias("parts"), F.min_by("node", F.struct("own", order)).alias("p"))
             .where("parts > 1")
             .select("bucket", "p")
         )
-        left = stored(named.join(several, "bucket").select("bucket", "node", "n", "p"), "join-open")
+        left = stored(named.join(several, "bucket").select("bucket", "node", "n", "own", "p"), "join-open")
         dropped(named)
         if not left.take(1):
             return known
@@ -332,7 +340,7 @@ def linked(members: DataFrame, sets: DataFrame, limit: Threshold, rounds: int =
         known = _merged(known, _verified(_apart(known, _beside(compared, limit)), sets, limit))
         left = left.join(
             compared.where("stays").select("p", F.col("a").alias("node")), ["p", "node"], "left_semi"
-        ).select("bucket", "node", "n")
+        ).select("bucket", "node", "n", "own")
     return _merged(known, _verified(_apart(known, _all_pairs(left, limit)), sets, limit))
 
 

@@ -96,7 +96,7 @@ def test_few_rounds_lose_no_link(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").dropDuplicates(["doc_id"])
     sets = docs.select(docs.doc_id.alias("node"), jaccard_join.shingles(docs.text, 4).alias("shingles"))
     sizes = sets.selectExpr("node", "size(shingles) as n")
-    members = members.drop("n").join(sizes, "node").where("n > 0").select("bucket", "node", "n")
+    members = members.drop("n").join(sizes, "node").where("n > 0").selectExpr("bucket", "node", "n", "0 as own")
     texts = {r.doc_id: r.text for r in docs.collect()}
     want = brute(list(texts.items()), 4, 85)
     for rounds in (0, 2):
