@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratanet.llm.common import slices, small, stored, text_of
+from stratanet.session import dropped
 
 ORDER = 5
 #: What a document is used for.
@@ -253,8 +254,12 @@ def probabilities(asked: DataFrame, order: int = ORDER) -> DataFrame:
             )
         own = F.coalesce(F.greatest(F.col("left"), F.lit(0.0)) / F.col("total"), F.lit(0.0))
         p = own + F.coalesce("passed", F.lit(1.0)) * F.col("p_lower")
-        lower = stored(rows.select("lang", "gram", p.alias("p")), "model-order")
-    return lower.select("lang", "gram", F.ln("p").cast("float").alias("logp"))
+        value = p.alias("p") if k < order else F.ln(p).cast("float").alias("logp")
+        level = stored(rows.select("lang", "gram", value), "model-order")
+        # What only this order has read goes at once.
+        dropped(*([lower] if k > 1 else []), *([types[k]] if k < order else []))
+        lower = level
+    return lower
 
 
 def word_probabilities(asked: DataFrame) -> DataFrame:
@@ -281,6 +286,7 @@ def word_probabilities(asked: DataFrame) -> DataFrame:
     whole = F.broadcast(single.groupBy("lang").agg(*share))
     words = asked.select("lang", "gram").distinct().join(single.select("lang", "gram", "left"), ["lang", "gram"], "left")
     lower = stored(words.join(whole, "lang", "left").select("lang", "gram", p(F.lit(UNSEEN)).alias("p_lower")), "model-word")
+    dropped(types)
     double = cut(seen)
     contexts = double.groupBy("lang", "before").agg(*share)
     rows = (
@@ -289,7 +295,9 @@ def word_probabilities(asked: DataFrame) -> DataFrame:
         .join(contexts, ["lang", "before"], "left")
         .join(lower, ["lang", "gram"])
     )
-    return stored(rows.select("lang", "before", "gram", F.ln(p(F.col("p_lower"))).cast("float").alias("logp")), "model-pairs")
+    out = stored(rows.select("lang", "before", "gram", F.ln(p(F.col("p_lower"))).cast("float").alias("logp")), "model-pairs")
+    dropped(lower)
+    return out
 
 
 def _spread(values: np.ndarray, block: int) -> float:
@@ -424,14 +432,19 @@ def classify(
     double = parts.where("befores is not null").select(
         "slice", "lang", F.explode(F.arrays_zip("befores", "grams", "counts")).alias("g")
     ).select("slice", "lang", F.col("g.befores").alias("before"), F.col("g.grams").alias("gram"), F.col("g.counts").alias("c"))
+    letters = probabilities(asked, order)
+    dropped(asked)
     asked_pairs = stored(double.groupBy("lang", "before", "gram").agg(F.sum("c").alias("c")), "model-pair-counts")
-    spelled = single.drop("c").join(probabilities(asked, order), ["lang", "gram"])
-    worded = double.drop("c").join(word_probabilities(asked_pairs), ["lang", "before", "gram"])
+    pairs_known = word_probabilities(asked_pairs)
+    dropped(asked_pairs)
+    spelled = single.drop("c").join(letters, ["lang", "gram"])
+    worded = double.drop("c").join(pairs_known, ["lang", "before", "gram"])
     answers = spelled.select("slice", F.lit(None).cast("long").alias("before"), "gram", "logp").unionByName(
         worded.select("slice", "before", "gram", "logp")
     )
     payloads = parts.where("payload is not null").select("slice", "lang", "payload")
     scores = stored(_scored(payloads, answers, order), "model-scores")
+    dropped(parts, letters, pairs_known)
     judged = _limited(_limited(scores, "symbols", "", quantile), "words", "word_", quantile)
     fine = [F.coalesce(F.col(f"{p}excess") <= F.col(f"{p}limit"), F.lit(True)) for p in ("", "word_")]
     return judged.select(
