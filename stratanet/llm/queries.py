@@ -113,6 +113,7 @@ def op7_personal_data(spark, sf_dir):
         *[count(k) for k in personal_data.BASE_KINDS],
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
