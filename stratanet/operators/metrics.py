@@ -826,9 +826,84 @@ def modularity(
 # -- cliques -------------------------------------------------------------------
 
 
+def _peeled(near: list[int]) -> list[int]:
+    """Nodes in the order in which the one with the fewest neighbours left is taken off."""
+    left = [bits.bit_count() for bits in near]
+    buckets: dict[int, set[int]] = {}
+    for v, d in enumerate(left):
+        buckets.setdefault(d, set()).add(v)
+    order, gone, least = [], 0, 0
+    while len(order) < len(near):
+        least = max(0, least - 1)
+        while not buckets.get(least):
+            least += 1
+        v = buckets[least].pop()
+        order.append(v)
+        gone |= 1 << v
+        rest = near[v] & ~gone
+        while rest:
+            u = (rest & -rest).bit_length() - 1
+            rest &= rest - 1
+            buckets[left[u]].discard(u)
+            left[u] -= 1
+            buckets.setdefault(left[u], set()).add(u)
+    return order
+
+
+def _members(bits: int):
+    while bits:
+        yield (bits & -bits).bit_length() - 1
+        bits &= bits - 1
+
+
+def count_cliques(near: list[int]) -> int:
+    """Maximal cliques of a graph whose neighbourhoods are bit sets.
+
+    Roots follow the peeling order, so that no branch starts with more
+    candidates than the degeneracy; a branch leaves out the neighbours of the
+    node that has most of its candidates.
+    """
+    found, earlier = 0, 0
+    for root in _peeled(near):
+        stack = [(near[root] & ~earlier, near[root] & earlier)]
+        earlier |= 1 << root
+        while stack:
+            candidates, excluded = stack.pop()
+            if not candidates:
+                found += not excluded
+                continue
+            pivot = max(_members(candidates | excluded), key=lambda v: (near[v] & candidates).bit_count())
+            for v in _members(candidates & ~near[pivot]):
+                stack.append((candidates & near[v], excluded & near[v]))
+                candidates &= ~(1 << v)
+                excluded |= 1 << v
+    return found
+
+
+def _cliques_small(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
+    def run(names, i, j, weight, strength):
+        del weight, strength
+        near = [0] * len(names)
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            near[a] |= 1 << b
+            near[b] |= 1 << a
+        return pd.DataFrame({"n_cliques": [count_cliques(near)]})
+
+    return graph_kernel(nodes, edges, keys, run, {"n_cliques": T.LongType()})
+
+
 @keyless
 def maximal_cliques(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
-    """(keys, n_cliques).  Branches of the search tree are rows, one level per round.
+    """(keys, n_cliques) of small and large graphs."""
+    small, large = split_by_size(nodes, edges, keys)
+    result = _cliques_small(*small, keys)
+    if large:
+        result = result.unionByName(_cliques_large(*large, keys))
+    return result
+
+
+def _cliques_large(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
+    """Branches of the search tree are rows, one level per round.
 
     A row holds the candidates and the excluded nodes of one partial clique, so
     its size is bounded by a neighbourhood, and levels by the largest clique.

@@ -89,3 +89,31 @@ def test_betweenness_of_small_graphs_is_one_job_per_table(spark):
     jobs = tracker.getJobIdsForGroup("between")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(jobs) <= 10
+
+
+def all_cliques(names, edges):
+    """Maximal cliques by trying every set of nodes."""
+    from itertools import combinations
+
+    linked = lambda u, v: (u, v) in edges or (v, u) in edges
+    cliques = [set(c) for k in range(1, len(names) + 1) for c in combinations(names, k) if all(linked(u, v) for u, v in combinations(c, 2))]
+    return sum(not any(c < d for d in cliques) for c in cliques)
+
+
+@pytest.mark.parametrize("bound", [2000, 2])
+def test_cliques_equal_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(H, "TASK_NODES", bound)
+    graphs = random_graphs(4)
+    got = {r["layer"]: r["n_cliques"] for r in H.maximal_cliques(*tables(spark, graphs), KEYS).collect()}
+    assert got == {y: all_cliques(*g) for y, g in graphs.items()}
+
+
+def test_cliques_of_known_graphs():
+    full = [(1 << 9) - 1 & ~(1 << v) for v in range(9)]
+    assert H.count_cliques(full) == 1
+    # Three groups of three without edges inside: any choice of one from each.
+    parts = [sum(1 << u for u in range(9) if u // 3 != v // 3) for v in range(9)]
+    assert H.count_cliques(parts) == 27
+    assert H.count_cliques([0, 0]) == 2 and H.count_cliques([]) == 0
+    star = [0b11110, 1, 1, 1, 1]
+    assert H.count_cliques(star) == 4 and H._peeled(star)[-1] in (0, 1, 2, 3, 4)
