@@ -3,14 +3,15 @@
 One model has all runs of ``ORDER`` characters, in 256 classes, that trusted
 texts have, per language; it knows how words are spelled. The other has all
 pairs of words, by 64-bit hash of each, and grows with the trusted text; in
-scripts without spaces each character is a word. Counts are kept in tables
-keyed by (language, n-gram) and sharded by it: every step, from counts to
-smoothed probabilities, is a join or an aggregate of such tables.
-
-Documents are gathered into slices of one language of some megabytes. A slice
-lists its distinct n-grams, the probability of each is joined to it once, and
-the slice gets them back to score its documents, so that what is shuffled grows
-with the distinct n-grams of slices and not with characters.
+scripts without spaces each character is a word.
+
+Documents are gathered into slices of one language of some megabytes. For each
+shard of the n-grams, a slice has one row that lists its distinct n-grams there
+in order, packed, with their counts in trusted text. The lists of a shard are
+merged into the counts, the tables of both models are aggregates of these, and
+each shard meets the slices' lists once and answers with lists of numbers. Rows
+that are shuffled grow with shards and with distinct trusted n-grams, not with
+the n-grams of every slice.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +40,14 @@ SLICE_BYTES = 8 << 20
 GATHERED_BYTES = 10 << 20
 #: Characters whose n-grams are sorted at once.
 CHUNK = 1 << 18
-#: N-grams of a slice that one row lists.
-LISTED = 1 << 16
+#: N-grams listed by slices that one task looks up, about.
+LISTED = 1 << 21
+#: Lists that are merged at once.
+MERGED = 64
+#: Text per shard where all text is as much; shards grow with its root, as do the slices that meet a shard.
+SHARD_BYTES = 1 << 20
+#: What a list is of, besides letters by their number: what all words, a word and a pair of words are looked up by.
+NO_WORD, WORD, PAIR = 100, 101, 102
 #: One in this many trusted documents, by the checksum of the id, sets thresholds and is not counted.
 FOLDS = 5
 #: Share of a language's trusted documents that its threshold lets through.
@@ -94,9 +102,9 @@ def pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([0, *found], "i8"), np.array([*found, 0], "i8")
 
 
-def _keys(vocabulary: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One number for each pair of words of a sorted vocabulary."""
-    return np.searchsorted(vocabulary, before) << 32 | np.searchsorted(vocabulary, word)
+def _joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One number for each pair of words."""
+    return before * -7046029254386353131 + word
 
 
 def _counted_pairs(texts: list[str], trusted: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,10 +113,8 @@ def _counted_pairs(texts: list[str], trusted: list[bool]) -> tuple[np.ndarray, n
     before, word = (np.concatenate([p[i] for p in own]) for i in (0, 1))
     flags = np.repeat(np.array(trusted, bool), [len(p[0]) for p in own])
     del own
-    vocabulary = np.unique(word)  # Has 0, and with it all that stand before.
-    keys, at = np.unique(_keys(vocabulary, before, word), return_inverse=True)
-    counts = np.bincount(at, flags, len(keys)).astype("i8")
-    return vocabulary[keys >> 32], vocabulary[keys & 0xFFFFFFFF], counts
+    _, first, at = np.unique(_joined(before, word), return_index=True, return_inverse=True)
+    return before[first], word[first], np.bincount(at, flags, len(first)).astype("i8")
 
 
 def _counted(texts: list[str], trusted: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,11 +160,62 @@ def _packed(rows: list[tuple]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _sliced(rows: DataFrame, order: int) -> DataFrame:
-    """(slice, lang, payload, befores, grams, counts) of rows (text, doc_id, key, lang, role).
+def _zipped(values: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side, compressed."""
+    rows = np.ascontiguousarray(values).view("u1").reshape(len(values), values.itemsize)
+    return zstandard.ZstdCompressor(level=1).compress(rows.T.tobytes())
 
-    A slice's n-grams are listed in rows of at most ``LISTED``; the first has the payload, too.
-    ``befores`` is null where these are of characters; else ``grams`` are the words behind them.
+
+def _unzipped(data: bytes, kind: str) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1")
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted numbers by their differences, which may wrap around."""
+    return _zipped(np.diff(keys, prepend=np.int64(0)))
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(_unzipped(data, "i8"), dtype="i8")
+
+
+def _shift(kind: int) -> int:
+    """Letters are in shards by their first two, hashes of words by themselves."""
+    return CLASS_BITS * max(kind - 2, 0) if kind < NO_WORD else 0
+
+
+def _below(grams: np.ndarray, k: int) -> np.ndarray:
+    """The distinct runs of k letters that end or precede what runs of k + 1 have last."""
+    return np.unique(np.append(grams & ((1 << CLASS_BITS * k) - 1), ngrams("", k)[0] if k else 0))
+
+
+def _listed(texts: list[str], trusted: list[bool], order: int) -> Iterator[tuple]:
+    """(kind, keys, words, counts) of the n-grams by which a slice is looked up; words and counts may be None."""
+    grams, counts = _counted(texts, trusted, order)
+    yield order, grams, None, counts
+    for k in range(order - 1, -1, -1):
+        grams = _below(grams, k)
+        yield k, grams, None, None
+    before, word, counts = _counted_pairs(texts, trusted)
+    yield PAIR, before, word, counts
+    yield WORD, np.unique(word), None, None  # Has 0, and with it all that stand before.
+    yield NO_WORD, np.zeros(1, "i8"), None, None
+
+
+LISTS = {
+    "slice": pa.int64(), "lang": pa.string(), "kind": pa.int32(), "shard": pa.int64(), "n": pa.int64(),
+    "keys": pa.binary(), "words": pa.binary(), "counts": pa.binary(),
+}
+LISTS_DDL = "slice long, lang string, kind int, shard long, n long, keys binary, words binary, counts binary"
+
+
+def _sliced(rows: DataFrame, order: int, shards: int) -> DataFrame:
+    """(slice, lang, kind, shard, n, keys, words, counts, payload) of rows (text, doc_id, key, lang, role).
+
+    One row of a slice has the payload and no list. In the others ``keys`` are
+    sorted; where they are words that others, ``words``, follow, by both.
+    ``counts`` is null where no trusted text has any of them.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,25 +223,34 @@ def _sliced(rows: DataFrame, order: int) -> DataFrame:
         sizes: dict[str, int] = {}
         number = TaskContext.get().partitionId() << 32
 
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            kinds = LISTS | {"payload": pa.binary()}
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds.values())], list(kinds)
+            )
+
         def closed(lang: str) -> Iterator[pa.RecordBatch]:
             nonlocal number
             own = held.pop(lang)
             sizes.pop(lang)
             number += 1
-            payload = _packed(own)
+            yield batch_of([(number - 1, lang, None, None, None, None, None, None, _packed(own))])
             texts, flags = [r[3] for r in own], [r[2] == LEARN for r in own]
             del own
-            for kind in (0, 1):
-                befores, grams, counts = _counted_pairs(texts, flags) if kind else (None, *_counted(texts, flags, order))
-                for at in range(0, len(grams), LISTED):
-                    lists = [None if c is None else c[at : at + LISTED] for c in (befores, grams, counts)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([number - 1]), pa.array([lang]), pa.array([None if at or kind else payload], pa.binary()),
-                            *[pa.array([c], pa.list_(pa.int64())) for c in lists],
-                        ],
-                        ["slice", "lang", "payload", "befores", "grams", "counts"],
-                    )
+            for kind, keys, words, counts in _listed(texts, flags, order):
+                shard = ((keys if words is None else _joined(keys, words)) >> _shift(kind)) % shards
+                by = np.lexsort([keys, shard] if words is None else [words, keys, shard])
+                ends = np.cumsum(np.bincount(shard, minlength=shards)).tolist()
+                out = []
+                for k, (begin, end) in enumerate(zip([0, *ends], ends, strict=False)):
+                    at = by[begin:end]
+                    if begin < end:
+                        learned = counts is not None and counts[at].any()
+                        out.append((
+                            number - 1, lang, kind, k, end - begin, _steps(keys[at]), None if words is None else _zipped(words[at]),
+                            _zipped(counts[at].astype("i4")) if learned else None, None,
+                        ))
+                yield batch_of(out)
 
         for batch in slices(batches, 0):
             for text, doc_id, key, lang, role in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -197,9 +263,66 @@ def _sliced(rows: DataFrame, order: int) -> DataFrame:
         for lang in list(held):
             yield from closed(lang)
 
-    return rows.mapInArrow(
-        task, "slice long, lang string, payload binary, befores array<long>, grams array<long>, counts array<long>"
+    return rows.mapInArrow(task, f"{LISTS_DDL}, payload binary")
+
+
+def _merged(lists: pa.Table) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """(keys, words, counts) of what trusted text has of the lists of one kind and shard."""
+    keys, words, counts = [], [], []
+    for k, w, c in zip(*[lists[n].to_pylist() for n in ("keys", "words", "counts")], strict=True):
+        n = _unzipped(c, "i4")
+        seen = n > 0
+        keys.append(_from_steps(k)[seen])
+        words.append(np.zeros(0, "i8") if w is None else _unzipped(w, "i8")[seen])
+        counts.append(n[seen])
+    own, after, counts = (np.concatenate(x) for x in (keys, words, counts))
+    paired = len(after) > 0
+    _, first, at = np.unique(_joined(own, after) if paired else own, return_index=True, return_inverse=True)
+    total = np.bincount(at, counts, len(first)).astype("i8")
+    return own[first], after[first] if paired else None, total
+
+
+def _learned(lists: DataFrame, payloads: DataFrame, order: int) -> DataFrame:
+    """(lang, kind, shard, before, key, c): how often trusted text has the n-grams of the highest orders.
+
+    Lists of one shard are merged some at a time, in rounds, until one is left.
+    """
+
+    def once(table: pa.Table) -> pa.Table:
+        keys, words, counts = _merged(table)
+        by = np.argsort(keys) if words is None else np.lexsort([words, keys])
+        row = (
+            table["slice"][0].as_py(), table["lang"][0].as_py(), table["kind"][0].as_py(), table["shard"][0].as_py(), len(keys),
+            _steps(keys[by]), None if words is None else _zipped(words[by]), _zipped(np.minimum(counts[by], 2**31 - 1).astype("i4")),
+        )
+        return pa.table({n: pa.array([v], t) for v, (n, t) in zip(row, LISTS.items(), strict=True)})
+
+    def last(table: pa.Table) -> pa.Table:
+        keys, words, counts = _merged(table)
+        n = len(keys)
+        return pa.table({
+            "lang": pa.array([table["lang"][0].as_py()] * n, pa.string()),
+            "kind": pa.array(np.full(n, table["kind"][0].as_py(), "i4")),
+            "shard": pa.array(np.full(n, table["shard"][0].as_py(), "i8")),
+            "before": pa.array(np.zeros(n, "i8") if words is None else keys),
+            "key": pa.array(keys if words is None else words),
+            "c": pa.array(counts),
+        })
+
+    n = payloads.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    own, rounds = lists.where("counts is not null").select(*LISTS), []
+    while n > MERGED:
+        n = -(-n // MERGED)
+        some = F.pmod(F.xxhash64("slice"), F.lit(n)).alias("some")
+        own = stored(own.groupBy("lang", "kind", "shard", some).applyInArrow(once, LISTS_DDL), "model-merged")
+        dropped(*rounds)
+        rounds = [own]
+    out = stored(
+        own.groupBy("lang", "kind", "shard").applyInArrow(last, "lang string, kind int, shard long, before long, key long, c long"),
+        "model-learned",
     )
+    dropped(*rounds)
+    return out
 
 
 def _discounts(types: DataFrame) -> DataFrame:
@@ -214,90 +337,147 @@ def _discounts(types: DataFrame) -> DataFrame:
     return types.groupBy("lang").agg(*n).select("lang", off(1), off(2), off(3))
 
 
-def probabilities(asked: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, logp) of a table (lang, gram, c), where ``c`` counts trusted text and may be 0.
+def _entries(learned: DataFrame, order: int, shards: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(lang, kind, shard, before, key, left, total, passed), and the tables that it reads.
 
-    From the lowest order up: an order's counts are, but for the highest, the
-    numbers of different characters before an n-gram. What an n-gram has left
-    after the discount is joined with what its context gives to the order
-    below, and that with the lower order's probability.
+    ``left`` is what a seen n-gram keeps after the discount, ``total`` what
+    stands behind it, and ``passed`` the share of that which the discount gives
+    to the order below. The counts of an order are, but for the highest, the
+    numbers of different characters or words before an n-gram.
     """
-    types = {order: asked.where("c > 0").select("lang", "gram", "c")}
+    types = {order: learned.where(F.col("kind") == order).select("lang", "shard", F.lit(0).cast("long").alias("before"), "key", "c")}
+    none = F.lit(0).cast("long").alias("before")
+
+    def shard(kind: int) -> Column:
+        return F.pmod(F.shiftright("key", _shift(kind)), F.lit(shards)).cast("long").alias("shard")
+
     for k in range(order - 1, 0, -1):
-        below = F.col("gram").bitwiseAND((1 << CLASS_BITS * k) - 1)
-        types[k] = stored(
-            types[k + 1].groupBy("lang", below.alias("gram")).agg(F.count(F.lit(1)).alias("c")), "model-types"
-        )
-    lower = None
-    for k in range(1, order + 1):
-        ending = F.col("gram").bitwiseAND((1 << CLASS_BITS * k) - 1)
-        wanted = asked.select("lang", "gram") if k == order else asked.select("lang", ending.alias("gram")).distinct()
-        off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        cut = types[k].join(F.broadcast(_discounts(types[k])), "lang").select(
-            "lang", "gram", (F.col("c") - off).alias("left"), off.alias("off"), "c"
-        )
-        before = F.shiftright("gram", CLASS_BITS)
-        contexts = cut.groupBy("lang", before.alias("before")).agg(
-            F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("passed")
-        )
-        rows = (
-            wanted.withColumn("before", before)
-            .join(cut.select("lang", "gram", "left"), ["lang", "gram"], "left")
-            .join(contexts, ["lang", "before"], "left")
+        key = F.col("key").bitwiseAND((1 << CLASS_BITS * k) - 1).alias("key")
+        fewer = types[k + 1].groupBy("lang", key).agg(F.count(F.lit(1)).alias("c"))
+        types[k] = stored(fewer.select("lang", shard(k), none, "key", "c"), "model-types")
+    types[PAIR] = learned.where(F.col("kind") == PAIR).drop("kind")
+    words = types[PAIR].groupBy("lang", "key").agg(F.count(F.lit(1)).alias("c"))
+    types[WORD] = stored(words.select("lang", shard(WORD), none, "key", "c"), "model-words")
+    discounts = None
+    for kind, rows in types.items():
+        own = _discounts(rows).withColumn("kind", F.lit(kind))
+        discounts = own if discounts is None else discounts.unionByName(own)
+    discounts = stored(discounts, "model-discounts")
+    broad = small(discounts, 48)
+    n = [F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2)] + [F.count_if(F.col("c") > 2).alias("n3")]
+    off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    given = sum((F.col(f"n{i}") * F.col(f"d{i}") for i in (2, 3)), F.col("n1") * F.col("d1"))
+    nothing = F.lit(None).cast("double")
+    out = None
+    for kind, rows in types.items():
+        of = broad.where(F.col("kind") == kind).drop("kind")
+        seen = rows.join(of, "lang").select(
+            "lang", F.lit(kind).alias("kind"), "shard", "before", "key",
+            F.greatest(F.col("c") - off, F.lit(0.0)).alias("left"), nothing.alias("total"), nothing.alias("passed"),
+        )
+        stem = {PAIR: F.col("before"), WORD: F.lit(0).cast("long")}.get(kind, F.shiftright("key", CLASS_BITS))
+        lower = kind - 1
+        contexts = rows.groupBy("lang", stem.alias("key")).agg(F.sum("c").cast("double").alias("total"), *n).join(of, "lang").select(
+            "lang", F.lit(lower).alias("kind"), shard(lower), none, "key", nothing.alias("left"), "total", (given / F.col("total")).alias("passed")
         )
-        if lower is None:
-            rows = rows.withColumn("p_lower", F.lit(1.0 / (1 << CLASS_BITS)))
-        else:
-            rest = F.col("gram").bitwiseAND((1 << CLASS_BITS * (k - 1)) - 1)
-            rows = rows.withColumn("rest", rest).join(
-                lower.select("lang", F.col("gram").alias("rest"), F.col("p").alias("p_lower")), ["lang", "rest"]
-            )
-        own = F.coalesce(F.greatest(F.col("left"), F.lit(0.0)) / F.col("total"), F.lit(0.0))
-        p = own + F.coalesce("passed", F.lit(1.0)) * F.col("p_lower")
-        value = p.alias("p") if k < order else F.ln(p).cast("float").alias("logp")
-        level = stored(rows.select("lang", "gram", value), "model-order")
-        # What only this order has read goes at once.
-        dropped(*([lower] if k > 1 else []), *([types[k]] if k < order else []))
-        lower = level
-    return lower
+        both = seen.unionByName(contexts)
+        out = both if out is None else out.unionByName(both)
+    return out, [learned, discounts, *[types[k] for k in [*range(1, order), WORD]]]
 
 
-def word_probabilities(asked: DataFrame) -> DataFrame:
-    """(lang, before, gram, logp) of a table (lang, before, gram, c) of pairs of words, where ``c`` may be 0.
+def _answered(lists: DataFrame, entries: DataFrame) -> DataFrame:
+    """(slice, kind, keys, words, left, total, passed): the lists with the entries of their n-grams, 0 where trusted text has none.
 
-    As ``probabilities`` for the order of two; a word alone counts the
-    different words before it, and below it all words have ``UNSEEN``.
+    A shard that slices list often meets them in several tasks.
     """
-    off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    kinds = {
+        "slice": pa.int64(), "kind": pa.int32(), "keys": pa.binary(), "words": pa.binary(),
+        "left": pa.binary(), "total": pa.binary(), "passed": pa.binary(),
+    }
 
-    def cut(types: DataFrame) -> DataFrame:
-        return types.join(F.broadcast(_discounts(types)), "lang").select(
-            "lang", *types.columns[1:], F.greatest(F.col("c") - off, F.lit(0.0)).alias("left"), off.alias("off")
-        )
+    def task(asked: pa.Table, known: pa.Table) -> pa.Table:
+        def sorted_by_key(column: str, *more: str) -> list[np.ndarray]:
+            own = known.filter(known[column].is_valid())
+            before, key, *values = (own[n].to_numpy() for n in ("before", "key", column, *more))
+            key = _joined(before, key) if paired else key
+            by = np.argsort(key)
+            return [key[by], *[v[by].astype("f4") for v in values]]
+
+        def found(table: list[np.ndarray], own: np.ndarray) -> list[bytes]:
+            keys, *values = table
+            if not len(keys):
+                return [_zipped(np.zeros(len(own), "f4")) for _ in values]
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            same = keys[at] == own
+            return [_zipped(np.where(same, v[at], np.float32(0))) for v in values]
 
-    def p(lower: Column) -> Column:
-        return F.coalesce(F.col("left") / F.col("total"), F.lit(0.0)) + F.coalesce("passed", F.lit(1.0)) * lower
-
-    share = F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("passed")
-    seen = asked.where("c > 0").select("lang", "before", "gram", "c")
-    types = stored(seen.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c")), "model-words")
-    single = cut(types)
-    # A language has one row of these, and all its words meet it.
-    whole = F.broadcast(single.groupBy("lang").agg(*share))
-    words = asked.select("lang", "gram").distinct().join(single.select("lang", "gram", "left"), ["lang", "gram"], "left")
-    lower = stored(words.join(whole, "lang", "left").select("lang", "gram", p(F.lit(UNSEEN)).alias("p_lower")), "model-word")
-    dropped(types)
-    double = cut(seen)
-    contexts = double.groupBy("lang", "before").agg(*share)
-    rows = (
-        asked.select("lang", "before", "gram")
-        .join(double.select("lang", "before", "gram", "left"), ["lang", "before", "gram"], "left")
-        .join(contexts, ["lang", "before"], "left")
-        .join(lower, ["lang", "gram"])
+        out: list[tuple] = []
+        if asked.num_rows:
+            paired = asked["kind"][0].as_py() == PAIR
+            left, contexts = sorted_by_key("left"), sorted_by_key("total", "passed")
+            for number, kind, keys, words in zip(*[asked[n].to_pylist() for n in ("slice", "kind", "keys", "words")], strict=True):
+                own = _joined(_from_steps(keys), _unzipped(words, "i8")) if paired else _from_steps(keys)
+                out.append((number, kind, keys, words, *found(left, own), *found(contexts, own)))
+        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(kinds.items())})
+
+    shard = ["lang", "kind", "shard"]
+    plan = lists.groupBy(*shard).agg(F.ceil(F.sum("n") / LISTED).alias("parts"))
+    plan = stored(plan, "model-plan")
+    met = small(plan, 48)
+    asked = lists.drop("counts", "n").join(met, shard).withColumn("part", F.pmod(F.xxhash64("slice"), "parts")).drop("parts")
+    every = entries.join(met, shard).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    return (
+        asked.groupBy(*shard, "part")
+        .cogroup(every.groupBy(*shard, "part"))
+        .applyInArrow(task, "slice long, kind int, keys binary, words binary, left binary, total binary, passed binary")
     )
-    out = stored(rows.select("lang", "before", "gram", F.ln(p(F.col("p_lower"))).cast("float").alias("logp")), "model-pairs")
-    dropped(lower)
-    return out
+
+
+def _logarithms(known: pa.Table, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted n-grams of a slice and their logarithms of probability: of letters, and of pairs of words by one number.
+
+    From the lowest order up: what an n-gram has left of its context's total
+    is joined with what the context passes on times the lower order's
+    probability.
+    """
+    rows: dict[int, list[tuple]] = {}
+    for kind, *data in zip(*[known[n].to_pylist() for n in ("kind", "keys", "words", "left", "total", "passed")], strict=True):
+        rows.setdefault(kind, []).append(data)
+
+    def table(kind: int) -> list[np.ndarray | None]:
+        own = rows.pop(kind)
+        keys = np.concatenate([_from_steps(r[0]) for r in own])
+        words = np.concatenate([_unzipped(r[1], "i8") for r in own]) if kind == PAIR else None
+        by = np.argsort(keys if words is None else _joined(keys, words))
+        values = [np.concatenate([_unzipped(r[i], "f4") for r in own])[by].astype("f8") for i in (2, 3, 4)]
+        return [keys[by], None if words is None else words[by], *values]
+
+    def place(keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        if not np.array_equal(keys[at], own):
+            raise ValueError("an n-gram of a slice has no probability")
+        return at
+
+    def joined(left: np.ndarray, context: np.ndarray, suffix: np.ndarray, total, passed, p: np.ndarray) -> np.ndarray:
+        behind = total[context]
+        own = np.divide(left, behind, out=np.zeros(len(left)), where=behind > 0)
+        return own + np.where(behind > 0, passed[context], 1.0) * p[suffix]
+
+    lower, _, _, total, passed = table(0)
+    p = np.full(1, 1.0 / (1 << CLASS_BITS))
+    for k in range(1, order + 1):
+        keys, _, left, *behind = table(k)
+        context = place(lower, keys >> CLASS_BITS)
+        p = joined(left, context, place(lower, keys & ((1 << CLASS_BITS * (k - 1)) - 1)), total, passed, p)
+        lower, (total, passed) = keys, behind
+    letters = lower, np.log(p)
+    _, _, _, total, passed = table(NO_WORD)
+    keys, _, left, *behind = table(WORD)
+    none = np.zeros(len(keys), "i8")
+    p = joined(left, none, none, total, passed, np.full(1, UNSEEN))
+    before, word, left, *_ = table(PAIR)
+    p = joined(left, place(keys, before), place(keys, word), *behind, p)
+    return [letters, (_joined(before, word), np.log(p))]
 
 
 def _spread(values: np.ndarray, block: int) -> float:
@@ -319,27 +499,18 @@ def _scored(payloads: DataFrame, answers: DataFrame, order: int) -> DataFrame:
 
     def task(payload: pa.Table, known: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        single = known["before"].is_null().to_numpy()
-        before = known["before"].fill_null(0).to_numpy()[~single]
-        grams, logs = known["gram"].to_numpy(), known["logp"].to_numpy().astype("f8")
-        vocabulary = np.unique(grams[~single])
-        tables = []
-        for keys, values in ((grams[single], logs[single]), (_keys(vocabulary, before, grams[~single]), logs[~single])):
-            by_key = np.argsort(keys)
-            tables.append((keys[by_key], values[by_key]))
+        tables = _logarithms(known, order)
+        del known
 
         def looked_up(kind: int, own: np.ndarray) -> np.ndarray:
             keys, values = tables[kind]
-            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            if not np.array_equal(keys[at], own):
-                raise ValueError("an n-gram of a slice has no probability")
-            return values[at]
+            return values[np.searchsorted(keys, own)]
 
         for lang, data in zip(payload["lang"].to_pylist(), payload["payload"], strict=True):
             for batch in pa.ipc.open_stream(data.as_buffer()):
                 for doc_id, key, role, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     spelled = looked_up(0, ngrams(text, order))
-                    worded = looked_up(1, _keys(vocabulary, *pairs(text)))
+                    worded = looked_up(1, _joined(*pairs(text)))
                     measures = [f for v, block in ((spelled, 64), (worded, 16)) for f in (len(v), -float(v.mean()), _spread(v, block))]
                     out.append((doc_id, key, lang, role, *measures))
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(kinds.items())})
@@ -425,26 +596,16 @@ def classify(
         .join(small(stored(named, "model-trusted"), 16), F.col("doc_id") == F.col("_trusted"), "left")
         .select("text", "doc_id", "key", "lang", role.alias("role"))
     )
-    parts = stored(_sliced(rows, order), "model-slices")
-    single = parts.where("befores is null").select("slice", "lang", F.explode(F.arrays_zip("grams", "counts")).alias("g"))
-    single = single.select("slice", "lang", F.col("g.grams").alias("gram"), F.col("g.counts").alias("c"))
-    asked = stored(single.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "model-counts")
-    double = parts.where("befores is not null").select(
-        "slice", "lang", F.explode(F.arrays_zip("befores", "grams", "counts")).alias("g")
-    ).select("slice", "lang", F.col("g.befores").alias("before"), F.col("g.grams").alias("gram"), F.col("g.counts").alias("c"))
-    letters = probabilities(asked, order)
-    dropped(asked)
-    asked_pairs = stored(double.groupBy("lang", "before", "gram").agg(F.sum("c").alias("c")), "model-pair-counts")
-    pairs_known = word_probabilities(asked_pairs)
-    dropped(asked_pairs)
-    spelled = single.drop("c").join(letters, ["lang", "gram"])
-    worded = double.drop("c").join(pairs_known, ["lang", "before", "gram"])
-    answers = spelled.select("slice", F.lit(None).cast("long").alias("before"), "gram", "logp").unionByName(
-        worded.select("slice", "before", "gram", "logp")
-    )
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = 2 * int((size / SHARD_BYTES) ** 0.5 / 2) + 1
+    parts = stored(_sliced(rows, order, shards), "model-slices")
     payloads = parts.where("payload is not null").select("slice", "lang", "payload")
+    lists = parts.where("keys is not null").drop("payload")
+    entries, tables = _entries(_learned(lists, payloads, order), order, shards)
+    answers = stored(_answered(lists, entries), "model-answers")
+    dropped(*tables)
     scores = stored(_scored(payloads, answers, order), "model-scores")
-    dropped(parts, letters, pairs_known)
+    dropped(parts, answers)
     judged = _limited(_limited(scores, "symbols", "", quantile), "words", "word_", quantile)
     fine = [F.coalesce(F.col(f"{p}excess") <= F.col(f"{p}limit"), F.lit(True)) for p in ("", "word_")]
     return judged.select(
