@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that deletes the shuffle files of a query at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
@@ -59,10 +62,20 @@ def is_empty(df: DataFrame) -> bool:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows in a table on shared storage; ``dropped`` takes it away again."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows in a table on shared storage; ``dropped`` takes it away again.
+
+    What was shuffled for it is deleted as soon as it is written, for readers
+    have the table.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
