@@ -40,6 +40,8 @@ MOST_LIGHT = 24
 SHORT_LIST = 6
 #: Rounds of comparing with one set of each list, before the rest is compared in full.
 ROUNDS = 8
+#: The same for lists of equal differences.
+INNER_ROUNDS = 3
 
 
 class Threshold:
@@ -222,14 +224,18 @@ def _compared(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     )
 
 
-def _beside(compared: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs (a, b) that may link though ``a`` doesn't link with the set ``p`` both were compared with.
+def _beside(known: DataFrame, compared: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """Components after links of (a, b) where ``a`` doesn't link with the set ``p`` both were compared with.
 
     With D for the difference to ``p``, the difference of two sets has
     |Da| + |Db| - 2 |Da and Db| elements, and a link allows it a share of their
     sizes. As Da alone is larger than a link with ``p`` allows, over half of Db
     must lie in Da, so that one of its rarest elements must, counted among the
     differences to ``p``. Most differences are a document's own.
+
+    Where many sets share a difference, one of them is first compared with
+    those in other components, for some rounds. Of what is left, only sets in
+    different components are paired.
     """
     near = compared.where("diff is not null").select("p", "a", "np", "na", "linked", "diff")
     alone = near.where("not linked").select("p").distinct()
@@ -248,14 +254,39 @@ def _beside(compared: DataFrame, limit: Threshold) -> DataFrame:
         .select("p", F.col("a").alias("b"), F.col("na").alias("nb"), F.explode(F.slice("held", F.lit(1), F.col("left"))).alias("h"))
         .select("p", "b", "nb", F.col("h.e").alias("e"))
     )
-    return (
-        shared.where("not linked")
-        .select("p", "e", "a", "na")
-        .join(rare, ["p", "e"])
-        .where((F.col("a") != F.col("b")) & _fits(F.col("na"), F.col("nb"), limit))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+    rare = stored(rare, "join-rare")
+    alone = shared.where("not linked").select("p", "e", "a", "na")
+    lists = alone.select("p", "e", F.col("a").alias("node")).unionByName(rare.select("p", "e", F.col("b").alias("node"))).distinct()
+    for turn in range(INNER_ROUNDS):
+        named = stored(
+            lists.join(known, "node", "left").select("p", "e", "node", F.coalesce("component", "node").alias("component")), "join-lists"
+        )
+        first = F.min_by(F.struct("node", "component"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("q")
+        crowded = (
+            named.groupBy("p", "e")
+            .agg(F.count(F.lit(1)).alias("crowd"), F.min("component").alias("low"), F.max("component").alias("high"), first)
+            .where((F.col("crowd") > SHORT_LIST) & (F.col("low") < F.col("high")))
+        )
+        pairs = named.join(crowded, ["p", "e"]).where(F.col("component") != F.col("q.component"))
+        pairs = stored(pairs.select(F.least("q.node", "node").alias("a"), F.greatest("q.node", "node").alias("b")).distinct(), "join-inner")
+        dropped(named)
+        again = bool(pairs.take(1))
+        if again:
+            known = _merged(known, _verified(pairs, sets, limit))
+        dropped(pairs)
+        if not again:
+            break
+    of = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    to = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    left = alone.join(of, "a", "left").withColumn("ca", F.coalesce("ca", "a"))
+    right = rare.join(to, "b", "left").withColumn("cb", F.coalesce("cb", "b"))
+    met = (
+        (left.p == right.p) & (left.e == right.e) & (F.col("ca") != F.col("cb")) & _fits(F.col("na"), F.col("nb"), limit)
     )
+    pairs = left.join(right, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = _merged(known, _verified(pairs, sets, limit))
+    dropped(shared, rare)
+    return out
 
 
 def _merged(known: DataFrame, edges: DataFrame) -> DataFrame:
@@ -337,7 +368,7 @@ def linked(members: DataFrame, sets: DataFrame, limit: Threshold, rounds: int =
         compared = stored(_compared(pairs, sets, limit), "join-compared")
         used.append(compared)
         known = _merged(known, compared.where("linked").select(F.col("p").alias("a"), F.col("a").alias("b")))
-        known = _merged(known, _verified(_apart(known, _beside(compared, limit)), sets, limit))
+        known = _beside(known, compared, sets, limit)
         left = left.join(
             compared.where("stays").select("p", F.col("a").alias("node")), ["p", "node"], "left_semi"
         ).select("bucket", "node", "n", "own")
