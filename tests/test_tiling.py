@@ -54,3 +54,35 @@ def test_pairs_of_one_slice_are_not_shuffled_again(spark):
     above = plan[: plan.index("FlatMapGroupsInArrow")]
     assert "Aggregate" not in above
 
+
+
+def test_groups_of_packed_blocks_give_the_pairs_of_one_tile(spark, monkeypatch):
+    panel = panel_of(spark, {"large": (24, 20), "small": (2, 5)}).where("(dt + length(node) + hash(node)) % 7 != 3")
+
+    def pairs(measure):
+        rows = X.measure_pairs(panel, measure, Roles()).collect()
+        found = {(r["layer"], r["node_i"], r["node_j"]): (r["n_obs"], r["measure"]) for r in rows}
+        assert len(rows) == len(found)
+        return found
+
+    names = ("pearson_correlation", "spearman_correlation", "chatterjee_xi")
+    whole = [pairs(m) for m in names]
+    copies, copied = [], X._copied
+    monkeypatch.setattr(X, "_copied", lambda *a: copies.append(copied(*a)) or copies[-1])
+    monkeypatch.setattr(X, "BLOCK_NODES", 1)
+    monkeypatch.setattr(X, "GROUP_NODES", 8)
+    for measure, want in zip(names, whole, strict=True):
+        got = pairs(measure)
+        assert got.keys() == want.keys()
+        for key, (n, value) in want.items():
+            assert got[key][0] == n and got[key][1] == pytest.approx(value, abs=1e-6, nan_ok=True)
+    # A row is copied only when it is packed: fewer copies than panel rows, not several for each of them.
+    large = [c.where("layer = 'large'").count() for c in copies]
+    assert len([n for n in large if n]) == 3 and max(large) <= 24 * 6 < panel.count()
+
+
+def test_pair_counts_are_not_shuffled_by_pair(spark, sf_dir):
+    from stratanet.catalog.measures import j6
+
+    plan = j6(spark, sf_dir)._jdf.queryExecution().toString()
+    assert "Aggregate" not in plan[: plan.index("FlatMapGroupsInArrow")]
