@@ -33,6 +33,8 @@ TRIES, STARTS = 4, 4
 ROUNDS = 300
 #: Points of a block; a tile measures the distances of two blocks.
 BLOCK = 2048
+#: Points of a group of blocks at most, and groups of a graph at least, as far as it has blocks.
+GROUP_POINTS, GROUPS = 32_768, 6
 
 Matrices = dict[int, np.ndarray]
 
@@ -475,12 +477,21 @@ def centre_scores(c: Clusters, n: int) -> dict[str, float]:
     return out | {"davies_bouldin": float(ratio.max(axis=1).mean())}
 
 
+def distinct_points(points: DataFrame) -> DataFrame:
+    """(g, id, vec, labels, w): equal points with equal labels as one, named by the least id; their distances are equal."""
+    same = points.groupBy("g", "vec", "labels").agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("double").alias("w"))
+    return same.select("g", "id", "vec", "labels", "w")
+
+
 def tiles(points: DataFrame, sizes: dict[int, int], block: int) -> DataFrame:
-    """Each point once for each block of its graph, for the distances between blocks."""
+    """(g, i, j, group, at, rows): each block in one row, once for each group of blocks of its graph."""
     blocks = F.create_map(*[F.lit(int(x)) for g, n in sizes.items() for x in (g, -(-n // block))])
     dealt = points.withColumn("blocks", F.element_at(blocks, F.col("g"))).withColumn("at", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "g", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "id", "vec", "labels"
+    packed = dealt.groupBy("g", "at", "blocks").agg(F.collect_list(F.struct("id", "vec", "labels", "w")).alias("rows"))
+    per = F.greatest(F.lit(1), F.least(F.ceil(F.col("blocks") / F.lit(GROUPS)), F.lit(GROUP_POINTS // block)))
+    packed = packed.withColumn("group", F.floor(F.col("at") / per).cast("int")).withColumn("groups", F.ceil(F.col("blocks") / per).cast("int"))
+    return packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(
+        "g", F.least("group", "other").alias("i"), F.greatest("group", "other").alias("j"), "group", "at", "rows"
     )
 
 
@@ -490,42 +501,51 @@ def one_hot(labels: np.ndarray, ks: list[int]) -> np.ndarray:
 
 
 def distance_sums(points: DataFrame, ks: dict[int, list[int]], sizes: dict[int, int], block: int = BLOCK) -> DataFrame:
-    """(g, id, own, vec): each point's summed distances to the clusters of every clustering, in parts."""
+    """(g, id, own, vec): each point's summed distances to the clusters of every clustering, in parts.
 
-    def run(batches):
-        for table in runs(batches, ("g", "i", "j")):
-            where = [table.column(c).to_numpy() for c in ("g", "i", "j")]
-            starts = np.flatnonzero(np.any([np.diff(w, prepend=-1) != 0 for w in where], axis=0))
-            for begin, end in zip(starts, [*starts[1:], table.num_rows], strict=True):
-                tile = table.slice(begin, end - begin)
-                g, i, j = (int(w[begin]) for w in where)
-                X, labels = matrix(tile.column("vec")), matrix(tile.column("labels"))
-                Z, ids, at = one_hot(labels, ks[g]), tile.column("id").to_numpy(), tile.column("at").to_numpy()
-                low = at == i
-                sides = [(low, low)] if i == j else [(low, ~low), (~low, low)]
-                for a, b in sides:
-                    if a.any() and b.any():
-                        D = np.sqrt(squared(X[a], X[b]))
-                        if i == j:
-                            np.fill_diagonal(D, 0.0)
-                        yield pa.record_batch([pa.array(np.full(a.sum(), g, "int32")), pa.array(ids[a]), lists(D @ Z[b])], names=["g", "id", "vec"])
-
-    dealt = tiles(points, sizes, block).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    return dealt.mapInArrow(run, "g int, id long, vec array<double>")
+    A task gets two groups of blocks and returns one part for each of their points.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, i, j = (k.as_py() for k in key)
+        held = []
+        for batch in batches:
+            for group, at, rows in zip(*(batch.column(c) for c in ("group", "at", "rows")), strict=True):
+                ids, vec, labels, w = rows.values.flatten()
+                Z = one_hot(matrix(labels), ks[g]) * w.to_numpy()[:, None]
+                held.append((group.as_py(), at.as_py(), ids, matrix(vec), Z, np.zeros(Z.shape)))
+        held.sort(key=lambda h: h[1])
+        left, right = ([h for h in held if h[0] == of] for of in (i, j))
+        for n, (_, at, _, X, Z, own) in enumerate(left):
+            for _, to, _, Y, W, other in left[n:] if i == j else right:
+                D = np.sqrt(squared(X, Y))
+                if at == to:
+                    np.fill_diagonal(D, 0.0)
+                    own += D @ Z
+                else:
+                    own += D @ W
+                    other += D.T @ Z
+        for _, _, ids, _, _, own in held:
+            yield pa.record_batch([pa.array(np.full(len(ids), g, "int32")), ids, lists(own)], names=["g", "id", "vec"])
+
+    return tiles(points, sizes, block).groupBy("g", "i", "j").applyInArrow(run, "g int, id long, vec array<double>")
 
 
 def silhouettes(points: DataFrame, ks: dict[int, list[int]], counts: dict[int, list[np.ndarray]], block: int = BLOCK) -> Matrices:
     """Mean silhouette of every clustering of each graph: ``points`` (g, id, vec, labels), ``counts`` its cluster sizes."""
     sizes = {g: int(of[0].sum()) for g, of in counts.items()}
-    parts = distance_sums(points, ks, sizes, block).withColumn("own", F.lit(False)).withColumn("p", F.lit(0))
-    own = points.select("g", "id", F.col("labels").cast("array<double>").alias("vec"), F.lit(True).alias("own"), F.lit(0).alias("p"))
+    points = written(distinct_points(points), "distinct-points")
+    apart = {r["g"]: r["n"] for r in points.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = distance_sums(points, ks, apart, block).withColumn("own", F.lit(False)).withColumn("p", F.lit(0))
+    mine = F.concat(F.array("w"), F.col("labels").cast("array<double>"))
+    own = points.select("g", "id", mine.alias("vec"), F.lit(True).alias("own"), F.lit(0).alias("p"))
     rows = own.unionByName(parts).repartition("g", "id").sortWithinPartitions("g", "id")
 
     def score(g, batch, rows):
         V = matrix(batch.column("vec"), rows)
-        out, at = [], len(ks[g])
+        out, at = [], len(ks[g]) + 1
         for c, (k, size) in enumerate(zip(ks[g], counts[g], strict=True)):
-            label, to = V[:, c].astype(int), V[:, at : at + k]
+            label, to = V[:, c + 1].astype(int), V[:, at : at + k]
             at += k
             here = np.arange(len(label))
             inner = to[here, label] / np.maximum(size[label] - 1, 1)
@@ -534,10 +554,11 @@ def silhouettes(points: DataFrame, ks: dict[int, list[int]], counts: dict[int, l
             outer = mean.min(axis=1)
             with np.errstate(all="ignore"):
                 s = np.where(size[label] > 1, (outer - inner) / np.maximum(inner, outer), 0.0)
-            out.append(np.nan_to_num(s).sum())
+            out.append((V[:, 0] * np.nan_to_num(s)).sum())
         return np.array(out)
 
     sums = totals(rows.mapInArrow(_merged, "g int, id long, p int, vec array<double>"), score)
+    dropped(points)
     n_found = {g: np.array([(s > 0).sum() for s in of]) for g, of in counts.items()}
     return {g: np.where((n_found[g] >= 2) & (n_found[g] < sizes[g]), v / sizes[g], np.nan) for g, v in sums.items()}
 

@@ -163,3 +163,20 @@ def test_written_tables_are_taken_away(spark, tmp_path):
     assert table.count() == 3 and folder.exists()
     dropped(table)
     assert not folder.exists()
+
+
+def test_copies_of_points_are_weighed_and_parts_are_one_for_each_group(spark):
+    rng = np.random.default_rng(6)
+    X = np.repeat(rng.normal(size=(30, 2)), 4, axis=0)
+    labels = [[int(i // 4 % 3), int(i % 2)] for i in range(len(X))]  # copies with equal and with other labels
+    points = points_of(spark, X, labels)
+    counts = {0: [np.bincount([r[c] for r in labels], minlength=k) for c, k in enumerate((3, 2))]}
+    own = np.array(labels)
+    for block in (2, 1000):
+        got = S.silhouettes(points, {0: [3, 2]}, counts, block=block)[0]
+        for c in range(2):
+            want = C.cluster_scores(np.zeros((len(X), len(X))), X, own[:, c])["silhouette"]
+            assert got[c] == pytest.approx(want, abs=1e-6)
+    merged = S.distinct_points(points)
+    assert merged.count() == 60 and merged.where("w = 2").count() == 60
+    assert S.distance_sums(merged, {0: [3, 2]}, {0: 60}, block=2).count() <= 60 * S.GROUPS
