@@ -13,16 +13,17 @@ import os
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratanet.llm.bpe import CutEncoder, shipped
+from stratanet.llm.bpe import REMEMBERED_CUTS, WIDE, shipped
 from stratanet.llm.common import slices, stored, text_of
 
 MAGIC = b"EFID"
@@ -32,6 +33,8 @@ END = 2
 #: Text that one task sorts and writes, and ids of a file, about.
 PART_BYTES = 8 << 20
 FILE_IDS = 4 << 20
+#: Text that is encoded at once: the more, the fewer distinct cuts for each of it.
+ENCODED_BYTES = 4 << 20
 SELECT_EVERY = 64
 
 
@@ -128,8 +131,68 @@ class TokenFile:
         return self.ids[begin : self.bounds.select(i)]
 
 
+class BatchEncoder:
+    """Encodes texts at once, cut at spaces as by ``bpe.CutEncoder``.
+
+    Each distinct cut of them is looked up once, and those that are not known
+    are encoded as one text, for a piece has a space only where it begins.
+    ``opens`` tells of each id whether its token begins with a space.
+    """
+
+    def __init__(self, whole: Callable[[list[str]], list[bytes]], opens: np.ndarray, remembered: int = REMEMBERED_CUTS):
+        self.whole, self.opens, self.remembered = whole, opens, remembered
+        # Only the last cut of a text may be empty.
+        self.known: dict[str, bytes] = {"": whole([" "])[0]}
+
+    def _fresh(self, cuts: list[str]) -> list[bytes]:
+        coded = self.whole([" " + " ".join(cuts)])[0]
+        starts = np.flatnonzero(self.opens[np.frombuffer(coded, "<u4")])
+        if len(starts) != len(cuts) or any(c[-1].isspace() for c in cuts):
+            return self.whole([" " + c for c in cuts])
+        ends = (4 * starts).tolist()
+        return [coded[a:b] for a, b in zip(ends, [*ends[1:], len(coded)], strict=True)]
+
+    def _cuts(self, cuts: list[str]) -> list[bytes]:
+        """Ids of a space and the cut behind it, for distinct cuts."""
+        found = list(map(self.known.get, cuts))
+        gaps: tuple[list[int], list[int]] = [], []
+        for i, ids in enumerate(found):
+            if ids is None:
+                # White space at the end of a text is kept from what would follow it.
+                gaps[cuts[i][-1].isspace()].append(i)
+        for own in filter(None, gaps):
+            missing = [cuts[i] for i in own]
+            new = self._fresh(missing)
+            if len(self.known) + len(new) <= self.remembered:
+                self.known.update(zip(missing, new, strict=True))
+            for i, ids in zip(own, new, strict=True):
+                found[i] = ids
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text as little-endian 32-bit integers."""
+        wide = [WIDE.search(t) is not None for t in texts]
+        narrow = pc.split_pattern(pa.array([t for t, w in zip(texts, wide, strict=True) if not w], pa.string()), " ")
+        offsets = narrow.offsets.to_numpy()
+        begins = offsets[:-1]
+        flat = narrow.values.dictionary_encode()
+        heads = narrow.values.take(pa.array(begins)).dictionary_encode()
+        coded = self._cuts(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
+        code = flat.indices.to_numpy().astype("i8")
+        code[begins] = heads.indices.to_numpy() + len(coded)
+        coded += self.whole(heads.dictionary.to_pylist())
+        sizes = np.array([len(c) // 4 for c in coded], "i8")
+        places, lengths = (np.cumsum(sizes) - sizes)[code], sizes[code]
+        ends = np.cumsum(lengths)
+        at = np.repeat(places - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+        ids = np.frombuffer(b"".join(coded), "<u4")[at].tobytes()
+        bounds = (4 * np.append(0, ends)[offsets]).tolist()
+        parts = (ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+        return [self.whole([t])[0] if w else next(parts) for t, w in zip(texts, wide, strict=True)]
+
+
 @lru_cache(maxsize=2)
-def _library(name: str) -> CutEncoder:
+def _library(name: str) -> BatchEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
@@ -140,7 +203,11 @@ def _library(name: str) -> CutEncoder:
         coded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", c.ids).tobytes() for c in coded]
 
-    return CutEncoder(whole)
+    known = tokenizer.get_vocab()
+    opens = np.zeros(max(known.values(), default=-1) + 1, bool)
+    # Byte-level vocabularies write a space as this letter.
+    opens[[i for token, i in known.items() if token.startswith("\u0120")]] = True
+    return BatchEncoder(whole, opens)
 
 
 def write_files(
@@ -169,9 +236,9 @@ def write_files(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "number", "n_ids", "file"]
             )
 
-        for batch in slices(batches):
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = library.encode(t) + last
+        for batch in slices(batches, size=ENCODED_BYTES):
+            for d, found in zip(batch.column(0).to_pylist(), library.encode(batch.column(1).to_pylist()), strict=True):
+                ids = found + last
                 names.append(d)
                 coded.append(ids)
                 held += len(ids) // 4

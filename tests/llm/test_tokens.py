@@ -93,3 +93,28 @@ def test_files_equal_the_library(odd, none, monkeypatch):
         start += len(ids)
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
     assert token_files.read_files(token_files.write_files(none, path)).count() == 0
+
+
+def test_texts_of_a_batch_are_encoded_together():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    calls = []
+
+    def whole(ts):
+        calls.extend(ts)
+        return [np.array(c.ids, "<u4").tobytes() for c in tokenizer.encode_batch_fast(ts, add_special_tokens=False)]
+
+    opens = np.zeros(tokenizer.get_vocab_size(), bool)
+    opens[[i for t, i in tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
+    odd = ["", " ", "x ", " x", "x\n", "a\nb x\n", "x  y", "x  ", "<|endoftext|> a", "Ġ Ġa", "it's 'll  two", "a\x85 b\x1c", "x "]
+    every = [*odd, *texts(2000), *odd]
+    batch = token_files.BatchEncoder(whole, opens, remembered=500)
+    for _ in range(2):
+        got = batch.encode(every)
+        assert got == whole(every)
+    assert batch.encode([]) == []
+    # Unknown words of many texts go to the library as one text, not as one each.
+    calls.clear()
+    many = [f"w v{i} u{i}" for i in range(1000)]
+    assert batch.encode(many) == whole(many)
+    assert len(calls) < 1000 + 5
