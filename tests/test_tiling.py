@@ -86,3 +86,24 @@ def test_pair_counts_are_not_shuffled_by_pair(spark, sf_dir):
 
     plan = j6(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Aggregate" not in plan[: plan.index("FlatMapGroupsInArrow")]
+
+
+def test_packed_blocks_are_read_beside_each_other_and_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(X, "BLOCK_NODES", 1)
+    panel = X.written(panel_of(spark, {"large": (24, 20)}), "panel")
+    for measure in (X.pearson, X.MEASURES["spearman_correlation"].build):
+        plan = measure(panel, Roles())._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_keys_of_one_slice_are_centred_in_their_tiles(spark):
+    panel = X.written(panel_of(spark, {"a": (4, 9)}).withColumn("value", F.col("value") + 1e7), "panel")
+    found = X.pearson(panel, Roles())
+    # The only shuffle is that to the tiles.
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    wide: dict = {}
+    for r in panel.collect():
+        wide.setdefault(r["node"], {})[r["dt"]] = r["value"]
+    for r in found.collect():
+        x, y = (np.array([wide[r[n]][d] for d in range(9)]) for n in ("node_i", "node_j"))
+        assert r["measure"] == pytest.approx(np.corrcoef(x - x.mean(), y - y.mean())[0, 1], abs=1e-7)
