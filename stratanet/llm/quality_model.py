@@ -266,6 +266,19 @@ def _sliced(rows: DataFrame, order: int, shards: int) -> DataFrame:
     return rows.mapInArrow(task, f"{LISTS_DDL}, payload binary")
 
 
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists without the n-grams that no trusted text has."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = {n: batch.column(n)[at].as_py() for n in LISTS}
+            counts = _unzipped(row["counts"], "i4")
+            seen = counts > 0
+            row |= {"n": int(seen.sum()), "keys": _steps(_from_steps(row["keys"])[seen]), "counts": _zipped(counts[seen])}
+            if row["words"] is not None:
+                row["words"] = _zipped(_unzipped(row["words"], "i8")[seen])
+            yield pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in LISTS.items()], list(LISTS))
+
+
 def _merged(lists: pa.Table) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """(keys, words, counts) of what trusted text has of the lists of one kind and shard."""
     keys, words, counts = [], [], []
@@ -310,7 +323,8 @@ def _learned(lists: DataFrame, payloads: DataFrame, order: int) -> DataFrame:
         })
 
     n = payloads.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
-    own, rounds = lists.where("counts is not null").select(*LISTS), []
+    # What trusted text hasn't is left out before the lists are shuffled.
+    own, rounds = lists.where("counts is not null").select(*LISTS).mapInArrow(_seen, LISTS_DDL), []
     while n > MERGED:
         n = -(-n // MERGED)
         some = F.pmod(F.xxhash64("slice"), F.lit(n)).alias("some")

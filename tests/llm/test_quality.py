@@ -185,3 +185,21 @@ def test_long_clean_texts_are_kept(spark):
     middle = sorted(r.loss for r in unseen)[len(unseen) // 2]
     limit = max((r.loss - middle) * math.sqrt(r.symbols) for r in unseen)
     assert any((r.loss - middle) * math.sqrt(r.symbols) > limit for r in long)
+
+
+def test_ngrams_that_no_trusted_text_has_are_not_shuffled_for_counts():
+    import numpy as np
+    import pyarrow as pa
+
+    keys, words, counts = (np.array(x, "i8") for x in ([-5, 3, 3, 9], [7, 1, 2, 4], [0, 2, 0, 1]))
+    pack = (quality_model._steps(keys), quality_model._zipped(words), quality_model._zipped(counts.astype("i4")))
+    rows = [(1, "en", quality_model.PAIR, 0, 4, *pack), (1, "en", 5, 0, 4, pack[0], None, pack[2])]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[i] for r in rows], t) for i, t in enumerate(quality_model.LISTS.values())], list(quality_model.LISTS)
+    )
+    paired, single = (b.to_pylist()[0] for b in quality_model._seen([batch]))
+    assert paired["n"] == single["n"] == 2 and single["words"] is None
+    for row in (paired, single):
+        assert quality_model._from_steps(row["keys"]).tolist() == [3, 9]
+        assert quality_model._unzipped(row["counts"], "i4").tolist() == [2, 1]
+    assert quality_model._unzipped(paired["words"], "i8").tolist() == [1, 4]
