@@ -203,3 +203,28 @@ def test_ngrams_that_no_trusted_text_has_are_not_shuffled_for_counts():
         assert quality_model._from_steps(row["keys"]).tolist() == [3, 9]
         assert quality_model._unzipped(row["counts"], "i4").tolist() == [2, 1]
     assert quality_model._unzipped(paired["words"], "i8").tolist() == [1, 4]
+
+
+def test_answers_come_without_their_ngrams_and_lots_change_nothing(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices("river stone light over the of house".split(), k=12)), "en") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    trusted = docs.where("doc_id < 60").select("doc_id")
+    # N-grams are written once, where a slice asks; what comes back has values only.
+    assert not {"keys", "words"} & set(quality_model.ANSWERS)
+    written, stored = [], quality_model.stored
+
+    def noted(df, name):
+        written.append((name, df.columns))
+        return stored(df, name)
+
+    monkeypatch.setattr(quality_model, "stored", noted)
+    once = sorted(map(tuple, quality_model.classify(docs, trusted).drop("excess", "word_excess").collect()))
+    assert sum(name == "model-slices" for name, _ in written) == 1
+    assert all(columns == ["slice", "lang", "payload"] for name, columns in written if name == "model-slices")
+    monkeypatch.setattr(quality_model, "LOT_BYTES", 1 << 10)
+    lots = sorted(map(tuple, quality_model.classify(docs, trusted).drop("excess", "word_excess").collect()))
+    assert sum(name == "model-slices" for name, _ in written) == 1 + quality_model.LOTS
+    assert len(lots) == 80 and [r[:3] + r[-1:] for r in lots] == [r[:3] + r[-1:] for r in once]
+    for a, b in zip(lots, once, strict=True):
+        assert a[4:9] == pytest.approx(b[4:9], rel=1e-6)
