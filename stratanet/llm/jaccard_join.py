@@ -229,7 +229,10 @@ def _beside(compared: DataFrame, limit: Threshold) -> DataFrame:
     |Da| + |Db| - 2 |Da and Db| elements, and a link allows it a share of their
     sizes. As Da alone is larger than a link with ``p`` allows, over half of Db
     must lie in Da, so that one of its rarest elements must, counted among the
-    differences to ``p``. Most differences are a document's own.
+    differences to ``p``. Most differences are a document's own. Besides,
+    Da less Db and Db less Da are each within what a link allows the largest
+    partner, so that one more than that of the rarest elements, in one order for
+    all, is enough of either; both lists are cut so before they meet.
     """
     near = compared.where("diff is not null").select("p", "a", "np", "na", "linked", "diff")
     alone = near.where("not linked").select("p").distinct()
@@ -237,22 +240,28 @@ def _beside(compared: DataFrame, limit: Threshold) -> DataFrame:
     share = (100 - limit.percent) / (100 + limit.percent)
     entries = near.select("p", "a", "np", "na", "linked", F.size("diff").alias("size"), F.explode("diff").alias("e"))
     often = entries.groupBy("p", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = stored(entries.join(often, ["p", "e"]), "join-differences")
-    # A little is taken off before rounding down, so that an inexact product never shortens the list.
-    taken = F.col("size") - F.floor((F.col("size") + share * (F.col("np") - F.col("na"))) / 2 - 1e-9)
-    rare = (
-        shared.groupBy("p", "a", "np", "na", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("held"))
-        .withColumn("left", (taken - (F.col("size") - F.size("held"))).cast("int"))
-        .where("left > 0")
-        .select("p", F.col("a").alias("b"), F.col("na").alias("nb"), F.explode(F.slice("held", F.lit(1), F.col("left"))).alias("h"))
-        .select("p", "b", "nb", F.col("h.e").alias("e"))
+    held = stored(
+        entries.join(often, ["p", "e"])
+        .groupBy("p", "a", "np", "na", "linked", "size")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("held")),
+        "join-differences",
     )
+    # A little is added before rounding, so that an inexact product never shortens a list.
+    of_any = F.floor(F.col("na") * (100 - limit.percent) / limit.percent + 1e-9) + 1
+    of_far = F.col("size") - F.floor((F.col("size") + share * (F.col("np") - F.col("na"))) / 2 - 1e-9)
+
+    def rarest(n: Column) -> Column:
+        left = F.greatest(n - (F.col("size") - F.size("held")), F.lit(0)).cast("int")
+        return F.explode(F.slice("held", F.lit(1), left)).alias("h")
+
+    one = held.where("not linked").select("p", "a", "na", F.col("size").alias("sa"), rarest(of_any))
+    two = held.select("p", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("size").alias("sb"), rarest(F.least(of_any, of_far)))
+    # What differs between two differences is at least what one of them has more.
+    close = F.abs(F.col("sa") - F.col("sb")) * (100 + limit.percent) <= (F.col("na") + F.col("nb")) * (100 - limit.percent)
     return (
-        shared.where("not linked")
-        .select("p", "e", "a", "na")
-        .join(rare, ["p", "e"])
-        .where((F.col("a") != F.col("b")) & _fits(F.col("na"), F.col("nb"), limit))
+        one.select("p", "a", "na", "sa", F.col("h.e").alias("e"))
+        .join(two.select("p", "b", "nb", "sb", F.col("h.e").alias("e")), ["p", "e"])
+        .where((F.col("a") != F.col("b")) & _fits(F.col("na"), F.col("nb"), limit) & close)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )

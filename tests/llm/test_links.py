@@ -189,3 +189,26 @@ def test_dedup_of_odd_rows(odd, none):
     assert texts[2] == {""} and texts[3] == {None} and texts[4] == {""} and texts[7] == {" \n\t "}
     assert all(len(r.removed) == 0 for r in got if r.doc_id != 2)
     assert substring_dedup.deduplicate(none).count() == 0
+
+
+def test_differences_meet_by_their_rarest_elements_only(spark):
+    """Both lists of differences are cut, no pair that links is lost, and far fewer meet than share an element."""
+    rng = random.Random(9)
+    base, pool = list(range(100)), list(range(1000, 1012))
+    sets = {0: set(base)}
+    for i in range(1, 81):
+        gone = rng.sample(base, rng.randint(0, 8))
+        sets[i] = set(base) - set(gone) | set(rng.sample(pool, rng.randint(8, 12))) | {10_000 + 100 * i + k for k in range(rng.randint(0, 18))}
+    limit = jaccard_join.Threshold(85)
+
+    def links(a, b):
+        return 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+
+    rows = [(0, i, 100, len(s), links(0, i), sorted(sets[0] ^ s)) for i, s in sets.items() if i]
+    compared = spark.createDataFrame(rows, "p long, a long, np int, na int, linked boolean, diff array<bigint>")
+    got = {tuple(r) for r in jaccard_join._beside(compared, limit).collect()}
+    far = {i for i in sets if i and not links(0, i)}
+    every = {(a, b) for a in sets for b in sets if 0 < a < b and far & {a, b}}
+    assert {(a, b) for a, b in every if links(a, b)} <= got
+    sharing = {(a, b) for a, b in every if (sets[a] ^ sets[0]) & (sets[b] ^ sets[0])}
+    assert len(got) < len(sharing) / 2
