@@ -23,7 +23,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -39,12 +38,13 @@ CLASS_BITS = 8
 #: Text of a slice, and what a task gathers before its largest slice is closed.
 SLICE_BYTES = 8 << 20
 GATHERED_BYTES = 10 << 20
-#: Characters whose n-grams are sorted at once.
+#: Characters that are numbered at once, and entries of a table that numbers runs by those they are made of.
 CHUNK = 1 << 18
+TABLE = 1 << 24
 #: N-grams listed by slices that one task looks up, about.
 LISTED = 1 << 21
 #: Documents are scored in so many lots, where there is more text than that of one.
-LOTS = 3
+LOTS = 5
 LOT_BYTES = 32 << 20
 #: Bits of the hashes of words and of pairs; above them stands the shard.
 HASH_BITS = 48
@@ -89,23 +89,123 @@ def ngrams(text: str, order: int = ORDER) -> np.ndarray:
     return grams
 
 
-class _Hashes(dict):
-    """Hashes of words, as many as a worker remembers."""
+def _laid(texts: list[str], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code points, lengths) of texts, some at a time, each between the line breaks that ``ngrams`` adds."""
+    held, size = [], 0
+    for at, text in enumerate(texts):
+        held.append(text)
+        size += len(text)
+        if size >= CHUNK or at == len(texts) - 1:
+            laid = "".join(f"{'\n' * (order - 1)}{t}\n" for t in held)
+            yield np.frombuffer(laid.encode("utf-32-le", "surrogatepass"), "<u4"), np.array([len(t) for t in held])
+            held, size = [], 0
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 18:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & HASH_MASK
-        return h
 
+class _Numbering:
+    """Numbers for pairs of numbers, in their order: by a table where it has room, else by the sorted pairs."""
 
-HASHES = _Hashes()
+    def __init__(self, most: int, width: int, pairs: Iterator[np.ndarray]):
+        self.width = width
+        self.at = None
+        if most * width <= TABLE:
+            seen = np.zeros(most * width, bool)
+            for p in pairs:
+                seen[p] = True
+            self.found = np.flatnonzero(seen)
+            self.at = np.zeros(len(seen), "i4")
+            self.at[self.found] = np.arange(len(self.found), dtype="i4")
+        else:
+            self.found = np.zeros(0, "i8")
+            for p in pairs:
+                self.found = np.union1d(self.found, p)
 
+    def of(self, pairs: np.ndarray) -> np.ndarray:
+        return self.at[pairs] if self.at is not None else np.searchsorted(self.found, pairs)
 
-def pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The word before and the word, by hash: a pair for each word and one for the end; 0 stands for both ends."""
-    found = list(map(HASHES.__getitem__, WORDS.findall(text)))
-    return np.array([0, *found], "i8"), np.array([*found, 0], "i8")
+
+class _Letters:
+    """The distinct n-grams of texts, sorted, and the place among them of those that a text has.
+
+    A run is known by the numbers of two shorter runs that it is made of, so
+    that each character is looked up in a few small tables and none is sorted.
+    """
+
+    def __init__(self, texts: list[str], order: int):
+        self.order = order
+        self.chunks = [(classes()[codes], lengths) for codes, lengths in _laid(texts, order)]
+        seen = np.zeros(1 << CLASS_BITS, bool)
+        for codes, _ in self.chunks:
+            seen[codes] = True
+        keys = {1: np.flatnonzero(seen)}
+        self.first = (np.cumsum(seen) - 1).clip(0).astype("i4")
+        self.steps: list[tuple[int, int, _Numbering]] = []
+        n = 1
+        while n < order:
+            more = max(k for k in keys if k <= order - n)
+            last = n + more == order
+            width = len(keys[more])
+            found = _Numbering(len(keys[n]), width, (self._pairs(i, n, more, width, last) for i in range(len(self.chunks))))
+            self.steps.append((n, more, found))
+            keys[n + more] = keys[n][found.found // max(width, 1)] << CLASS_BITS * more | keys[more][found.found % max(width, 1)]
+            n += more
+        self.keys = keys[order]
+
+    def _known(self, chunk: int) -> dict[int, np.ndarray]:
+        known = {1: self.first[self.chunks[chunk][0]]}
+        for n, more, found in self.steps:
+            last = n + more == self.order
+            known[n + more] = found.of(self._pairs(chunk, n, more, found.width, last, known))
+        return known
+
+    def _pairs(self, chunk: int, n: int, more: int, width: int, last: bool, known=None) -> np.ndarray:
+        """Pairs of numbers of runs of n and of ``more`` that follow each other; at last within a text only."""
+        known = known or self._known(chunk)
+        places = len(known[1]) - n - more + 1
+        pairs = known[n][:places].astype("i8") * width + known[more][n : n + places]
+        return pairs[self._inside(chunk, places)] if last else pairs
+
+    def _inside(self, chunk: int, places: int) -> np.ndarray:
+        ends = np.cumsum(self.chunks[chunk][1] + self.order)[:-1]
+        inside = np.ones(places, bool)
+        inside[(ends[:, None] - np.arange(1, self.order)).ravel()] = False
+        return inside
+
+    def places(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places among the keys, how many each text has), some texts at a time."""
+        for i, (_, lengths) in enumerate(self.chunks):
+            yield self._known(i)[self.order], lengths + 1
+
+
+@lru_cache(maxsize=1)
+def _word_parts() -> np.ndarray:
+    """Of each code point: 0 if it is in no word, 1 in a run, 2 if it is a word by itself."""
+    table = np.zeros(0x110000, "u1")
+    every = "".join(map(chr, range(0x110000)))
+    for part, pattern in ((1, rf"[^\W{UNSPACED}]+"), (2, rf"(?:[{UNSPACED}]|[^\w\s])+")):
+        for m in re.finditer(pattern, every):
+            table[m.start() : m.end()] = part
+    return table
+
+
+@lru_cache(maxsize=1)
+def _weights() -> np.ndarray:
+    """Odd 64-bit weights of the places in a word."""
+    return np.random.Generator(np.random.PCG64(5)).integers(0, 2**64, 1 << 12, "u8") | np.uint64(1)
+
+
+def _hashed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``WORDS`` begin, and their hashes: weighted sums of their code points, mixed."""
+    parts = _word_parts()[codes]
+    begins = (parts == 2) | ((parts == 1) & (np.append(np.uint8(0), parts[:-1]) != 1))
+    inside = np.flatnonzero(parts)
+    first = np.flatnonzero(begins[inside])
+    if not len(first):
+        return inside, np.zeros(0, "i8")
+    place = np.arange(len(inside)) - np.repeat(first, np.diff(np.append(first, len(inside))))
+    weights = _weights()
+    sums = np.add.reduceat(weights[place & (len(weights) - 1)] * (codes[inside].astype("u8") + np.uint64(1)), first)
+    sums = (sums ^ sums >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    return inside[first], (sums >> np.uint64(64 - HASH_BITS)).astype("i8")
 
 
 def _joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -114,32 +214,46 @@ def _joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _all_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of all texts, and how many each text has."""
-    own = [pairs(t) for t in texts]
-    before, word = (np.concatenate([p[i] for p in own]) for i in (0, 1))
-    return before, word, np.array([len(p[0]) for p in own])
+    """The word before and the word, by hash, and how many pairs each text has: one for each word and one for the end.
+
+    0 stands for both ends of a text.
+    """
+    words, lengths = [], []
+    for codes, own in _laid(texts, 1):
+        begins, hashes = _hashed(codes)
+        n = np.diff(np.searchsorted(begins, np.cumsum(own + 1)), prepend=0)
+        ended = np.zeros(len(hashes) + len(n), "i8")
+        ended[np.arange(len(hashes)) + np.repeat(np.arange(len(n)), n)] = hashes
+        words.append(ended)
+        lengths.append(n + 1)
+    word = np.concatenate(words)
+    return np.append(0, word[:-1]), word, np.concatenate(lengths)
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """The distinct numbers, sorted."""
+    ordered = np.sort(numbers)
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]]
+
+
+def _firsts(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct numbers, sorted: where one of each stands, the place of every number among them, their counts."""
+    by = np.argsort(numbers)
+    ordered = numbers[by]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(by)]
+    at = np.empty(len(by), "i8")
+    at[by] = np.cumsum(new) - 1
+    begins = np.flatnonzero(new)
+    return by[begins], at, np.diff(np.append(begins, len(by)))
 
 
 def _counted(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of the texts, and how often each stands in them."""
-    grams, counts = np.zeros(0, "i8"), np.zeros(0, "i8")
-    held: list[np.ndarray] = []
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        found, n = np.unique(np.concatenate(held), return_counts=True)
-        both, at = np.unique(np.concatenate([grams, found]), return_inverse=True)
-        return both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype("i8")
-
-    size = 0
-    for text in texts:
-        held.append(ngrams(text, order))
-        size += len(held[-1])
-        if size >= CHUNK:
-            grams, counts = merged()
-            held, size = [], 0
-    if held:
-        grams, counts = merged()
-    return grams, counts
+    letters = _Letters(texts, order)
+    counts = np.zeros(len(letters.keys), "i8")
+    for places, _ in letters.places():
+        counts += np.bincount(places, minlength=len(counts))
+    return letters.keys, counts
 
 
 def _packed(rows: list[tuple]) -> bytes:
@@ -153,7 +267,7 @@ def _packed(rows: list[tuple]) -> bytes:
         ["doc_id", "key", "role", "text"],
     )
     sink = pa.BufferOutputStream()
-    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
     with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
@@ -194,20 +308,8 @@ def _below(grams: np.ndarray, k: int) -> np.ndarray:
     return np.unique(np.append(grams & ((1 << CLASS_BITS * k) - 1), ngrams("", k)[0] if k else 0))
 
 
-def _distinct(texts: list[str], order: int) -> np.ndarray:
-    """Distinct n-grams of the texts."""
-    grams, held, size = np.zeros(0, "i8"), [], 0
-    for at, text in enumerate(texts):
-        held.append(ngrams(text, order))
-        size += len(held[-1])
-        if size >= CHUNK or at == len(texts) - 1:
-            grams, held, size = np.union1d(grams, np.concatenate(held)), [], 0
-    return grams
-
-
-def _spelled(texts: list[str], order: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(kind, keys) of the letters by which a slice is looked up."""
-    grams = _distinct(texts, order)
+def _spelled(grams: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(kind, keys) of the letters by which a slice with these n-grams is looked up."""
     yield order, grams
     for k in range(order - 1, -1, -1):
         grams = _below(grams, k)
@@ -288,7 +390,7 @@ def _counts(rows: DataFrame, order: int, shards: int) -> DataFrame:
                 at = shard == k
                 out.append((number, lang, order, k, int(at.sum()), _steps(grams[at]), None, _zipped(counts[at].astype("i4"))))
             before, word, _ = _all_pairs(texts)
-            _, first, counts = np.unique(_numbers(PAIR, _joined(before, word), shards, before), return_index=True, return_counts=True)
+            first, _, counts = _firsts(_numbers(PAIR, _joined(before, word), shards, before))
             before, word = before[first], word[first]
             shard = before % shards
             by = np.lexsort([word, before, shard])
@@ -311,11 +413,11 @@ def _asked(payloads: DataFrame, order: int, shards: int, spelled: bool) -> DataF
             for number, lang, payload in zip(*batch.columns, strict=True):
                 texts = [t for b in _texts(payload) for t in b["text"].to_pylist()]
                 if spelled:
-                    lists = ((kind, np.sort(_numbers(kind, keys, shards))) for kind, keys in _spelled(texts, order))
+                    lists = ((kind, np.sort(_numbers(kind, keys, shards))) for kind, keys in _spelled(_Letters(texts, order).keys, order))
                 else:
                     before, word, _ = _all_pairs(texts)
-                    own = np.unique(_numbers(PAIR, _joined(before, word), shards, before))
-                    lists = [(PAIR, own), (WORD, np.sort(_numbers(WORD, np.unique(word), shards)))]
+                    own = _distinct(_numbers(PAIR, _joined(before, word), shards, before))
+                    lists = [(PAIR, own), (WORD, np.sort(_numbers(WORD, _distinct(word), shards)))]
                 for kind, numbers in lists:
                     yield _batch(
                         [(number.as_py(), lang.as_py(), kind, k, _steps(keys)) for k, keys in _by_shard(numbers, shards)], kinds
@@ -351,7 +453,7 @@ def _merged(lists: pa.Table) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]
         counts.append(n[seen])
     own, after, counts = (np.concatenate(x) for x in (keys, words, counts))
     paired = len(after) > 0
-    _, first, at = np.unique(_joined(own, after) if paired else own, return_index=True, return_inverse=True)
+    first, at, _ = _firsts(_joined(own, after) if paired else own)
     total = np.bincount(at, counts, len(first)).astype("i8")
     return own[first], after[first] if paired else None, total
 
@@ -604,10 +706,10 @@ def _interpolated(left: np.ndarray, total, passed, lower: np.ndarray) -> np.ndar
     return own + np.where(total > 0, passed, 1.0) * lower
 
 
-def _letter_logarithms(texts: list[str], values: _Values, order: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted n-grams of a slice and their logarithms of probability, from the lowest order up."""
-    tables = {}
-    for kind, keys in _spelled(texts, order):
+def _letter_logarithms(texts: list[str], values: _Values, order: int, shards: int) -> Iterator[np.ndarray]:
+    """Logarithms of probability of the characters of each text, from the lowest order up."""
+    letters, tables = _Letters(texts, order), {}
+    for kind, keys in _spelled(letters.keys, order):
         by = np.argsort(_numbers(kind, keys, shards))
         own = values.of(kind, len(keys))
         back = np.empty(len(by), "i8")
@@ -620,15 +722,17 @@ def _letter_logarithms(texts: list[str], values: _Values, order: int, shards: in
         stem = np.searchsorted(lower, keys >> CLASS_BITS)
         p = _interpolated(left, total[stem], passed[stem], p[np.searchsorted(lower, keys & ((1 << CLASS_BITS * (k - 1)) - 1))])
         lower, (total, passed) = keys, behind
-    return lower, np.log(p)
+    logs = np.log(p)
+    for places, lengths in letters.places():
+        yield from np.split(logs[places], np.cumsum(lengths)[:-1])
 
 
 def _pair_logarithms(texts: list[str], values: _Values, shards: int, total: float, passed: float) -> Iterator[np.ndarray]:
     """Logarithms of probability of the words of each text."""
     before, word, lengths = _all_pairs(texts)
-    _, first, at = np.unique(_numbers(PAIR, _joined(before, word), shards, before), return_index=True, return_inverse=True)
+    first, at, _ = _firsts(_numbers(PAIR, _joined(before, word), shards, before))
     before, word = before[first], word[first]
-    numbers = np.sort(_numbers(WORD, np.unique(word), shards))
+    numbers = np.sort(_numbers(WORD, _distinct(word), shards))
     left, *behind = values.of(WORD, len(numbers))
     p = _interpolated(left, np.full(len(left), total), passed, np.full(len(left), UNSEEN))
     stem, end = (np.searchsorted(numbers, _numbers(WORD, w, shards)) for w in (before, word))
@@ -660,10 +764,9 @@ def _scored(payloads: DataFrame, answers: DataFrame, words: DataFrame, order: in
         for lang, total, passed, data in zip(*[payload[c] for c in ("lang", "total", "passed", "payload")], strict=True):
             docs = [r for b in _texts(data) for r in zip(*[b[n].to_pylist() for n in ("doc_id", "key", "role", "text")], strict=True)]
             texts = [r[3] for r in docs]
-            keys, logs = _letter_logarithms(texts, values, order, shards)
+            letters = _letter_logarithms(texts, values, order, shards)
             worded = _pair_logarithms(texts, values, shards, total.as_py() or 0.0, passed.as_py() or 0.0)
-            for (doc_id, key, role, text), w in zip(docs, worded, strict=True):
-                spelled = logs[np.searchsorted(keys, ngrams(text, order))]
+            for (doc_id, key, role, _), spelled, w in zip(docs, letters, worded, strict=True):
                 measures = [f for v, block in ((spelled, 64), (w, 16)) for f in (len(v), -float(v.mean()), _spread(v, block))]
                 out.append((doc_id, key, lang.as_py(), role, *measures))
         return pa.Table.from_batches([_batch(out, kinds)])

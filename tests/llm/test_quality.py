@@ -228,3 +228,25 @@ def test_answers_come_without_their_ngrams_and_lots_change_nothing(spark, monkey
     assert len(lots) == 80 and [r[:3] + r[-1:] for r in lots] == [r[:3] + r[-1:] for r in once]
     for a, b in zip(lots, once, strict=True):
         assert a[4:9] == pytest.approx(b[4:9], rel=1e-6)
+
+
+def test_letters_and_words_are_numbered_without_sorting_characters(monkeypatch):
+    import numpy as np
+
+    texts = ["", "a", "the river _1a, a stone!", "\u4f60\u597d x\u0e01y \U0001f600 \u00e9t\u00e9", "\n\n", "the river " * 50]
+    want = [quality_model.ngrams(t, 5) for t in texts]
+    for table in (1 << 24, 10):
+        monkeypatch.setattr(quality_model, "TABLE", table)
+        monkeypatch.setattr(quality_model, "CHUNK", 20)
+        letters = quality_model._Letters(texts, 5)
+        places = [p for own, n in letters.places() for p in np.split(own, np.cumsum(n)[:-1])]
+        assert letters.keys.tolist() == sorted(set(np.concatenate(want).tolist()))
+        assert [letters.keys[p].tolist() for p in places] == [w.tolist() for w in want]
+    before, word, lengths = quality_model._all_pairs(texts)
+    words = [quality_model.WORDS.findall(t) for t in texts]
+    assert lengths.tolist() == [len(w) + 1 for w in words]
+    known = {}
+    for w, h in zip([w for own in words for w in [*own, None]], word.tolist(), strict=True):
+        assert known.setdefault(w, h) == h and (h == 0) == (w is None)
+    assert len(set(known.values())) == len(known)
+    assert before.tolist() == [0, *word[:-1].tolist()]
