@@ -12,11 +12,14 @@ in a partner, it takes the rarer half. A partner shares at least one of them
 among them, unless the document is little else. Sets are light up to the size
 where enumeration costs more than the lists.
 
-Sets that share a long list are not all paired. One of them, with the fewest
-elements of its own, is compared with the others; links among those near to it are found by what they differ in from it,
-and the others go on with another one, until lists are in one component or
-used up. What is left after some rounds is compared in full, so that no link is
-lost.
+Sets that have a list in common are few, and only these are ordered in full: by
+how many of them have an element, rarest first. Two sets link only if they share
+an element that stands early in both, as early as their two sizes demand, and a
+set with too many elements of its own links with nothing. Sets that share a long
+list of early elements are not all paired. One of them, with the fewest elements
+of its own, is compared with the others, and after a few rounds only sets of
+different components meet, those of a list's largest one not among themselves.
+No link is lost.
 """
 
 from __future__ import annotations
@@ -38,8 +41,10 @@ from stratanet.session import dropped
 MOST_LIGHT = 24
 #: A list of up to this many sets is compared in full at once.
 SHORT_LIST = 6
-#: Rounds of comparing with one set of each list, before the rest is compared in full.
-ROUNDS = 8
+#: Rounds of comparing with one set of each list, before sets of different components meet.
+ROUNDS = 2
+#: Elements are counted in so many lots, so that a part of them is on disk at a time.
+LOTS = 2
 
 
 class Threshold:
@@ -152,7 +157,7 @@ def light_boundary(nodes: DataFrame, limit: Threshold, wanted: int | None) -> in
 
 
 def _memberships(nodes: DataFrame, limit: Threshold, light: int) -> DataFrame:
-    """(bucket, node, n, own): which sets may link because they have a bucket in common.
+    """(bucket, node, n, own), stored: which sets may link because they have a bucket in common.
 
     ``own`` tells how many elements of a set's head no other set has.
     """
@@ -160,10 +165,13 @@ def _memberships(nodes: DataFrame, limit: Threshold, light: int) -> DataFrame:
     least = (size * limit.percent + 99) / 100
     missing = size - F.floor(least).cast("int")
     in_lists = nodes.where(size >= limit.least_partner(light + 1))
-    entries = in_lists.select("node", "n", F.explode("head").alias("h"))
-    # Counted before the shuffle and joined back, so that no task holds all entries of a frequent shingle.
-    often = entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    counted = entries.join(often, "h")
+    counted, lots = None, []
+    for lot in range(LOTS):
+        entries = in_lists.select("node", "n", F.explode("head").alias("h")).where(F.pmod("h", F.lit(LOTS)) == lot)
+        # Counted before the shuffle and joined back, so that no task holds all entries of a frequent shingle.
+        often = entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        lots.append(stored(entries.join(often, "h"), "join-counted"))
+        counted = lots[-1] if counted is None else counted.unionByName(lots[-1])
     kept = _by_size(size, limit.kept, 80, missing + 1)
     extended = _by_size(size, limit.extended, 80, 2 * missing + 1)
     rare = (
@@ -176,7 +184,9 @@ def _memberships(nodes: DataFrame, limit: Threshold, light: int) -> DataFrame:
         .select(F.col("s.h").alias("bucket"), "node", "n", "own")
     )
     listed = _subset_rows(nodes.where(size.between(1, light)), limit)
-    return rare.unionByName(listed.withColumn("own", F.lit(0)))
+    members = stored(rare.unionByName(listed.withColumn("own", F.lit(0))), "join-members")
+    dropped(*lots)
+    return members
 
 
 def _fits(a: Column, b: Column, limit: Threshold) -> Column:
@@ -197,31 +207,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     )
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """(p, a, np, na, linked, far, diff) of pairs (p, a): how two sets lie to each other.
-
-    ``far`` is the Jaccard distance; ``diff`` has what only one of the two has,
-    for sets that are not farther than three times the distance of a link.
-    """
-    one = sets.select(F.col("node").alias("p"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("y"))
-    both = (
-        pairs.join(one, "p")
-        .join(two, "a")
-        .select("p", "a", "x", "y", F.size("x").alias("np"), F.size("y").alias("na"), F.size(F.array_intersect("x", "y")).alias("both"))
-    )
-    union = F.col("np") + F.col("na") - F.col("both")
-    # Distances are compared in whole numbers, as 100 times the union.
-    reach = 3 * (100 - limit.percent) * union
-    apart = 100 * (union - F.col("both"))
-    return both.select(
-        "p", "a", "np", "na",
-        (100 * F.col("both") >= limit.percent * union).alias("linked"),
-        (apart > 2 * (100 - limit.percent) * union).alias("stays"),
-        F.when(apart <= reach, F.concat(F.array_except("x", "y"), F.array_except("y", "x"))).alias("diff"),
-    )
-
-
 def _beside(compared: DataFrame, limit: Threshold) -> DataFrame:
     """Pairs (a, b) that may link though ``a`` doesn't link with the set ``p`` both were compared with.
 
@@ -285,72 +270,99 @@ def _merged(known: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
-def _apart(known: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) that are not in one component yet."""
-    of = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    to = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    apart = ~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))
-    return pairs.join(of, "a", "left").join(to, "b", "left").where(apart).select("a", "b")
+def _beside_others(members: DataFrame) -> DataFrame:
+    """The distinct nodes that are not alone in all of their buckets."""
+    crowd = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    return members.join(crowd, "bucket").select("node").distinct()
+
 
+def _early(nodes: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """(bucket, node, n, own, place): elements by which these sets may link, with their place, rarest first.
 
-def _all_pairs(left: DataFrame, limit: Threshold) -> DataFrame:
-    """Distinct pairs of sets that share a list."""
-    other = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"))
+    ``own`` tells how many elements no other of these sets has; they come first
+    and are left out. What stands behind more elements than a partner of any
+    size can lack is left out as well.
+    """
+    elements = sets.join(nodes, "node", "left_semi").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("e"))
+    often = elements.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    missing = F.floor(F.col("n") * (100 - limit.percent) / 100).cast("int")
     return (
-        left.select("bucket", F.col("node").alias("a"), "n")
-        .join(other, "bucket")
-        .where((F.col("a") < F.col("b")) & _fits(F.col("n"), F.col("nb"), limit))
-        .select("a", "b")
+        elements.join(often, "e")
+        .groupBy("node", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("shared"))
+        .withColumn("own", F.col("n") - F.size("shared"))
+        .where(F.col("own") <= missing)
+        .select("node", "n", "own", F.posexplode(F.slice("shared", F.lit(1), missing + 1 - F.col("own"))).alias("at", "s"))
+        .select(F.col("s.e").alias("bucket"), "node", "n", "own", (F.col("own") + F.col("at")).alias("place"))
+    )
+
+
+def _placed(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """The entries with the component of their node."""
+    return entries.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _with_one(placed: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs (a, b) of sets in long lists with one of the list, in another component."""
+    first = F.struct("own", F.xxhash64("node", F.lit(turn)))
+    one = placed.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("crowd"), F.count_distinct("component").alias("parts"),
+        F.min_by(F.struct("node", "n", "component"), first).alias("one"),
+    ).where((F.col("crowd") > SHORT_LIST) & (F.col("parts") > 1))
+    return (
+        placed.join(one.select("bucket", "one"), "bucket")
+        .where(F.col("component") != F.col("one.component"))
+        .select(F.col("one.node").alias("a"), F.col("node").alias("b"))
+        .distinct()
+    )
+
+
+def _across(placed: DataFrame, limit: Threshold) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share an element early enough in both for their sizes.
+
+    The largest component of a list is met by the others only.
+    """
+    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("rows"))
+    main = sizes.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("main")
+    ).where("parts > 1")
+    open_ = stored(placed.join(main.select("bucket", "main"), "bucket"), "join-open")
+    one = open_.where("component != main").select("bucket", "main", F.col("node").alias("a"), "n", "place", F.col("component").alias("ca"))
+    two = open_.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("at"), F.col("component").alias("cb"))
+    # With an element at place i, sets have no more than n - i in common if they share none before it.
+    needed = (F.col("n") + F.col("nb")) * limit.percent
+    early = ((F.col("n") - F.col("place")) * (100 + limit.percent) >= needed) & ((F.col("nb") - F.col("at")) * (100 + limit.percent) >= needed)
+    pairs = (
+        one.join(two, "bucket")
+        .where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & early)
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
+    out = stored(pairs, "join-pairs")
+    dropped(open_)
+    return out
 
 
 def linked(members: DataFrame, sets: DataFrame, limit: Threshold, rounds: int = ROUNDS) -> DataFrame:
     """(node, component) of nodes that link, found from memberships (bucket, node, n, own).
 
-    In each round one set of every long list is compared with the others of
-    it: that with the fewest elements of its own, of equal ones the first by a
-    hash that changes with the round. What such a set lacks or adds is in few
-    differences, so that these are mostly the others' own, and lists of equal
-    differences stay short. Those that are near it are done
-    with: links among them are found by ``_beside``, and with those that are
-    far from it they can't have any, by the triangle inequality. The rest of
-    the list goes on to the next round.
+    Sets that share a bucket are ordered by their rarest elements, ``_early``.
+    In each round one set of every long list of these is compared with those
+    of other components: that with the fewest elements of its own, of equal
+    ones the first by a hash that changes with the round. Then pairs of
+    different components that may still link are compared.
     """
-    crowd = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    members = stored(members.join(crowd, "bucket"), "join-buckets")
-    short = _all_pairs(members.where(F.col("crowd") <= SHORT_LIST), limit)
-    none = members.sparkSession.createDataFrame([], "node long, component long")
-    known = _merged(none, _verified(short, sets, limit))
-    left = members.where(F.col("crowd") > SHORT_LIST).select("bucket", "node", "n", "own")
-    used: list[DataFrame] = []
+    entries = stored(_early(_beside_others(members), sets, limit), "join-early")
+    known = members.sparkSession.createDataFrame([], "node long, component long")
     for turn in range(rounds):
-        order = F.xxhash64("node", F.lit(turn))
-        named = stored(
-            left.join(known, "node", "left").select("bucket", "node", "n", "own", F.coalesce("component", "node").alias("component")),
-            "join-left",
-        )
-        dropped(*used)
-        several = (
-            named.groupBy("bucket")
-            .agg(F.count_distinct("component").alias("parts"), F.min_by("node", F.struct("own", order)).alias("p"))
-            .where("parts > 1")
-            .select("bucket", "p")
-        )
-        left = stored(named.join(several, "bucket").select("bucket", "node", "n", "own", "p"), "join-open")
-        dropped(named)
-        if not left.take(1):
-            return known
-        used = [left]
-        pairs = left.where("node != p").select("p", F.col("node").alias("a")).distinct()
-        compared = stored(_compared(pairs, sets, limit), "join-compared")
-        used.append(compared)
-        known = _merged(known, compared.where("linked").select(F.col("p").alias("a"), F.col("a").alias("b")))
-        known = _merged(known, _verified(_apart(known, _beside(compared, limit)), sets, limit))
-        left = left.join(
-            compared.where("stays").select("p", F.col("a").alias("node")), ["p", "node"], "left_semi"
-        ).select("bucket", "node", "n", "own")
-    return _merged(known, _verified(_apart(known, _all_pairs(left, limit)), sets, limit))
+        pairs = stored(_with_one(_placed(entries, known), turn), "join-pairs")
+        if pairs.take(1):
+            known = _merged(known, _verified(pairs, sets, limit))
+        dropped(pairs)
+    pairs = _across(_placed(entries, known), limit)
+    known = _merged(known, _verified(pairs, sets, limit))
+    dropped(pairs, entries)
+    return known
 
 
 def jaccard_components(
@@ -391,8 +403,8 @@ def jaccard_components(
         small(classes, 40), (heads.k1 == classes.k1) & (heads.k2 == classes.k2) & (heads.doc_id == classes.node), "left_semi"
     ).dropDuplicates(["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("node"), "n", "head")
     boundary = light_boundary(nodes, limit, light)
-    members = stored(_memberships(nodes, limit, boundary), "join-members")
-    named = members.select(F.col("node").alias("doc_id")).distinct()
+    members = _memberships(nodes, limit, boundary)
+    named = _beside_others(members).select(F.col("node").alias("doc_id"))
     sets = stored(
         rows.join(small(stored(named, "join-nodes"), 16), "doc_id").select(
             F.col("doc_id").alias("node"), shingles(F.col("text"), shingle).alias("shingles")

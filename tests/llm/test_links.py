@@ -212,3 +212,32 @@ def test_differences_meet_by_their_rarest_elements_only(spark):
     assert {(a, b) for a, b in every if links(a, b)} <= got
     sharing = {(a, b) for a, b in every if (sets[a] ^ sets[0]) & (sets[b] ^ sets[0])}
     assert len(got) < len(sharing) / 2
+
+
+def test_near_copies_are_not_all_compared(spark, monkeypatch):
+    """Of a group of near copies few pairs are verified, all components are found, and few tables are written."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = rng.choices(vocabulary, k=150)
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 7)):
+            words[at] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    verified, tables = [], []
+    before, stored = jaccard_join._verified, jaccard_join.stored
+
+    def noted(pairs, *rest):
+        verified.append(pairs.count())
+        return before(pairs, *rest)
+
+    def counted(df, name):
+        tables.append(name)
+        return stored(df, name)
+
+    monkeypatch.setattr(jaccard_join, "_verified", noted)
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 4, 85)
+    assert sum(verified) < 4 * len(rows) and len(tables) < 25, (verified, tables)
